@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can state them, their DuckDB counterparts."""
 
-from quayside.llm import linededup, topk
+from quayside.llm import linededup, neardup, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op9_line_dedup": linededup.op9_line_dedup,
+    "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 
 SQL = {
