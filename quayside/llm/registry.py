@@ -1,13 +1,15 @@
 """The queries of this subpackage and, where SQL can state them, their DuckDB counterparts."""
 
-from quayside.llm import linededup, neardup, topk
+from quayside.llm import linededup, neardup, topk, warc
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op5_warc": warc.op5_warc,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 
 SQL = {
     "op1_exact_topk": topk.OP1_SQL,
+    "op5_warc": warc.OP5_SQL,
 }
