@@ -6,6 +6,8 @@ of lines between two cuts of one cutting is a chunk. Chunks of two or more lines
 that occur more than once in the whole table are candidates by hash; each occurrence is compared with the first one
 byte by byte, and all but the first are removed. The first is the smallest (doc_id, row hash, line).
 
+Joins are merge joins at every size, so that the exchanges of a small table are those of a large one.
+
 Every line that is removed stays in the smallest row and place that have it in a repeated chunk.
 """
 
@@ -66,15 +68,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     seen = cut.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     repeated = store(seen.where(F.col("n") > 1).select("h", "first"), "line-repeated")
     # Of a document that repeats a chunk, the ranges: few, and bounded by its own lines.
-    found = cut.join(repeated, "h").groupBy("rk").agg(F.collect_list(F.struct("start", "end", "h", (F.struct("id", "rk", "start", "end") == F.col("first")).alias("is_first"))).alias("occ"))
+    found = cut.join(repeated.hint("merge"), "h").groupBy("rk").agg(F.collect_list(F.struct("start", "end", "h", (F.struct("id", "rk", "start", "end") == F.col("first")).alias("is_first"))).alias("occ"))
     texts = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
-    both = barrier(texts.join(found, "rk"), lines=F.split("text", "\n", -1)).drop("text")
+    both = barrier(texts.join(found.hint("merge"), "rk"), lines=F.split("text", "\n", -1)).drop("text")
     body = lambda p: F.array_join(F.slice("lines", p["start"] + 1, p["end"] - p["start"]), "\n")
     said = both.select("rk", F.explode(F.transform("occ", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["h"].alias("h"), p["is_first"].alias("is_first"), body(p).alias("body")))).alias("c")).select("rk", "c.*")
     said = store(said, "line-occurrences")
     first = said.where("is_first").groupBy("h").agg(F.max("body").alias("first_body"))
     first = store(first, "line-first")
-    same = said.where(~F.col("is_first")).join(first, "h").where(F.col("body") == F.col("first_body"))
+    same = said.where(~F.col("is_first")).join(first.hint("merge"), "h").where(F.col("body") == F.col("first_body"))
     return same.groupBy("rk").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
 
 
@@ -85,7 +87,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal in id and text are one row twice: neither is removed for the other's sake. Ties go to the smaller row hash.
     """
     gone = store(removals(docs, id_col, text_col, seeds, long_words), "line-gone").select(F.col("rk").alias("_qs_rk"), F.col("gone").alias("_qs_gone"))
-    joined = docs.withColumn("_qs_key", row_key(id_col, text_col)).join(gone, F.col("_qs_key") == F.col("_qs_rk"), "left")
+    joined = docs.withColumn("_qs_key", row_key(id_col, text_col)).join(gone.hint("merge"), F.col("_qs_key") == F.col("_qs_rk"), "left")
     held = barrier(joined, _qs_lines=F.split(F.col(text_col), "\n", -1), _qs_drop=F.array_distinct(F.flatten(F.transform("_qs_gone", lambda p: F.sequence(p["start"], p["end"] - 1)))))
     # Flags by position, so that a long document costs its lines once: the dropped positions are sorted and merged in.
     marks = F.map_from_arrays("_qs_drop", F.transform("_qs_drop", lambda x: F.lit(True)))
