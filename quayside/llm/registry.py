@@ -1,10 +1,12 @@
 """The queries of this subpackage and, where SQL can state them, their DuckDB counterparts."""
 
-from quayside.llm import linededup, neardup, topk, warc
+from quayside.llm import linededup, neardup, piecewise, tokenids, topk, warc
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op2_token_ids": tokenids.op2_token_ids,
     "op5_warc": warc.op5_warc,
+    "op7_sentencepiece": piecewise.op7_sentencepiece,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_near_duplicates": neardup.op10_near_duplicates,
 }
