@@ -8,10 +8,10 @@ from quayside.llm.common import store
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """u, v, m: each row of ``pairs`` with the least of u and all its v. The minima are stored, so that a hub with very
-    many neighbours is an ordinary skewed join, which Spark splits."""
-    low = store(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-min")
-    return pairs.join(low, "u")
+    """u, m, top: the least of u and all its v, and the greatest v. Stored, so that a hub with very many neighbours
+    meets its minimum in an ordinary skewed join, which Spark splits."""
+    own = pairs.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("top"))
+    return store(own.select("u", "low", F.least("u", "low").alias("m"), "top"), "cc-min")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -20,19 +20,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     No edges give no rows. Loops are left out.
     """
     now = store(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-    mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
-        large = store(large.distinct(), "cc-large")
-        small = _least(large)
-        small = small.select(F.col("u"), F.col("m").alias("v")).unionByName(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = store(small.distinct(), "cc-small")
-        got = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if mark == tuple(got):
-            break
-        mark = tuple(got)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        low = _least(both)
+        # Done when each node is a root, with greater neighbours only, or hangs on one root.
+        settled = (F.col("low") > F.col("u")) | ((F.col("top") < F.col("u")) & (F.col("low") == F.col("top")))
+        if low.where(~settled).isEmpty():
+            return low.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        large = both.join(low.select("u", "m"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = store(large.where(F.col("u") != F.col("v")).distinct(), "cc-large")
+        small = large.join(_least(large).select("u", "m"), "u")
+        now = small.select("u", F.col("m").alias("v")).unionByName(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = store(now.distinct(), "cc-small")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.select(F.least("sid", "lo").alias("x"), F.greatest("sid", "lo").alias("y")).unionByName(members.select(F.least("sid", "hi").alias("x"), F.greatest("sid", "hi").alias("y")))
     star = store(star.where(F.col("x") != F.col("y")).distinct(), "dup-star")
     links = store(verified(star, bodies, blocks, percent), "dup-links1")
-    labels = store(components(links), "dup-labels1")
+    labels = components(links)
 
     # Sets in a bucket together and not yet in one component: each such pair is compared once.
     at = members.select("key", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").join(blocks.select("sid", "n"), "sid")
@@ -127,7 +127,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fits = (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     cross = p.join(q, "key").where(fits).select("x", "y").distinct().join(star, ["x", "y"], "left_anti")
     more = store(verified(store(cross, "dup-cross"), bodies, blocks, percent), "dup-links2")
-    labels = store(components(links.unionByName(more)), "dup-labels2")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     whole = store(sets.select("f1", "f2", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("f1", "f2", "n", F.coalesce("component", "sid").alias("component")), "dup-whole")
     rows = signed.select("id", "n", "f1", "f2")
