@@ -6,7 +6,8 @@ common tuple in a collection with probability (1 - 0.75**2)**M, 9e-6 for M = 14.
 another set has as well, which changes no match.
 
 Links within a table's bucket are found without pairing up a whole bucket: every set is verified against the bucket's
-smallest and largest set; components follow; then each pair of sets that share a bucket but no component is verified.
+smallest and largest set; components follow; then each pair of sets that share a bucket but no component is verified,
+unless their numbers of shingles, and of shingles that no other such set has, rule a link out.
 Verification runs in blocks, which send a set once for all its pairs in a block.
 """
 
@@ -83,6 +84,25 @@ def verified(pairs: DataFrame, bodies: DataFrame, blocks: DataFrame, percent: in
     return placed.groupBy("bx", "by").cogroup(sent.groupBy("cx", "cy")).applyInPandas(_verifier(percent), "u long, v long")
 
 
+def _spread(batches):
+    for pdf in batches:
+        own = [np.frombuffer(b, np.int64) for b in pdf["body"]]
+        for at in range(0, len(own), 256):
+            cut = own[at : at + 256]
+            yield pd.DataFrame({"sid": np.repeat(pdf["sid"].to_numpy()[at : at + 256], [len(s) for s in cut]), "shingle": np.concatenate(cut)})
+
+
+def _own_shingles(some: DataFrame, bodies: DataFrame) -> DataFrame:
+    """sid, own: how many shingles of each set no other set of ``some`` has.
+
+    Two sets have at most the smaller count of shared shingles in common, and their union has at least these and both
+    counts of own ones: this bounds their similarity from above without comparing them.
+    """
+    spread = bodies.join(some, "sid").mapInPandas(_spread, "sid long, shingle long")
+    single = spread.groupBy("shingle").agg(F.count("*").alias("c"), F.min("sid").alias("sid")).where(F.col("c") == 1)
+    return store(single.groupBy("sid").agg(F.count("*").alias("own")), "dup-own")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -109,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = store(in_some.groupBy("near").agg(F.sum("n").alias("w")), "dup-weights")
     cut = F.greatest(F.ceil(F.col("w") / BLOCK), F.lit(1))
     blocks = store(in_some.join(weight, "near").select("sid", "n", F.xxhash64("near", F.pmod(F.xxhash64("sid"), cut)).alias("blk")), "dup-blocks")
-    texts = plain.join(in_some.select(F.col("sid").alias("id")), "id", "left_semi")
+    texts = plain.join(in_some.select(F.col("sid").alias("id")).hint("merge"), "id", "left_semi")
     bodies = store(texts.select(F.col("id").alias("sid"), "text").mapInPandas(_sets, "sid long, body binary"), "dup-bodies")
 
     star = members.select(F.least("sid", "lo").alias("x"), F.greatest("sid", "lo").alias("y")).unionByName(members.select(F.least("sid", "hi").alias("x"), F.greatest("sid", "hi").alias("y")))
@@ -123,8 +143,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = store(at, "dup-labelled")
     mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
     left = store(at.join(store(mixed, "dup-mixed"), "key"), "dup-left")
-    p, q = left.select("key", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx")), left.select("key", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
+    left = store(left.join(_own_shingles(left.select("sid").distinct(), bodies), "sid", "left").select("key", "sid", "n", "label", F.coalesce("own", F.lit(0)).alias("own")), "dup-left-own")
+    p, q = (left.select("key", F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("label").alias(f"l{s}"), F.col("own").alias(f"own{s}")) for s in "xy")
+    common = F.least(F.col("nx") - F.col("ownx"), F.col("ny") - F.col("owny"))
     fits = (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    fits &= 100 * common >= percent * (common + F.col("ownx") + F.col("owny"))
     cross = p.join(q, "key").where(fits).select("x", "y").distinct().join(star, ["x", "y"], "left_anti")
     more = store(verified(store(cross, "dup-cross"), bodies, blocks, percent), "dup-links2")
     if not more.isEmpty():
