@@ -1,6 +1,617 @@
-"""The catalog queries by name, each with its DuckDB counterpart."""
+"""The catalog queries by name, each with its DuckDB counterpart on the same tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quayside.functions import keys
+from quayside.operators import blocks, catalog, listing, multipart, placement, reconcile, replication
+from quayside.plans.views import sql
+from quayside.sources import tables as t
+from quayside.streaming import log as stream
+
+NOW = t.NOW
 QUERIES: dict = {}
 SQL: dict = {}
+BLOCK = 1024
+
+
+def query(oracle: str | None = None, *views: str):
+    """Register a query under its function's name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            SQL[f.__name__] = sql(oracle, *views)
+        return f
+
+    return put
+
+
+# --- listings, lookups and counts
+
+
+@query("""SELECT bucket, CASE WHEN instr(key, '/') > 0 THEN 'prefix' ELSE 'item' END AS kind,
+  CASE WHEN instr(key, '/') > 0 THEN substr(key, 1, instr(key, '/')) ELSE key END AS entry,
+  count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM page_objects GROUP BY ALL""", "page_objects")
+def list_delimiter_rollup(spark, d):
+    return listing.entries(t.page_objects(spark, d))
+
+
+@query("""SELECT key, size, etag, n > 20 AS truncated, CASE WHEN n > 20 THEN max(CASE WHEN rn = 20 THEN key END) OVER () END AS next_cursor FROM (
+  SELECT key, size, etag, row_number() OVER (ORDER BY key) AS rn, count(*) OVER () AS n FROM doc_objects
+  WHERE bucket = 'src1' AND key > 'en/5' AND deleted_at IS NULL) WHERE rn <= 20""", "doc_objects")
+def list_page_keyset(spark, d):
+    return listing.list_objects(t.doc_objects(spark, d), "src1", limit=20, start_after="en/5").select("key", "size", "etag", "truncated", "next_cursor")
+
+
+@query("""SELECT kind, entry, n, bytes, c > 10 AS truncated, CASE WHEN c > 10 THEN max(CASE WHEN rn = 10 THEN entry END) OVER () END AS next_cursor FROM (
+  SELECT *, row_number() OVER (ORDER BY entry) AS rn, count(*) OVER () AS c FROM (
+    SELECT CASE WHEN instr(substr(key, 4), '1') > 0 THEN 'prefix' ELSE 'item' END AS kind,
+      CASE WHEN instr(substr(key, 4), '1') > 0 THEN substr(key, 1, 3 + instr(substr(key, 4), '1')) ELSE key END AS entry,
+      count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes
+    FROM doc_objects WHERE bucket = 'src2' AND key LIKE 'en/%' AND deleted_at IS NULL GROUP BY ALL)) WHERE rn <= 10""", "doc_objects")
+def list_prefix_page_truncated(spark, d):
+    return listing.list_objects(t.doc_objects(spark, d), "src2", prefix="en/", delimiter="1", limit=10).select("kind", "entry", "n", "bytes", "truncated", "next_cursor")
+
+
+@query("SELECT count(*) AS n FROM doc_objects WHERE key LIKE 'fr/%' AND deleted_at IS NULL", "doc_objects")
+def count_by_prefix(spark, d):
+    return listing.count_objects(t.doc_objects(spark, d), prefix="fr/")
+
+
+@query("SELECT count(*) AS n FROM doc_objects WHERE bucket = 'src3' AND key LIKE 'en/%' AND key > 'en/3' AND deleted_at IS NULL", "doc_objects")
+def count_after_cursor(spark, d):
+    return listing.count_objects(t.doc_objects(spark, d), "src3", "en/", "en/3")
+
+
+@query("SELECT bucket, key, size, mime_type, etag, storage_class FROM doc_objects WHERE doc_id = 17 AND deleted_at IS NULL", "doc_objects")
+def head_active(spark, d):
+    o = t.doc_objects(spark, d)
+    return listing.active(o).where(F.col("doc_id") == 17).select("bucket", "key", "size", "mime_type", "etag", "storage_class")
+
+
+@query("""SELECT w.bucket, w.key, o.key IS NOT NULL AS exists FROM (SELECT DISTINCT bucket, key || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '.bak' END AS key FROM doc_objects WHERE doc_id % 10 < 4) w
+  LEFT JOIN (SELECT bucket, key FROM doc_objects WHERE deleted_at IS NULL) o USING (bucket, key)""", "doc_objects")
+def exists_batch(spark, d):
+    o = t.doc_objects(spark, d)
+    wanted = o.where(F.col("doc_id") % 10 < 4).select("bucket", F.concat("key", F.when(F.col("doc_id") % 2 == 0, "").otherwise(".bak")).alias("key")).distinct()
+    return listing.existing(o, wanted)
+
+
+@query("""SELECT doc_id, coalesce(CASE doc_id % 3 WHEN 0 THEN '"' || etag || '"' WHEN 1 THEN 'x' END = '"' || etag || '"', false)
+  OR coalesce(updated_at <= CASE WHEN doc_id % 2 = 0 THEN 1704117200 END, false) AS not_modified FROM doc_objects WHERE deleted_at IS NULL""", "doc_objects")
+def conditional_status(spark, d):
+    o, i = listing.active(t.doc_objects(spark, d)), F.col("doc_id")
+    tag = F.when(i % 3 == 0, F.concat(F.lit('"'), "etag", F.lit('"'))).when(i % 3 == 1, "x")
+    return o.select("doc_id", listing.not_modified(F.col("etag"), F.col("updated_at"), tag, F.when(i % 2 == 0, 1704117200)).alias("not_modified"))
+
+
+@query("""SELECT doc_id, NOT (coalesce(inm = '*', false) AND found) AND (im IS NULL OR (found AND (im = '*' OR im = etag))) AS allowed FROM (
+  SELECT doc_id, etag, deleted_at IS NULL AS found, CASE doc_id % 4 WHEN 0 THEN '*' WHEN 1 THEN etag WHEN 2 THEN 'other' END AS im, CASE WHEN doc_id % 5 = 0 THEN '*' END AS inm FROM doc_objects)""", "doc_objects")
+def write_precondition_status(spark, d):
+    o, i = t.doc_objects(spark, d), F.col("doc_id")
+    im = F.when(i % 4 == 0, "*").when(i % 4 == 1, F.col("etag")).when(i % 4 == 2, "other")
+    return o.select("doc_id", listing.write_allowed(F.col("deleted_at").isNull(), F.col("etag"), im, F.when(i % 5 == 0, "*")).alias("allowed"))
+
+
+@query("SELECT bucket, key, size FROM doc_objects WHERE deleted_at IS NULL AND (key > 'en/4' OR (key = 'en/4' AND bucket > 'src0')) ORDER BY key, bucket LIMIT 50", "doc_objects")
+def migrate_page(spark, d):
+    return listing.migration_page(t.doc_objects(spark, d), 50, ("en/4", "src0")).select("bucket", "key", "size")
+
+
+@query("SELECT bucket, key, updated_at FROM doc_objects WHERE deleted_at IS NULL ORDER BY updated_at, bucket, key LIMIT 40", "doc_objects")
+def recompress_candidates(spark, d):
+    return listing.oldest(t.doc_objects(spark, d), 40).select("bucket", "key", "updated_at")
+
+
+# --- aggregates
+
+
+@query("SELECT count(*) AS n, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM doc_objects WHERE deleted_at IS NULL", "doc_objects")
+def totals(spark, d):
+    return catalog.totals(t.doc_objects(spark, d))
+
+
+@query("SELECT coalesce(storage_class, 'default') AS label, n, bytes FROM (SELECT storage_class, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM doc_objects WHERE deleted_at IS NULL GROUP BY storage_class)", "doc_objects")
+def class_counts_raw(spark, d):
+    return catalog.class_counts(t.doc_objects(spark, d), normalised=False)
+
+
+@query("SELECT coalesce(storage_class, 'default') AS label, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM doc_objects WHERE deleted_at IS NULL GROUP BY 1", "doc_objects")
+def class_counts_normalised(spark, d):
+    return catalog.class_counts(t.doc_objects(spark, d), normalised=True)
+
+
+@query("""SELECT (SELECT count(*) FROM doc_objects WHERE deleted_at IS NULL) AS objects, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM doc_objects WHERE deleted_at IS NULL) AS bytes,
+  (SELECT count(*) FROM replication_log WHERE status = 'pending' OR (status = 'failed' AND (next_retry_at IS NULL OR next_retry_at <= 1706659200))) AS due,
+  (SELECT count(DISTINCT coalesce(storage_class, 'default')) FROM doc_objects WHERE deleted_at IS NULL) AS classes""", "doc_objects", "replication_log")
+def metrics_snapshot(spark, d):
+    o = listing.active(t.doc_objects(spark, d))
+    own = o.agg(F.count("*").alias("objects"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"), F.countDistinct(F.coalesce("storage_class", F.lit("default"))).alias("classes"))
+    return own.crossJoin(t.replication_log(spark, d).agg(F.count_if(replication.is_due(NOW)).alias("due"))).select("objects", "bytes", "due", "classes")
+
+
+@query("""SELECT 'store_objects{bucket="' || bucket || '"} ' || count(*) AS line FROM doc_objects WHERE deleted_at IS NULL GROUP BY bucket""", "doc_objects")
+def prometheus_lines(spark, d):
+    return listing.active(t.doc_objects(spark, d)).groupBy("bucket").agg(F.count("*").alias("n")).select(F.format_string('store_objects{bucket="%s"} %d', "bucket", "n").alias("line"))
+
+
+# --- changes
+
+
+@query("""SELECT bucket, key, arg_max(size, version) AS size, arg_max(storage_class, version) FILTER (storage_class IS NOT NULL) AS storage_class,
+  arg_max(origin_node, version) FILTER (origin_node IS NOT NULL) AS origin_node, arg_min(written_at, version) AS created_at, arg_max(written_at, version) AS updated_at
+  FROM object_writes GROUP BY bucket, key""", "object_writes")
+def upsert_latest(spark, d):
+    return catalog.upsert(t.object_writes(spark, d))
+
+
+@query("SELECT bucket, key, CASE WHEN deleted_at IS NULL AND doc_id % 9 = 0 THEN 1706659200 ELSE deleted_at END AS deleted_at FROM doc_objects", "doc_objects")
+def soft_delete_view(spark, d):
+    o = t.doc_objects(spark, d)
+    return catalog.soft_delete(o, o.where(F.col("doc_id") % 9 == 0), NOW).select("bucket", "key", "deleted_at")
+
+
+@query("SELECT bucket, key FROM doc_objects WHERE doc_id % 9 <> 0", "doc_objects")
+def hard_delete_view(spark, d):
+    o = t.doc_objects(spark, d)
+    return catalog.hard_delete(o, o.where(F.col("doc_id") % 9 == 0)).select("bucket", "key")
+
+
+@query("SELECT bucket, key, deleted_at FROM doc_objects WHERE deleted_at < 1705659200", "doc_objects")
+def purge_expired(spark, d):
+    return catalog.purgeable(t.doc_objects(spark, d), NOW - 1_000_000).select("bucket", "key", "deleted_at")
+
+
+@query("""SELECT w.bucket, w.key, CASE WHEN o.key IS NULL THEN 'ignored' ELSE 'deleted' END AS status FROM (SELECT bucket, CASE WHEN doc_id % 4 = 0 THEN 'no/' || doc_id ELSE key END AS key FROM doc_objects WHERE doc_id % 5 = 0) w
+  LEFT JOIN (SELECT bucket, key FROM doc_objects WHERE deleted_at IS NULL) o USING (bucket, key)""", "doc_objects")
+def batch_delete_status(spark, d):
+    o, i = t.doc_objects(spark, d), F.col("doc_id")
+    named = o.where(i % 5 == 0).select("bucket", F.when(i % 4 == 0, F.concat(F.lit("no/"), i.cast("string"))).otherwise(F.col("key")).alias("key"))
+    return catalog.delete_status(o, named)
+
+
+@query("""SELECT key, n > 15 AS truncated FROM (SELECT key, row_number() OVER (ORDER BY key) AS rn, count(*) OVER () AS n FROM doc_objects WHERE bucket = 'src4' AND key LIKE 'en/%' AND deleted_at IS NULL) WHERE rn <= 15""", "doc_objects")
+def prefix_delete_plan(spark, d):
+    return listing.list_objects(t.doc_objects(spark, d), "src4", prefix="en/", limit=15).select("key", "truncated")
+
+
+@query("""SELECT doc_id, CASE WHEN deleted_at IS NOT NULL THEN 'noop' WHEN doc_id % 3 = 0 THEN 'hard' WHEN doc_id % 2 = 0 THEN 'soft_drop_blob' ELSE 'soft' END AS mode FROM doc_objects""", "doc_objects")
+def delete_policy(spark, d):
+    i = F.col("doc_id")
+    return t.doc_objects(spark, d).select("doc_id", catalog.delete_mode(F.col("deleted_at").isNull(), i % 3 * 60, i % 2 == 0).alias("mode"))
+
+
+@query("""SELECT bucket, key, CASE WHEN doc_id % 7 = 0 AND deleted_at IS NULL THEN 'moved' ELSE storage_class END AS storage_class, CASE WHEN doc_id % 7 = 0 AND deleted_at IS NULL THEN 'nodeX' ELSE origin_node END AS origin_node FROM doc_objects""", "doc_objects")
+def set_placement(spark, d):
+    o = t.doc_objects(spark, d)
+    moves = o.where(F.col("doc_id") % 7 == 0).select("bucket", "key", F.lit("moved").alias("new_class"), F.lit("nodeX").alias("new_node"))
+    return catalog.place(o, moves).select("bucket", "key", "storage_class", "origin_node")
+
+
+@query("SELECT 'copies' AS bucket, bucket || '/' || key AS key, size, etag, 1706659200 AS created_at FROM doc_objects WHERE deleted_at IS NULL AND doc_id % 6 = 1", "doc_objects")
+def copy_objects(spark, d):
+    o = t.doc_objects(spark, d)
+    req = o.where(F.col("doc_id") % 6 == 1).select("bucket", "key", F.lit("copies").alias("to_bucket"), F.concat_ws("/", "bucket", "key").alias("to_key"))
+    return catalog.copies(o, req, NOW).select("bucket", "key", "size", "etag", F.col("created_at").cast("int").alias("created_at"))
+
+
+@query("""SELECT bucket, key, incoming, CAST(existing AS BIGINT) AS existing, total - existing + incoming <= 2000000 AS accepted FROM (
+  SELECT bucket, key, doc_id * 1000 AS incoming, CASE WHEN deleted_at IS NULL THEN size ELSE 0 END AS existing, (SELECT sum(size) FROM doc_objects WHERE deleted_at IS NULL) AS total FROM doc_objects WHERE doc_id % 8 = 2)""", "doc_objects")
+def quota_verdict(spark, d):
+    o = t.doc_objects(spark, d)
+    return catalog.quota(o, o.where(F.col("doc_id") % 8 == 2).select("bucket", "key", (F.col("doc_id") * 1000).alias("incoming")), 2_000_000)
+
+
+# --- scalar functions
+
+
+@query("""SELECT i, CASE WHEN k = '' OR k LIKE '/%' OR regexp_matches(k, '^[A-Za-z]:') OR regexp_matches(k, '(^|/)\\.\\.(/|$)') OR regexp_matches(k, '[\\r\\n]') THEN NULL ELSE k END AS key,
+  b <> '' AND b NOT LIKE '/%' AND NOT contains(b, '..') AS bucket_ok FROM (
+  SELECT doc_id AS i, replace(CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN '/' || doc_id WHEN 2 THEN 'a\\b' || doc_id WHEN 3 THEN 'c:x' WHEN 4 THEN 'a/../b' WHEN 5 THEN 'a..b/c' ELSE 'x' || chr(10) || 'y' END, '\\', '/') AS k,
+    CASE doc_id % 3 WHEN 0 THEN 'b..c' WHEN 1 THEN '/b' ELSE 'bucket' END AS b FROM documents)""")
+def sanitize_keys(spark, d):
+    i = F.col("doc_id")
+    k = F.when(i % 7 == 0, "").when(i % 7 == 1, F.concat(F.lit("/"), i.cast("string"))).when(i % 7 == 2, F.concat(F.lit("a\\b"), i.cast("string"))).when(i % 7 == 3, "c:x").when(i % 7 == 4, "a/../b").when(i % 7 == 5, "a..b/c").otherwise("x\ny")
+    b = F.when(i % 3 == 0, "b..c").when(i % 3 == 1, "/b").otherwise("bucket")
+    return t.table(spark, d, "documents").select(i.alias("i"), keys.clean_key(k).alias("key"), keys.valid_bucket(b).alias("bucket_ok"))
+
+
+@query("""SELECT version, replace(replace(k, '%', '%25'), '/', '%2F') AS encoded, k AS decoded, bucket || '/' || substr(md5(k), 31, 2) || '/' || replace(replace(k, '%', '%25'), '/', '%2F') AS path FROM (SELECT version, bucket, key || '%2F' AS k FROM page_objects)""", "page_objects")
+def encode_key(spark, d):
+    k = F.concat("key", F.lit("%2F"))
+    return t.page_objects(spark, d).select("version", keys.encode_key(k).alias("encoded"), keys.decode_key(keys.encode_key(k)).alias("decoded"), keys.blob_path(F.col("bucket"), k).alias("path"))
+
+
+@query("""SELECT version, lower(regexp_extract(key, '([^/]+)\\.([^/.]+)$', 2)) AS ext, size >= 4096 AND NOT (lower(regexp_extract(key, '([^/]+)\\.([^/.]+)$', 2)) IN ('zip', 'png', 'gz')) AS eligible FROM
+  (SELECT version, size, key || CASE version % 4 WHEN 0 THEN '.ZIP' WHEN 1 THEN '.png' WHEN 2 THEN '.tar.gz' ELSE '' END AS key FROM page_objects)""", "page_objects")
+def compress_eligible(spark, d):
+    v = F.col("version")
+    k = F.concat("key", F.when(v % 4 == 0, ".ZIP").when(v % 4 == 1, ".png").when(v % 4 == 2, ".tar.gz").otherwise(""))
+    return t.page_objects(spark, d).select("version", keys.extension(k).alias("ext"), keys.compressible(k, F.col("size"), F.col("mime_type")).alias("eligible"))
+
+
+@query("""SELECT version, valid, CASE WHEN valid THEN s ELSE 0 END AS start, CASE WHEN valid THEN e - s + 1 ELSE size END AS len FROM (SELECT *, coalesce(s <= e AND s < size AND NOT (form = 2 AND n = 0), false) AS valid FROM (
+  SELECT version, size, form, n, CASE form WHEN 0 THEN version * 10 WHEN 1 THEN version * 5 WHEN 2 THEN greatest(size - n, 0) WHEN 3 THEN 9 END AS s,
+    CASE form WHEN 0 THEN least(version * 10 + 99, size - 1) WHEN 1 THEN size - 1 WHEN 2 THEN size - 1 WHEN 3 THEN least(4, size - 1) END AS e FROM (SELECT version, size, version % 5 AS form, version % 3 * 100 AS n FROM page_objects)))""", "page_objects")
+def range_parse(spark, d):
+    v = F.col("version")
+    s = v.cast("string")
+    h = F.when(v % 5 == 0, F.format_string("bytes=%d-%d", v * 10, v * 10 + 99)).when(v % 5 == 1, F.format_string("bytes=%d-", v * 5)).when(v % 5 == 2, F.format_string("bytes=-%d", v % 3 * 100)).when(v % 5 == 3, "bytes=9-4").otherwise(F.concat(F.lit("bytes=x"), s))
+    return t.page_objects(spark, d).select("version", keys.parse_range(h, F.col("size")).alias("r")).select("version", "r.valid", "r.start", "r.len")
+
+
+@query("SELECT substr(md5(key), 31, 2) AS shard, count(*) AS n FROM page_objects GROUP BY 1", "page_objects")
+def shard_histogram(spark, d):
+    return t.page_objects(spark, d).groupBy(keys.shard(F.col("key")).alias("shard")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, greatest(1, least(22, CAST(doc_id % 40 - 5 AS INTEGER))) AS level, greatest(10, least(27, length(bin(size)))) AS wlog,
+  greatest(4096, CAST(ceil(size / 4096.0) * 4096 AS BIGINT)) AS permits, least(CAST(pow(2, least(doc_id % 15, 10)) AS BIGINT), 3600) AS backoff FROM doc_objects""", "doc_objects")
+def size_functions(spark, d):
+    i = F.col("doc_id")
+    return t.doc_objects(spark, d).select("doc_id", keys.zstd_level((i % 40 - 5).cast("int")).alias("level"), keys.window_log(F.col("size")).cast("long").alias("wlog"), keys.permits(F.col("size"), 4096).alias("permits"), keys.backoff_seconds(i % 15).alias("backoff"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM pages""")
+def xml_escape(spark, d):
+    return t.table(spark, d, "pages").select("page_id", keys.xml_escape(F.substring("html", 1, 200)).alias("escaped"))
+
+
+@query("""SELECT version, CASE WHEN key <> '' THEN bucket END AS src_bucket, CASE WHEN key <> '' THEN key END AS src_key FROM page_objects""", "page_objects")
+def copy_source(spark, d):
+    h = F.when(F.col("key") != "", F.concat(F.lit("/"), F.concat_ws("/", "bucket", "key"))).otherwise(F.col("bucket"))
+    return t.page_objects(spark, d).select("version", keys.copy_source(h).alias("c")).select("version", F.col("c.bucket").alias("src_bucket"), F.col("c.key").alias("src_key"))
+
+
+@query("SELECT event_id, props ->> '$.k' AS k, CAST(NULL AS VARCHAR) AS missing FROM events")
+def custom_meta_get(spark, d):
+    return t.table(spark, d, "events").select("event_id", keys.meta_get(F.col("props"), "k").alias("k"), keys.meta_get(F.col("props"), "absent").alias("missing"))
+
+
+# --- multipart
+
+
+@query("""SELECT u.upload_id, u.bucket, u.key, count(p.part_number) AS n_parts, CAST(coalesce(sum(p.size), 0) AS BIGINT) AS bytes FROM multipart_uploads u LEFT JOIN latest_parts p USING (upload_id) GROUP BY ALL""", "multipart_uploads", "multipart_parts", "latest_parts")
+def multipart_summary(spark, d):
+    return multipart.summary(t.multipart_uploads(spark, d), t.multipart_parts(spark, d))
+
+
+@query("SELECT upload_id, part_number, size, written_at FROM latest_parts", "multipart_parts", "latest_parts")
+def parts_latest(spark, d):
+    return multipart.latest_parts(t.multipart_parts(spark, d))
+
+
+@query("""SELECT upload_id, string_agg(part_number, ',' ORDER BY part_number) AS parts, string_agg(start, ',' ORDER BY part_number) AS offsets, CAST(sum(size) AS BIGINT) AS bytes FROM (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY upload_id ORDER BY part_number) - size AS BIGINT) AS start FROM latest_parts) GROUP BY upload_id""", "multipart_parts", "latest_parts")
+def assemble_order(spark, d):
+    return multipart.manifest(t.multipart_parts(spark, d))
+
+
+@query("SELECT upload_id, bucket, key FROM multipart_uploads WHERE created_at < 1706659200 - 200000000", "multipart_uploads")
+def stale_uploads(spark, d):
+    return multipart.stale(t.multipart_uploads(spark, d), NOW, 200_000_000).select("upload_id", "bucket", "key")
+
+
+@query("SELECT upload_id FROM multipart_uploads WHERE expires_at < 1706659200 - 150000000", "multipart_uploads")
+def expired_uploads(spark, d):
+    return multipart.stale(t.multipart_uploads(spark, d), NOW - 150_000_000).select("upload_id")
+
+
+@query("""SELECT CAST(i AS VARCHAR) AS upload_id, CASE WHEN u.upload_id IS NULL THEN 'missing' WHEN i % 2 = 0 THEN 'ok' ELSE 'wrong_target' END AS verdict FROM (SELECT o_orderkey * 2 AS i, o_orderkey FROM orders) r LEFT JOIN multipart_uploads u ON u.upload_id = CAST(i AS VARCHAR)""", "multipart_uploads")
+def session_check(spark, d):
+    u = t.multipart_uploads(spark, d)
+    i = F.col("o_orderkey") * 2
+    req = t.table(spark, d, "orders").select(i.cast("string").alias("upload_id")).join(u.select("upload_id", "bucket", "key"), "upload_id", "left")
+    return multipart.owned(u, req)
+
+
+# --- blocks
+
+
+def doc_blocks(spark: SparkSession, d: str, size: int = BLOCK) -> DataFrame:
+    """Blocks of the bytes of all documents."""
+    docs = t.table(spark, d, "documents").select(F.col("source").alias("bucket"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("key"), "text")
+    return blocks.chunk(docs, F.encode("text", "UTF-8"), size)
+
+
+@query("SELECT block_hash, count(*) AS refcount, max(size) AS size FROM doc_blocks GROUP BY block_hash", "doc_blocks")
+def block_refcounts(spark, d):
+    return blocks.refcounts(doc_blocks(spark, d))
+
+
+@query("""SELECT *, logical_bytes - stored_bytes AS saved_bytes FROM (SELECT CAST(sum(n * size) AS BIGINT) AS logical_bytes, CAST(sum(size) AS BIGINT) AS stored_bytes, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS refs FROM (SELECT block_hash, count(*) AS n, max(size) AS size FROM doc_blocks GROUP BY 1))""", "doc_blocks")
+def dedup_savings(spark, d):
+    return blocks.savings(doc_blocks(spark, d))
+
+
+@query("""SELECT block_hash, CAST(sum(x) AS BIGINT) AS refcount FROM (SELECT block_hash, 1 AS x FROM doc_blocks UNION ALL SELECT block_hash, 1 FROM doc_blocks WHERE block_idx = 0 UNION ALL SELECT block_hash, -1 FROM doc_blocks WHERE block_idx = 1) GROUP BY 1 HAVING sum(x) > 0""", "doc_blocks")
+def refcount_delta(spark, d):
+    b = doc_blocks(spark, d).select("block_idx", "block_hash", "size")
+    return blocks.apply_deltas(blocks.refcounts(b), b.where("block_idx = 0"), b.where("block_idx = 1")).select("block_hash", "refcount")
+
+
+@query("""SELECT bucket, key, block_idx, CAST(e - size AS BIGINT) AS logical_start, CAST(e AS BIGINT) AS logical_end FROM (SELECT *, sum(size) OVER (PARTITION BY bucket, key ORDER BY block_idx) AS e FROM doc_blocks)""", "doc_blocks")
+def block_offsets(spark, d):
+    return blocks.offsets(doc_blocks(spark, d).drop("body")).select("bucket", "key", "block_idx", "logical_start", "logical_end")
+
+
+@query("""SELECT bucket, key, bool_and(block_idx = rn - 1 AND e > p) AS valid FROM (SELECT *, row_number() OVER w AS rn, coalesce(lag(e) OVER w, 0) AS p FROM
+  (SELECT bucket, key, block_idx, sum(size) OVER (PARTITION BY bucket, key ORDER BY block_idx) - CASE WHEN bucket = 'src1' AND block_idx = 2 THEN 5000 ELSE 0 END AS e FROM doc_blocks) WINDOW w AS (PARTITION BY bucket, key ORDER BY block_idx)) GROUP BY ALL""", "doc_blocks")
+def block_index_valid(spark, d):
+    i = blocks.offsets(doc_blocks(spark, d).drop("body"))
+    return blocks.index_valid(i.withColumn("logical_end", F.col("logical_end") - F.when((F.col("bucket") == "src1") & (F.col("block_idx") == 2), 5000).otherwise(0)))
+
+
+@query("""SELECT bucket, key, block_idx, CAST(greatest(1500 - s, 0) AS BIGINT) AS skip, CAST(least(e, 3100) - s - greatest(1500 - s, 0) AS BIGINT) AS take FROM (
+  SELECT *, e - size AS s FROM (SELECT *, sum(size) OVER (PARTITION BY bucket, key ORDER BY block_idx) AS e FROM doc_blocks)) WHERE s < 3100 AND e > 1500""", "doc_blocks")
+def range_blocks(spark, d):
+    return blocks.overlapping(blocks.offsets(doc_blocks(spark, d).drop("body")), 1500, 3100).select("bucket", "key", "block_idx", "skip", "take")
+
+
+@query("""SELECT source AS bucket, lang || '/' || doc_id AS key, lower(hex(array_slice(encode(text), 1501, 3100))) AS body_hex FROM documents WHERE octet_length(encode(text)) > 1500""")
+def read_range(spark, d):
+    b = doc_blocks(spark, d)
+    return blocks.read_range(blocks.offsets(b.drop("body")), b, 1500, 3100).select("bucket", "key", F.lower(F.hex("body")).alias("body_hex"))
+
+
+@query("SELECT bucket, key, block_idx, NOT (block_idx = 3) AS intact FROM doc_blocks", "doc_blocks")
+def block_checksum_verify(spark, d):
+    b = doc_blocks(spark, d)
+    b = b.withColumn("body", F.when(F.col("block_idx") == 3, F.concat("body", F.lit(b"x"))).otherwise(F.col("body")))
+    return blocks.verify(b).select("bucket", "key", "block_idx", "intact")
+
+
+@query("SELECT md5(text) AS etag, count(*) AS copies, min(doc_id) AS keep FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicate_objects(spark, d):
+    return t.doc_objects(spark, d).groupBy("etag").agg(F.count("*").alias("copies"), F.min("doc_id").alias("keep")).where("copies > 1")
+
+
+@query()
+def block_compression(spark, d):
+    return blocks.compress_sizes(doc_blocks(spark, d, 4096))
+
+
+@query()
+def xxh3_etag(spark, d):
+    return t.table(spark, d, "documents").select("doc_id", keys.xxh3_hex()(F.encode("text", "UTF-8")).alias("etag"))
+
+
+@query()
+def percent_decode(spark, d):
+    return t.table(spark, d, "pages").select("page_id", keys.percent_decode()("url").alias("decoded"))
+
+
+# --- reconcile and scrub
+
+
+@query("SELECT bucket, key, bytes FROM doc_blobs b ANTI JOIN (SELECT bucket, key FROM doc_objects WHERE deleted_at IS NULL) o USING (bucket, key)", "doc_objects", "doc_blobs")
+def orphans(spark, d):
+    return reconcile.orphans(t.doc_objects(spark, d), t.doc_blobs(spark, d)).select("bucket", "key", "bytes")
+
+
+@query("SELECT bucket, key, bytes FROM doc_blobs b ANTI JOIN doc_objects o USING (bucket, key)", "doc_objects", "doc_blobs")
+def orphans_without_tombstones(spark, d):
+    return reconcile.orphans(t.doc_objects(spark, d), t.doc_blobs(spark, d), include_tombstones=True).select("bucket", "key", "bytes")
+
+
+@query("SELECT count(*) AS removed, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes FROM doc_blobs b ANTI JOIN (SELECT bucket, key FROM doc_objects WHERE deleted_at IS NULL) o USING (bucket, key)", "doc_objects", "doc_blobs")
+def orphan_gc(spark, d):
+    return reconcile.orphans(t.doc_objects(spark, d), t.doc_blobs(spark, d)).agg(F.count("*").alias("removed"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+
+
+@query("SELECT bucket, key FROM doc_objects o ANTI JOIN doc_blobs b USING (bucket, key) WHERE o.deleted_at IS NULL", "doc_objects", "doc_blobs")
+def stale_rows(spark, d):
+    return reconcile.stale_rows(t.doc_objects(spark, d), t.doc_blobs(spark, d)).select("bucket", "key")
+
+
+_PAYLOADS = "SELECT DISTINCT 'b' || (user_id % 4) AS bucket, 'data/' || user_id AS key FROM events WHERE event_id % 3 = 0"
+
+
+def _payloads(spark, d):
+    return t.table(spark, d, "events").where("event_id % 3 = 0").select(F.concat(F.lit("b"), (F.col("user_id") % 4).cast("string")).alias("bucket"), F.concat(F.lit("data/"), F.col("user_id").cast("string")).alias("key")).distinct()
+
+
+@query(f"SELECT event_id, bucket, key FROM replication_log l ANTI JOIN ({_PAYLOADS}) p USING (bucket, key) WHERE status = 'pending' AND op = 'put'", "replication_log")
+def missing_payload(spark, d):
+    return reconcile.missing_payloads(t.replication_log(spark, d), _payloads(spark, d)).select("event_id", "bucket", "key")
+
+
+@query("""SELECT (SELECT count(*) FROM doc_objects o ANTI JOIN doc_blobs b USING (bucket, key) WHERE o.deleted_at IS NULL) AS stale_rows, g.orphan_files, g.orphan_bytes,
+  (SELECT count(*) FROM replication_log WHERE status = 'pending') AS pending_events, (SELECT count(*) FROM replication_log l ANTI JOIN doc_blobs b USING (bucket, key) WHERE status = 'pending' AND op = 'put') AS missing_payloads
+  FROM (SELECT count(*) AS orphan_files, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS orphan_bytes FROM doc_blobs b ANTI JOIN (SELECT bucket, key FROM doc_objects WHERE deleted_at IS NULL) o USING (bucket, key)) g""", "doc_objects", "doc_blobs", "replication_log")
+def reconcile_report(spark, d):
+    return reconcile.report(t.doc_objects(spark, d), t.doc_blobs(spark, d), t.replication_log(spark, d))
+
+
+@query("SELECT bucket, key FROM doc_objects WHERE CAST('0x' || substr(md5(bucket || '/' || key), 1, 8) AS BIGINT) % 16 = 0", "doc_objects")
+def scrub_sample(spark, d):
+    return t.doc_objects(spark, d).where(keys.sampled(F.col("bucket"), F.col("key"), 16)).select("bucket", "key")
+
+
+_STORED = "SELECT bucket, key, CASE WHEN doc_id % 13 = 0 THEN 'bad' ELSE etag END AS stored_etag FROM doc_objects WHERE doc_id % 17 <> 0"
+_VERDICT = f"""SELECT o.bucket, o.key, CASE WHEN s.stored_etag IS NULL THEN 'missing' WHEN s.stored_etag = o.etag THEN 'ok' ELSE 'corrupted' END AS verdict
+  FROM doc_objects o LEFT JOIN ({_STORED}) s USING (bucket, key) WHERE o.deleted_at IS NULL AND CAST('0x' || substr(md5(o.bucket || '/' || o.key), 1, 8) AS BIGINT) % 4 = 0"""
+
+
+def _stored(o):
+    return o.where("doc_id % 17 <> 0").select("bucket", "key", F.when(F.col("doc_id") % 13 == 0, "bad").otherwise(F.col("etag")).alias("stored_etag"))
+
+
+@query(f"SELECT (SELECT count(*) FROM doc_objects WHERE deleted_at IS NULL) AS scanned, (SELECT count(*) FROM doc_objects WHERE deleted_at IS NULL) - count(*) AS sampled_out, count(*) FILTER (verdict = 'ok') AS verified, count(*) FILTER (verdict = 'corrupted') AS corrupted, count(*) FILTER (verdict = 'missing') AS missing FROM ({_VERDICT})", "doc_objects")
+def scrub_report(spark, d):
+    o = t.doc_objects(spark, d)
+    return reconcile.scrub_report(o, _stored(o), 4)
+
+
+@query(f"""SELECT v.bucket, v.key, v.verdict, r.source_node, r.source_node IS NOT NULL AS healed FROM ({_VERDICT}) v LEFT JOIN (SELECT bucket, key, min('n' || (doc_id % 3)) AS source_node FROM doc_objects WHERE doc_id % 2 = 0 GROUP BY ALL) r USING (bucket, key) WHERE v.verdict <> 'ok'""", "doc_objects")
+def scrub_heal(spark, d):
+    o = t.doc_objects(spark, d)
+    replicas = o.where("doc_id % 2 = 0").select("bucket", "key", F.concat(F.lit("n"), (F.col("doc_id") % 3).cast("string")).alias("node_id"))
+    return reconcile.heal(reconcile.scrub(o, _stored(o), 4), replicas)
+
+
+@query("""SELECT bucket, key, CASE WHEN size < 4096 THEN 'skip' WHEN coalesce(storage_class, 'default') = 'archive' THEN 'keep' ELSE 'recompress' END AS action FROM doc_objects WHERE deleted_at IS NULL""", "doc_objects")
+def recompress_plan(spark, d):
+    return reconcile.recompress_plan(t.doc_objects(spark, d))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'gzip' WHEN 1 THEN 'png' WHEN 2 THEN 'html' ELSE 'raw' END AS format FROM pages WHERE html LIKE '<!DOCTYPE%' OR html LIKE '<!doctype%'""")
+def format_sniff(spark, d):
+    p = t.table(spark, d, "pages").where("html LIKE '<!DOCTYPE%' OR html LIKE '<!doctype%'")
+    i, body = F.col("page_id"), F.encode("html", "UTF-8")
+    own = F.when(i % 4 == 0, F.concat(F.unhex(F.lit("1F8B0800")), body)).when(i % 4 == 1, F.concat(F.unhex(F.lit("89504E47")), body)).when(i % 4 == 2, body).otherwise(F.concat(F.lit(b"x"), body))
+    got = reconcile.sniff(p.select(F.lit("p").alias("bucket"), i.cast("string").alias("key"), own.alias("body")))
+    return got.select(F.col("key").cast("long").alias("page_id"), "format")
+
+
+# --- placement
+
+_RULES = """CASE WHEN key LIKE 'de/%' AND size >= 4000 THEN 0 WHEN key LIKE '%0' AND mime_type LIKE 'text/%' THEN 1 WHEN mime_type LIKE 'application/%' THEN 2 ELSE 3 END"""
+_CLASS = "['archive', 'hot', 'cold', 'default'][r + 1]"
+
+
+@query(f"SELECT bucket, key, r AS rule_idx, {_CLASS} AS rule_class FROM (SELECT *, {_RULES} AS r FROM doc_objects)", "doc_objects")
+def placement_rules(spark, d):
+    return placement.first_rule(t.doc_objects(spark, d), t.rules(spark)).select("bucket", "key", "rule_idx", "rule_class")
+
+
+@query(f"SELECT bucket, key, r AS rule_idx, {_CLASS} AS rule_class FROM (SELECT *, {_RULES} AS r FROM doc_objects)", "doc_objects")
+def placement_rules_join(spark, d):
+    return placement.first_rule_join(t.doc_objects(spark, d), t.rules(spark))
+
+
+@query(f"""SELECT bucket, key, coalesce(CASE WHEN doc_id % 10 = 0 THEN 'header' END, CASE WHEN doc_id % 6 = 0 THEN 'hot' END, {_CLASS}) AS storage_class FROM (SELECT *, {_RULES} AS r FROM doc_objects)""", "doc_objects")
+def placement_resolve(spark, d):
+    o = placement.first_rule(t.doc_objects(spark, d), t.rules(spark))
+    header = F.when(F.col("doc_id") % 10 == 0, "header").otherwise("")
+    return o.select("bucket", "key", placement.resolve_class(header, keys.meta_get(F.col("custom_meta"), "storage-class"), F.col("rule_class")).alias("storage_class"))
+
+
+@query("""SELECT * FROM (VALUES ('archive', 'node2'), ('hot', 'node1'), ('cold', (SELECT min(n_name) FROM nation WHERE n_nationkey % 3 <> 1)), ('default', 'node0')) v(storage_class, node)""")
+def placement_node(spark, d):
+    return placement.class_nodes(t.rules(spark), t.peers(spark, d))
+
+
+@query(f"""SELECT bucket, key, CASE r WHEN 3 THEN 'local' ELSE 'forward' END AS gate FROM (SELECT *, {_RULES} AS r FROM doc_objects)""", "doc_objects")
+def placement_gate(spark, d):
+    o = placement.first_rule(t.doc_objects(spark, d), t.rules(spark)).join(F.broadcast(placement.class_nodes(t.rules(spark), t.peers(spark, d)).withColumnRenamed("storage_class", "rule_class")), "rule_class", "left")
+    return o.select("bucket", "key", placement.gate(F.col("node"), "node0", True).alias("gate"))
+
+
+@query("""SELECT 'user' || (doc_id % 5) AS subject, bucket, (doc_id % 5) < 2 AND bucket IN ('src0', 'src1', 'src2') AS allowed FROM doc_objects""", "doc_objects")
+def bucket_policy(spark, d):
+    pol = spark.createDataFrame([(f"user{u}", f"src{b}") for u in (0, 1) for b in (0, 1, 2)], "subject string, bucket string")
+    return placement.bucket_allowed(pol, t.doc_objects(spark, d).select(F.concat(F.lit("user"), (F.col("doc_id") % 5).cast("string")).alias("subject"), "bucket"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN event_id % 5 <> 4 WHEN 2 THEN event_id % 5 < 2 ELSE false END AS allowed FROM events""")
+def role_method(spark, d):
+    e = F.col("event_id")
+    role = F.when(e % 4 == 0, "admin").when(e % 4 == 1, "writer").when(e % 4 == 2, "reader").otherwise("guest")
+    method = F.when(e % 5 == 0, "GET").when(e % 5 == 1, "HEAD").when(e % 5 == 2, "PUT").when(e % 5 == 3, "DELETE").otherwise("PATCH")
+    return t.table(spark, d, "events").select("event_id", placement.role_allowed(role, method).alias("allowed"))
+
+
+# --- replication
+
+_DUE = "(status = 'pending' OR (status = 'failed' AND (next_retry_at IS NULL OR next_retry_at <= 1705000000)))"
+
+
+@query(f"SELECT event_id, created_at, 'pending' AS status FROM replication_log WHERE {_DUE} ORDER BY created_at, event_id LIMIT 64", "replication_log")
+def replication_due(spark, d):
+    return replication.due(t.replication_log(spark, d), 1705000000, 64).select("event_id", "created_at", "status")
+
+
+@query(f"""SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'dead_letter') AS dead_letter, count(*) FILTER (status = 'sent') AS sent, count(*) FILTER (status = 'applied') AS applied,
+  count(*) FILTER ({_DUE}) AS due, 1705000000 - min(created_at) FILTER (status = 'pending') AS oldest_pending_seconds FROM replication_log""", "replication_log")
+def replication_status(spark, d):
+    return replication.status(t.replication_log(spark, d), 1705000000)
+
+
+@query("""SELECT event_id, CAST(attempts + 1 AS INTEGER) AS attempts, CASE WHEN attempts + 1 >= 20 THEN 'dead_letter' ELSE 'failed' END AS status, CASE WHEN attempts + 1 < 20 THEN 1706659200 + least(CAST(pow(2, least(attempts + 1, 10)) AS BIGINT), 3600) END AS next_retry_at FROM replication_log WHERE status IN ('pending', 'failed')""", "replication_log")
+def replication_backoff(spark, d):
+    return replication.after_failure(t.replication_log(spark, d).where("status IN ('pending', 'failed')"), NOW).select("event_id", "attempts", "status", "next_retry_at")
+
+
+@query("SELECT event_id, CASE WHEN status = 'dead_letter' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'dead_letter' THEN 0 ELSE attempts END AS attempts, CASE WHEN status <> 'dead_letter' THEN next_retry_at END AS next_retry_at FROM replication_log", "replication_log")
+def dead_letter_replay(spark, d):
+    return replication.replay(t.replication_log(spark, d)).select("event_id", "status", "attempts", "next_retry_at")
+
+
+@query("SELECT status = 'dead_letter' AS dead, op, count(*) AS n, CAST(sum(attempts) AS BIGINT) AS attempts FROM replication_log GROUP BY ALL", "replication_log")
+def dead_letter_split(spark, d):
+    return t.replication_log(spark, d).groupBy((F.col("status") == "dead_letter").alias("dead"), "op").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
+
+
+@query("SELECT event_id FROM replication_log WHERE key NOT LIKE 'staging/%' AND NOT (key LIKE 'logs/1%' OR bucket || '/' || key LIKE 'b3/%') AND (key LIKE 'data/%' OR key LIKE 'logs/%')", "replication_log")
+def replicate_filter(spark, d):
+    return t.replication_log(spark, d).where(replication.replicated(["data/", "logs/"], ["logs/1", "b3/"])).select("event_id")
+
+
+@query("""SELECT event_id, node_id, CAST(rank AS INTEGER) AS rank FROM (SELECT event_id, node_id, row_number() OVER (PARTITION BY event_id ORDER BY node_id) AS rank FROM replication_log l JOIN peers p
+  ON (len(storage_classes) = 0 OR list_contains(storage_classes, l.storage_class)) AND (l.replication_group IS NULL OR p.replication_group = l.replication_group) WHERE l.status = 'pending' AND node_id <> origin_node) WHERE rank <= 2""", "replication_log", "peers")
+def peer_fanout(spark, d):
+    return replication.fan_out(t.replication_log(spark, d).where("status = 'pending'"), t.peers(spark, d), 3)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 >= 2 THEN 'sent' WHEN event_id % 4 > 0 THEN 'retry_now' ELSE 'failed' END AS outcome FROM events")
+def drain_outcome(spark, d):
+    return t.table(spark, d, "events").select("event_id", replication.drain_outcome(F.col("event_id") % 4, F.lit(2)).alias("outcome"))
+
+
+@query("SELECT bucket, key, 'put' AS op, size, etag FROM (SELECT * FROM doc_objects WHERE deleted_at IS NULL ORDER BY updated_at, bucket, key LIMIT 200) WHERE NOT (key LIKE 'fr/%') AND key NOT LIKE 'staging/%'", "doc_objects")
+def backfill_plan(spark, d):
+    return replication.backfill(t.doc_objects(spark, d), 200, [], ["fr/"])
+
+
+@query("SELECT event_id, op FROM replication_log WHERE event_id NOT IN (SELECT event_id FROM replication_log WHERE status = 'applied')", "replication_log")
+def idempotent_apply(spark, d):
+    log = t.replication_log(spark, d)
+    return replication.unseen(log.unionByName(log.where("op = 'put'")), log.where("status = 'applied'")).select("event_id", "op")
+
+
+@query("SELECT bucket, key, size, event_id FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY created_at DESC, CAST(event_id AS BIGINT) DESC) AS rn FROM replication_log) WHERE rn = 1 AND op = 'put'", "replication_log")
+def apply_log(spark, d):
+    return replication.apply_events(t.replication_log(spark, d))
+
+
+@query("SELECT event_id, CASE WHEN CAST(event_id AS BIGINT) % 11 = 0 THEN 'rejected' ELSE 'accepted' END AS verdict FROM replication_log", "replication_log")
+def wire_checksum_split(spark, d):
+    log = t.replication_log(spark, d)
+    got = F.when(F.col("event_id").cast("long") % 11 == 0, "bad").otherwise(F.md5("event_id"))
+    return log.select("event_id", F.when(got == F.col("wire_checksum"), "accepted").otherwise("rejected").alias("verdict"))
+
+
+@query("""SELECT CAST(sum(n) AS BIGINT) AS deleted, string_agg(f, ',' ORDER BY f) AS failed, bool_or(trunc) AS truncated, min(node) FILTER (node <> 'node0') AS cursor FROM (
+  SELECT origin_node AS node, count(*) AS n, 'k' || origin_node AS f, origin_node = 'node2' AS trunc FROM doc_objects WHERE deleted_at IS NULL GROUP BY origin_node)""", "doc_objects")
+def delete_fanout_merge(spark, d):
+    n = listing.active(t.doc_objects(spark, d)).groupBy(F.col("origin_node").alias("node_id")).agg(F.count("*").alias("deleted"))
+    n = n.withColumn("failed_keys", F.array(F.concat(F.lit("k"), "node_id"))).withColumn("truncated", F.col("node_id") == "node2").withColumn("cursor", F.when(F.col("node_id") != "node0", F.col("node_id")))
+    return replication.merge_deletes(n)
+
+
+@query("""SELECT bucket, key, CASE WHEN doc_id % 3 = 0 AND deleted_at IS NULL THEN 'local' WHEN doc_id % 2 = 0 THEN 'n1' ELSE 'missing' END AS source FROM doc_objects""", "doc_objects")
+def read_repair(spark, d):
+    o = t.doc_objects(spark, d)
+    remote = o.where("doc_id % 2 = 0").select("bucket", "key", F.explode(F.array(F.lit("n2"), F.lit("n1"))).alias("node_id"))
+    return replication.read_repair(o.select("bucket", "key"), listing.active(o).where("doc_id % 3 = 0"), remote)
+
+
+# --- streaming
+
+
+@query("SELECT event_id, op, bucket, key FROM replication_log WHERE key NOT LIKE 'staging/%'", "replication_log")
+def stream_idempotent_apply(spark, d):
+    return stream.run_apply(spark, d)
+
+
+@query("SELECT status, count(*) AS n FROM replication_log GROUP BY status", "replication_log")
+def stream_status_counts(spark, d):
+    return stream.run_status(spark, d)
+
+
+@query()
+def stream_rate_limit(spark, d):
+    return stream.run_rate_limit(spark, d)
