@@ -9,8 +9,12 @@ a file fit 32 bits, as a file is closed at ``SHARD_TOKENS`` tokens or with the f
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -21,8 +25,7 @@ from quayside.llm.common import local_path, scratch, store, table
 MAGIC = b"QSTOKEN1"
 SAMPLE = 256
 SHARD_TOKENS = 1 << 25
-CACHE_WORDS = 300_000  # words kept by a worker, twice over
-GROUP_CHARS = 1 << 20
+CACHE_WORDS = 250_000  # words kept by a worker, twice over
 END_ID = 1
 
 
@@ -139,63 +142,85 @@ class Reader:
         return at, np.frombuffer(raw, f"<u{self.width}")
 
 
+class Words(dict):
+    """Packed ids by word: a missing one is taken from the dictionary before this one, or worked out."""
+
+    def __init__(self, make, before):
+        super().__init__()
+        self.make, self.before = make, dict(before)
+
+    def __missing__(self, word):
+        got = self.before.get(word)
+        if got is None:
+            got = self.make(word)
+        self[word] = got
+        return got
+
+
 class WordEncoder:
-    """Ids of a text by a tokenizers file whose pieces never span white space: each word between white space is
-    encoded once and kept. A text with one of the tokenizer's own special strings, or with a control character that only
-    Python takes for white space, is encoded in one piece."""
+    """Ids of a text by a tokenizers file whose pieces never span white space.
+
+    Each word between white space is encoded once and kept, by its pieces, each of which goes through the model once.
+    This takes the file's normalizer (NFC, lower case) and splitter (as in ``SPLIT``) to be those that it checks for. A
+    text with one of the tokenizer's special strings, with characters whose lower case depends on their place, not in
+    NFC or with a control character that only Python takes for white space is encoded in one piece by the library.
+    """
+
+    SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fixed value: the file's own pattern
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        steps = [x["type"] for x in own["normalizer"]["normalizers"]]
+        split = own["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")
+        if steps != ["NFC", "Replace", "Lowercase"] or split != self.SPLIT:
+            raise ValueError("a tokenizer with another normalizer or splitter")
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.odd = str.maketrans("", "", "\x1c\x1d\x1e\x1f")
-        self.hot, self.old = {}, {}
+        specials = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join(["[\x1c-\x1f\u0130\u03a3]", *specials]))
+        self.split = regex.compile(self.SPLIT)
+        # Byte-level pieces: printable bytes stand for themselves, the others for the characters from 256 on, in order.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.chars = [rest.get(b) or chr(b) for b in range(256)]
+        self.pieces, self.words = Words(self._piece, {}), Words(self._word, {})
 
     def pack(self, ids) -> bytes:
-        return np.asarray(ids, f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.hot) > CACHE_WORDS:
-            self.hot, self.old = {}, self.hot
-        new = []
-        for w in words.difference(self.hot):
-            ids = self.old.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                self.hot[w] = ids
-        for at in range(0, len(new), 4096):
-            cut = new[at : at + 4096]
-            for w, e in zip(cut, self.tok.encode_batch_fast(cut, add_special_tokens=False)):
-                self.hot[w] = self.pack(e.ids)
+    def _piece(self, piece: str) -> bytes:
+        return self.pack([t.id for t in self.tok.model.tokenize("".join([self.chars[b] for b in piece.encode()]))])
+
+    def _word(self, word: str) -> bytes:
+        return b"".join([self.pieces[p] for p in self.split.findall(word)])
 
     def encode(self, texts):
         """Packed ids of each text (None: empty), in order."""
-        run, size = [], 0
         for t in texts:
-            t = t if isinstance(t, str) else ""
-            run.append(t)
-            size += len(t)
-            if size > GROUP_CHARS:
-                yield from self._run(run)
-                run, size = [], 0
-        yield from self._run(run)
-
-    def _run(self, run):
-        split = []
-        for t in run:
-            odd = any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f")
-            split.append(None if odd else t.split())
-        self.learn(set().union(*[w for w in split if w]))
-        get = self.hot.__getitem__
-        for t, words in zip(run, split):
-            yield self.whole(t) if words is None else b"".join(map(get, words))
+            if not isinstance(t, str) or not t:
+                yield b""
+            elif self.odd.search(t) or not unicodedata.is_normalized("NFC", t):
+                yield self.whole(t)
+            else:
+                if len(self.words) > CACHE_WORDS:
+                    self.words = Words(self._word, self.words)
+                if len(self.pieces) > CACHE_WORDS:
+                    self.pieces = Words(self._piece, self.pieces)
+                yield b"".join(map(self.words.__getitem__, t.lower().split()))
+
+
+@functools.lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, with the words that its earlier tasks have met."""
+    return WordEncoder(path)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +238,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
         ctx = TaskContext.get()
         fs, base = local_path(folder)
-        enc = WordEncoder(tokenizer_path)
+        enc = word_encoder(tokenizer_path)
         end, w, seq, done = enc.pack([end_id]), None, 0, []
 
         def close():
