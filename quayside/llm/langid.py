@@ -6,6 +6,7 @@ n-grams of which the model knows at least one adds the mean of those. Only diffe
 """
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,12 +20,13 @@ SAMPLE = 1_000  # texts of each language that a model is fitted on at most
 ORDERS = (5, 4, 3, 2, 1)
 LEAST = 2  # a word or n-gram seen less often in the sample is unknown
 SMOOTH = 0.5
-CACHE = 300_000  # white-space tokens kept by a worker
+CACHE = 500_000  # words kept by a worker
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Model:
     def __init__(self, texts, langs):
+        self.key = uuid.uuid4().hex
         self.langs = sorted(set(langs))
         at = {x: i for i, x in enumerate(self.langs)}
         words = [Counter() for _ in self.langs]
@@ -72,51 +74,58 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+class Rows(dict):
+    """Words with the numbers of their rows: a new word gets the next one."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.vectors = model, []
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self.vectors)
+        self.vectors.append(self.model.word(word))
+        return i
+
+
 class Predictor:
-    """Predictions with the vectors of white-space tokens kept between texts."""
+    """Predictions with the vectors of words kept between texts, at most ``CACHE`` of them and those of one text."""
 
     def __init__(self, model: Model):
-        self.model, self.index = model, {}
-        self.rows = np.zeros((CACHE + 1, len(model.langs) + 1), np.float32)
-
-    def learn(self, tokens: list[str]) -> None:
-        """Give each of these new tokens a row: the sum of its words' vectors, and their number."""
-        width, rows = self.rows.shape[1], []
-        for t in tokens:
-            words = WORD.findall(t.lower())
-            if len(words) == 1:
-                rows.append((*self.model.word(words[0]), 1))
-            else:
-                rows.append(tuple(map(sum, zip(*[(*self.model.word(w), 1) for w in words]))) if words else (0,) * width)
-        first = len(self.index)
-        self.rows[first : first + len(rows)] = rows
-        self.index.update(zip(tokens, range(first, first + len(rows))))
+        self.model, self.rows = model, Rows(model)
+        self.matrix = np.zeros((0, len(model.langs)), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its probability; ("und", 0.0) for a null text or one without letters."""
-        tokens = text.split() if text else []
-        if len(tokens) > CACHE // 2:
-            total = np.zeros(self.rows.shape[1])
-            for at in range(0, len(tokens), CACHE // 2):
-                total += self._sum(tokens[at : at + CACHE // 2])
-        else:
-            total = self._sum(tokens)
-        n = total[-1]
-        if not n or not self.model.langs:
+        words = WORD.findall(text.lower()) if text else []
+        if not words or not self.model.langs:
             return "und", 0.0
-        z = total[:-1] / np.sqrt(n)
+        if len(self.rows) > CACHE:
+            self.rows, self.matrix = Rows(self.model), self.matrix[:0]
+        at = list(map(self.rows.__getitem__, words))
+        known, have = len(self.matrix), len(self.rows.vectors)
+        total = np.zeros(len(self.model.langs))
+        if have - known > 4096:
+            self.matrix, known = np.array(self.rows.vectors, np.float32), have
+        if known < have:
+            # Vectors that are not in the matrix yet, a few thousand at most.
+            fresh = [i for i in at if i >= known]
+            at = [i for i in at if i < known]
+            total += np.array([self.rows.vectors[i] for i in fresh], np.float32).sum(axis=0, dtype=np.float64) if fresh else 0
+        total += self.matrix[at].sum(axis=0, dtype=np.float64) if at else 0
+        z = total / np.sqrt(len(words))
         p = np.exp(z - z.max())
         best = int(p.argmax())
         return self.model.langs[best], float(p[best] / p.sum())
 
-    def _sum(self, tokens) -> np.ndarray:
-        if len(self.index) + len(tokens) > CACHE:
-            self.index.clear()
-        new = list(set(tokens).difference(self.index))
-        if new:
-            self.learn(new)
-        at = list(map(self.index.__getitem__, tokens))
-        return self.rows[at].sum(axis=0, dtype=np.float64) if at else np.zeros(self.rows.shape[1])
+
+_own: list[Predictor] = []
+
+
+def predictor(model: Model) -> Predictor:
+    """The predictor of this worker process for a model, with the words that its earlier tasks have met."""
+    if not _own or _own[0].model.key != model.key:
+        _own[:] = [Predictor(model)]
+    return _own[0]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, learn=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -140,7 +149,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text"):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        p = Predictor(sent.value)
+        p = predictor(sent.value)
         for texts in batches:
             yield pd.DataFrame([p.predict(t) for t in texts], columns=["lang_pred", "score"])
 

@@ -11,6 +11,7 @@ characters up to the next one; each run is encoded once and kept.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 
@@ -23,6 +24,22 @@ CACHE_RUNS = 250_000  # runs kept by a worker, twice over
 CACHE_PAIRS = 2_000_000
 
 
+class Runs(dict):
+    """Runs with their ids and these as text: a missing one is taken from the dictionary before this one, or worked out."""
+
+    def __init__(self, encoder, before):
+        super().__init__()
+        self.encoder, self.before = encoder, dict(before)
+
+    def __missing__(self, run):
+        got = self.before.get(run)
+        if got is None:
+            ids = tuple(self.encoder.run_ids(run))
+            got = (ids, ",".join(map(str, ids)))
+        self[run] = got
+        return got
+
+
 class PieceEncoder:
     """Encodes and decodes as the sentencepiece library does with a BPE model with byte fallback."""
 
@@ -47,7 +64,7 @@ class PieceEncoder:
         for i, p in self.piece.items():
             self.auto.add_word(p, (len(p), i))
         self.auto.make_automaton()
-        self.pairs, self.hot, self.old = {}, {}, {}
+        self.pairs, self.hot = {}, Runs(self, {})
 
     def merge(self, text: str) -> list[str]:
         """Pieces of ``text`` by merging: the best-scored adjacent pair first, the leftmost of equals."""
@@ -132,21 +149,11 @@ class PieceEncoder:
                 pieces.append(MARK * marks)
         return pieces
 
-    def learn(self, runs) -> None:
-        if len(self.hot) > CACHE_RUNS:
-            self.hot, self.old = {}, self.hot
-        for r in runs.difference(self.hot):
-            got = self.old.get(r)
-            if got is None:
-                ids = tuple(self.run_ids(r))
-                got = (ids, ",".join(map(str, ids)))
-            self.hot[r] = got
-
     def encode_with_text(self, text: str) -> tuple[list[int], str]:
         """Ids of a text, and the same as decimal numbers joined by commas."""
-        runs = self.runs(text)
-        self.learn(set(runs))
-        got = [self.hot[r] for r in runs]
+        if len(self.hot) > CACHE_RUNS:
+            self.hot = Runs(self, self.hot)
+        got = list(map(self.hot.__getitem__, self.runs(text)))
         return list(itertools.chain.from_iterable(g[0] for g in got)), ",".join([g[1] for g in got])
 
     def encode(self, text: str) -> list[int]:
@@ -156,6 +163,12 @@ class PieceEncoder:
         return self.lib.decode(ids)
 
 
+@functools.lru_cache(maxsize=1)
+def piece_encoder(path: str) -> PieceEncoder:
+    """The encoder of this worker process, with the runs that its earlier tasks have met."""
+    return PieceEncoder(path)
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, and with ``with_ids`` the ids and the decoded text.
 
@@ -166,7 +179,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches):
         import pandas as pd
 
-        enc = PieceEncoder(model_path)
+        enc = piece_encoder(model_path)
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
