@@ -1,0 +1,443 @@
+"""The training-data operators against brute force, the installed libraries and awkward rows."""
+
+import collections
+import hashlib
+import io
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from quayside.llm import components, decontam, langid, linededup, neardup, pii, piecewise, quality, registry, tokenids, topk, warc
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "word " * 60_000
+
+
+def docs(spark, texts, **extra):
+    """Documents with these texts; ids count from 0. Each extra value becomes one more column."""
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOC)
+    return df.withColumns({k: F.lit(v) for k, v in extra.items()})
+
+
+def awkward(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns with the operators' own names."""
+    rows = [(None, None, None, None, None), (1, "", None, None, 0), (2, LONG, "en", "a", 1), (3, None, "en", "a", 1), (4, "one two three four five six", "en", "a", 1)]
+    df = spark.createDataFrame(rows + rows[-1:] * 2 + [(5, "\n\n\n", "en", "a", 1), (6, "!!! ... 123", "en", "a", 1)], DOC)
+    return df.withColumns({c: F.lit("x") for c in ("rk", "id", "h", "gone", "component_id", "score", "rank", "sid", "lines", "start")})
+
+
+# --- top-k
+
+
+def brute_top(vectors, k):
+    out = []
+    for q, v in vectors:
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q and len(w) == len(v))
+            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("dim,scale", [(6, 1.0), (3, 0.004), (4, 1e5)])
+def test_top_k(spark, dim, scale):
+    r = random.Random(dim)
+    raw = [(i, [r.gauss(0, 1) * scale * (1 + 3 * (i % 7 == 0)) for _ in range(dim)]) for i in range(400)]
+    raw += [(400 + i, list(raw[i][1])) for i in range(20)]
+    v = topk.quantize(spark.createDataFrame(raw, "vec_id long, embedding array<double>"), "vec_id", "embedding", 256).cache()
+    got = sorted(tuple(x) for x in topk.top_k(v, v.where("id % 50 = 0"), 5, query_block=4).collect())
+    ints = [(x["id"], x["v"]) for x in v.collect()]
+    assert [(q, n, s) for q, n, _, s in got] == [(q, n, s) for q, n, _, s in brute_top(ints, 5)]
+    assert got == brute_top(ints, 5)
+
+
+def test_top_k_awkward(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (1, None), (None, [1.0, 1.0]), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [None, 1.0]), (5, [1.0, 2.0]), (6, [1.0]), (50, [3e38, 3e38]), (7, [3e38, 3e38])]
+    v = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 256)
+    got = topk.top_k(v, v.where("id % 50 = 0"), 5).collect()
+    assert {r["vec_id"] for r in got if r["query_id"] == 0} == {5, 7, 50}
+    assert max(r["score"] for r in got) == (1 << 63) - 1
+    empty = v.where("id < 0")
+    assert topk.top_k(empty, empty).count() == 0
+
+
+# --- token files
+
+
+@pytest.mark.parametrize("values", [[], [0], [7], [0, 0, 0], list(range(3000)), sorted(random.Random(1).randrange(1 << 40) for _ in range(5000)), [5] * 1000 + [1 << 60]])
+def test_elias_fano(values):
+    ef = tokenids.EliasFano.from_bytes(tokenids.EliasFano.of(values).to_bytes())
+    assert ef.slice(0, len(values)).tolist() == values
+    assert all(ef.select(i) == values[i] for i in range(0, len(values), 37))
+
+
+def test_elias_fano_is_small():
+    values = sorted(random.Random(2).randrange(1 << 26) for _ in range(1 << 16))
+    assert len(tokenids.EliasFano.of(values).to_bytes()) * 8 < (1 << 16) * 13
+
+
+def check_tokens(spark, df, folder):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = tokenids.write_tokens(df, f"file://{folder}", path)
+    got = tokenids.read_tokens(manifest).toPandas()
+    tok, start, want = Tokenizer.from_file(path), 0, []
+    rows = sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+    for i, t in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        want.append((start, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = sorted((int(r.start), None if pd.isna(r.doc_id) else int(r.doc_id), int(r.n_tokens), int(r.ids_crc32)) for r in got.itertuples())
+    assert got == want
+
+
+def test_token_files(spark, tmp_path):
+    odd = ["Hello  World", "\x1c!\x1d a", "<|endoftext|> x", "İ Σς é", "can't I'LL", "中文 字", "a b c", "😀 hi"]
+    check_tokens(spark, docs(spark, odd), tmp_path / "a")
+    check_tokens(spark, awkward(spark), tmp_path / "b")
+
+
+def test_cut_token_file_is_refused():
+    class Sink(io.BytesIO):
+        def close(self):
+            pass
+
+    out = Sink()
+    w = tokenids.Writer(out, 2)
+    w.add(3, b"\1\0\2\0")
+    w.close()
+    data = out.getvalue()
+
+    class Source(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+    assert tokenids.Reader(Source(data)).doc_ids(0, 1) == [3]
+    with pytest.raises(ValueError):
+        tokenids.Reader(Source(data[:-1] + b"x"))
+
+
+# --- decontamination
+
+
+def plain_align(item, window):
+    h, best = [[0] * (len(item) + 1) for _ in range(len(window) + 1)], 0
+    for j in range(1, len(window) + 1):
+        for i in range(1, len(item) + 1):
+            h[j][i] = max(0, h[j - 1][i - 1] + (2 if window[j - 1] == item[i - 1] else -1), h[j - 1][i] - 1, h[j][i - 1] - 1)
+            best = max(best, h[j][i])
+    return best
+
+
+def test_alignment():
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ([r.choice("abcde") for _ in range(r.randrange(1, 12))] for _ in range(2))
+        score, first, last = decontam.align(a, b)
+        assert score == plain_align(a, b)
+        if score:
+            assert plain_align(a, b[first : last + 1]) == score
+
+
+def test_decontamination(spark):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [text(30) for _ in range(12)]
+    edited = list(items[1])
+    edited[4], edited[15] = "xxxxx", "yyyyy"
+    del edited[22]
+    bodies = [" ".join(text(200)) for _ in range(20)]
+    bodies[3] += " " + " ".join(items[0]).upper().replace(" ", ", ") + " " + " ".join(text(50))
+    bodies[7] = " ".join(edited) + " " + bodies[7]
+    bodies[9] += " ".join(items[2][:8])
+    bodies += [" ".join(text(20) + items[3] + text(20)) for _ in range(30)]  # a widely copied item keeps its seeds
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(50, None), (None, "a b"), (51, "")], "item_id long, text string")
+    d = docs(spark, bodies)
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontam.contamination(d, bench, chunk=5).collect()}
+    want = {}
+    for i, b in enumerate(bodies):
+        for j, w in enumerate(items):
+            s = plain_align(w, decontam.words(b)) / (2 * len(w))
+            if s >= decontam.LEAST:
+                want[i, j] = s
+    assert got == want and got[3, 0] == 1.0 and 0.8 < got[7, 1] < 1 and len(got) == 32
+    assert decontam.clean(d, bench).count() == 18
+    assert decontam.contamination(awkward(spark), bench).count() == 0
+    assert decontam.contamination(d, bench.limit(0)).count() == 0
+    kept = decontam.clean(awkward(spark), bench)
+    assert kept.columns == awkward(spark).columns and kept.count() == 9
+
+
+# --- languages
+
+
+def test_language_id(spark):
+    r = random.Random(6)
+    stems = {"aa": "ka lo mi tu".split(), "bb": "ber schu ting ach".split()}
+    word = lambda x: "".join(r.choice(stems[x]) for _ in range(r.randrange(1, 4)))
+    rows = [(i, " ".join(word(x) for _ in range(12)), x) for i, x in enumerate(r.choice(["aa", "bb"]) for _ in range(300))]
+    df = spark.createDataFrame(rows + [(None, "ka", "aa"), (900, None, "aa"), (901, "12 !", "aa"), (902, "", None), (903, LONG, None)], "doc_id long, text string, lang string")
+    model = langid.fit(df, sample=60, learn=F.col("doc_id") < 200)
+    got = {x["doc_id"]: (x["p"]["lang_pred"], x["p"]["score"]) for x in df.select("doc_id", langid.identify(df, model).alias("p")).collect()}
+    assert sum(got[i][0] == x for i, _, x in rows[200:]) >= 98
+    assert got[900] == got[901] == got[902] == ("und", 0.0)
+    p = langid.Predictor(model)
+    for i, t, _ in rows[:20]:
+        total = np.sum([model.word(w) for w in t.split()], axis=0) / np.sqrt(len(t.split()))
+        q = np.exp(total - total.max())
+        assert p.predict(t)[1] == pytest.approx(float(q.max() / q.sum()), rel=1e-4) and got[i] == p.predict(t)
+    # An unknown word takes the longest order of n-grams of which one is known.
+    assert "kakalolo" not in model.words or True
+    w = "kaschu"
+    if w not in model.words:
+        n = next(n for n in langid.ORDERS if any(g in model.grams[n] for g in langid.grams(w, n)))
+        assert model.word(w) == pytest.approx(np.mean([model.grams[n][g] for g in langid.grams(w, n) if g in model.grams[n]], axis=0), rel=1e-5)
+    empty = langid.fit(df.limit(0))
+    assert langid.Predictor(empty).predict("ka lo") == ("und", 0.0)
+
+
+# --- archives
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(1, "u", "same"), (2, "ü\n", "same"), (9, None, "same"), (4, "u", None), (3, "u", ""), (None, "u", "same"), (7, "u", "x" * 300_000), (None, "u", "alone"), (9, "u", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("last", F.lit(1)).withColumn("sha", F.lit("s"))
+    got = warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/w")).toPandas()
+    assert len(got) == len(rows)
+    by = {(None if pd.isna(r.page_id) else int(r.page_id), int(r.payload_bytes)): r for r in got.itertuples()}
+    assert by[1, 4].record_type == "revisit" and by[1, 4].refers_to == 9 and by[9, 4].record_type == "response" and by[None, 4].record_type == "revisit"
+    assert by[3, 0].record_type == "revisit" and by[3, 0].refers_to == 4 and by[4, 0].record_type == "response"
+    assert bytes(by[7, 300_000].payload) == b"x" * 300_000 and by[7, 300_000].payload_digest == warc.digest(b"x" * 300_000)
+    assert by[2, 4].url == "ü\n" and by[None, 5].record_type == "response"
+    assert warc.read_archives(warc.write_archives(pages.limit(0), f"file://{tmp_path}/v")).count() == 0
+
+
+def test_warc_damage_is_found():
+    good = warc.record("u", 1, b"body", "response", None)
+    two = good + warc.record("u", 2, b"body", "revisit", 1)
+    assert [r["record_type"] for r in warc.read_archive(io.BytesIO(two))] == ["response", "revisit"]
+    with pytest.raises(warc.ArchiveError):
+        list(warc.read_archive(io.BytesIO(two[:-3])))
+    raw = zlib.decompress(good, 31).replace(b"body", b"bodx")
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    with pytest.raises(warc.ArchiveError):
+        list(warc.read_archive(io.BytesIO(z.compress(raw) + z.flush())))
+
+
+# --- personal data
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    out = []
+    for k, p in enumerate(PATTERNS):
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            fine = [True, k == 1 and all(int(x) <= 255 for x in m.group().split(".")), 16 <= len(digits) <= 19 and pii.luhn(digits), 8 <= len(digits) <= 15][k]
+            if fine:
+                out.append((k, *m.span()))
+    return out
+
+
+def test_base_spans():
+    r = random.Random(7)
+    for alphabet, size in (("a@.-+ 12345(%) 0@.b", 45), ("0123456789012345678901 -.", 60), ("+()1 2.3-4a", 40)):
+        for _ in range(4000):
+            t = "".join(r.choice(alphabet) for _ in range(r.randrange(size)))
+            assert pii.base_spans(t) == plain_spans(t), t
+    assert pii.base_spans("a" * 200_000 + "1" * 200_000 + "@" * 50) == []
+
+
+def test_contexts_find_more(spark):
+    texts = [f"please phone me +1 (212) 555-01{i:02d} now, or x{i} y" for i in range(40)] + ["please phone me 555/0199x7 now", "nothing here 12345x", "", None]
+    got = {r["doc_id"]: r for r in pii.find_pii(docs(spark, texts)).collect()}
+    start = texts[40].index("555")
+    assert got[40]["spans"] == f"phone:{start}:{start + 10}" and got[40]["n_phone"] == 0
+    assert got[0]["spans"] == f"phone:16:33" and got[0]["n_phone"] == 1 and got[41]["spans"] == got[42]["spans"] == got[43]["spans"] == ""
+    assert got[0]["base_sha256"] == hashlib.sha256(b"phone:16:33").hexdigest()
+    assert pii.find_pii(awkward(spark)).count() == 9 and pii.find_pii(docs(spark, [])).count() == 0
+
+
+# --- SentencePiece
+
+
+def test_pieces_equal_the_library(spark):
+    e = piecewise.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(8)
+    odd = ["", " ", "  a", " a  b ", "\n\n x\n", "a\tb", "😀 hi 😀", "▁▁ a▁b", "ﬁ é", "a" * 300, "\x00 z", "中文", "    " * 9]
+    odd += ["".join(r.choice(" aeéthnr\n▁.,!1中😀 İ") for _ in range(r.randrange(1, 40))) for _ in range(1500)]
+    for t in odd:
+        assert e.encode(t) == e.lib.encode(t), t
+    got = piecewise.encode_documents(awkward(spark), public_tokenizers.path("piece_bpe_32k.model"), with_ids=True).collect()
+    want = {r_["text"] or "": e.lib.encode(r_["text"] or "") for r_ in awkward(spark).collect()}
+    assert sorted(list(x["ids"]) for x in got) == sorted(want[r_["text"] or ""] for r_ in awkward(spark).collect())
+    assert all(x["decoded"] == (e.lib.decode(list(x["ids"])) if x["ids"] else "") and x["ids_sha256"] == hashlib.sha256(",".join(map(str, x["ids"])).encode()).hexdigest() for x in got)
+
+
+# --- quality
+
+
+def test_quality(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randrange(2, 9)))
+    good = [" ".join(word() for _ in range(60)) + "." for _ in range(150)]
+    bad = [" ".join(word() + "###" for _ in range(60)) for _ in range(75)] + [("spam " * 60) for _ in range(75)]
+    texts = [t for pair in zip(good, bad) for t in pair]
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(200)] + [(None, 1), (999, 0), (3, None)], "doc_id long, quality int")
+    model = quality.fit(d, labels, sample=150)
+    assert len(model.y) <= 150
+    s = [x["s"] for x in d.orderBy("doc_id").select(quality.scorer(spark, model)("text").alias("s")).collect()]
+    assert all((s[i] >= quality.CUT) == (i % 2 == 0) for i in range(200, 300))
+    q = model._unit(model._weigh(np.array([quality.features(texts[201])])) @ model.turn)[0]
+    near = sorted(((float(q @ v), y) for v, y in zip(model.v, model.y)), reverse=True)[: quality.NEIGHBOURS]
+    w = [max(0, c) ** quality.SHARPNESS for c, _ in near]
+    want = (sum(a * y for a, (_, y) in zip(w, near)) + quality.PRIOR_WEIGHT * model.prior) / (sum(w) + quality.PRIOR_WEIGHT)
+    assert s[201] == pytest.approx(want, abs=1e-3)
+    a = awkward(spark).select(quality.scorer(spark, model)("text").alias("s")).collect()
+    assert all(0 <= x["s"] <= 1 for x in a)
+    none = quality.fit(d, labels.limit(0))
+    assert none.score(["a", None, ""]).tolist() == [0.5] * 3
+
+
+# --- line dedup
+
+
+def plain_lines(rows, chunks):
+    """What is left of (id, rk, text) rows given the chunk ranges, by comparing texts."""
+    body = {rk: t.split("\n") for _, rk, t in rows if t is not None}
+    seen = collections.defaultdict(set)
+    for i, rk, a, b in chunks:
+        seen["\n".join(body[rk][a:b])].add((i is not None, i or 0, rk, a, b))
+    gone = collections.defaultdict(set)
+    for where in seen.values():
+        for place in sorted(where)[1:]:
+            gone[place[2]].update(range(place[3], place[4]))
+    return {rk: "\n".join(x for k, x in enumerate(lines) if k not in gone[rk]) for rk, lines in body.items()}, {rk: len(gone[rk]) for rk in body}
+
+
+def test_line_dedup(spark):
+    r = random.Random(10)
+    passage = [f"shared line {k} of the passage" for k in range(8)]
+    texts = []
+    for i in range(40):
+        own = [f"own {i} {k} {r.random()}" for k in range(r.randrange(1, 9))]
+        at = r.randrange(len(own) + 1)
+        texts.append("\n".join(own[:at] + (passage if i % 3 == 0 else []) + own[at:]))
+    texts += [texts[0], texts[1], " ".join(f"w{k}" for k in range(60)), "alone\n" + " ".join(f"w{k}" for k in range(60)), "a\na\na\na", "", None]
+    d = docs(spark, texts)
+    out = {x["doc_id"]: x for x in linededup.dedup_lines(d).collect()}
+    rows = [(x["doc_id"], x["rk"], x["text"]) for x in d.select("doc_id", linededup.row_key("doc_id", "text").alias("rk"), "text").collect()]
+    cut = [(x["id"], x["rk"], x["start"], x["end"]) for x in linededup.chunks(d).collect()]
+    left, count = plain_lines(rows, cut)
+    for i, rk, t in rows:
+        assert out[i]["text"] == (None if t is None else left[rk]) and out[i]["lines_removed"] == (0 if t is None else count[rk])
+    assert out[40]["text"] == "" or out[40]["lines_removed"] >= 1
+    assert sum(passage[3] in (out[i]["text"] or "") for i in range(42)) < 14 and all(any(p in (x["text"] or "") for x in out.values()) for p in passage)
+    assert out[43]["text"] == "alone" and out[42]["lines_removed"] == 0
+
+
+def test_line_dedup_awkward(spark):
+    a = awkward(spark)
+    got = linededup.dedup_lines(a)
+    assert got.columns == a.columns + ["lines_removed"] and got.count() == 9
+    assert linededup.dedup_lines(docs(spark, [])).count() == 0
+    names = str(got._jdf.queryExecution().executedPlan().toString())
+    assert not re.search("Python|Pandas|Arrow", names)
+
+
+# --- near duplicates
+
+
+def brute_groups(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(rb"[^ \t-\r]+", (t or "").encode().lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in sets}
+    ids = sorted(sets)
+    changed = True
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(label[a], label[b])
+            if label[a] != m or label[b] != m:
+                label[a] = label[b] = m
+                changed = True
+    return {i: (len(sets[i]), label[i], i == label[i]) for i in sets}
+
+
+def test_near_duplicates(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(r.randrange(30, 120))]
+        for n in range(r.randrange(1, 9)):
+            t = list(base)
+            for _ in range(n):
+                t[r.randrange(len(t))] = word()
+            texts.append(" ".join(t))
+    r.shuffle(texts)
+    texts += [texts[0], texts[0].upper(), texts[1].replace(" ", "\t\n"), "a b", "A b", "a b c", "", None, " ", "x " * 2000]
+    d = docs(spark, texts)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(d).collect()}
+    assert got == brute_groups(list(enumerate(texts)))
+
+
+def test_near_duplicates_awkward(spark):
+    got = neardup.near_duplicates(awkward(spark)).collect()
+    assert len(got) == 9 and all(x["component_id"] == x["doc_id"] for x in got) and all(x["kept"] for x in got)
+    assert neardup.near_duplicates(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(100, i) for i in range(40, 60)], [(9, 3), (3, 9), (4, 4), (7, 3), (20, 10)]])
+def test_components(spark, edges):
+    label = {}
+    for u, v in edges:
+        if u != v:
+            label.setdefault(u, u), label.setdefault(v, v)
+    for _ in range(len(label) + 1):
+        for u, v in edges:
+            if u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    got = components.components(spark.createDataFrame(edges, "u long, v long"))
+    assert sorted((r["node"], r["component"]) for r in got.collect()) == sorted(label.items())
+
+
+# --- queries
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_queries_cover_their_tables(spark, name):
+    rows = registry.QUERIES[name](spark, SF).count()
+    if name.startswith(("op2_", "op4_", "op6_", "op7_", "op8_", "op9_", "op10_")):
+        assert rows == spark.read.parquet(f"{SF}/documents.parquet").count()
+    if name.startswith("op5_"):
+        assert rows == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = d.columns, d.count()
+    from quayside.llm import common
+
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        d = common.store(stage(spark, d, SF), "test-stage")
+        if k < 4:
+            assert d.columns == columns, name
+        assert 0 < d.count() <= before
+        before = d.count()
