@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quayside.llm.common import parts, store, table
 
-SEEDS = 4  # independent cuttings; each cuts after a line with probability 1/2
+SEEDS = 8  # independent cuttings; each cuts after a line with probability 1/2
 LONG_WORDS = 50  # a single line of so many words counts as a chunk of its own
 
 
