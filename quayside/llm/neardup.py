@@ -164,3 +164,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``: five-word shingles, similarity of 0.75 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS sh FROM w
+), e AS (SELECT doc_id, unnest(sh) AS g FROM s), n AS (SELECT doc_id, len(sh) AS n FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+), ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id, doc_id AS root FROM documents UNION SELECT ways.y, r.root FROM r JOIN ways ON r.doc_id = ways.x
+)
+SELECT doc_id, n AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM n JOIN r USING (doc_id) GROUP BY doc_id, n
+"""

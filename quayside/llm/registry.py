@@ -18,4 +18,5 @@ QUERIES = {
 SQL = {
     "op1_exact_topk": topk.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op10_near_duplicates": neardup.OP10_SQL,
 }
