@@ -140,6 +140,37 @@ def meta_get(custom_meta: Column, field: str) -> Column:
     return F.try_element_at(F.from_json(custom_meta, "map<string,string>"), F.lit(field))
 
 
+def etag_token(header: Column) -> Column:
+    """The first tag of a condition header, without quotes; null for an empty one."""
+    return F.nullif(F.btrim(F.btrim(F.split(header, ",", 2)[0]), F.lit('"')), F.lit(""))
+
+
+def extension_list(text: Column) -> Column:
+    """A comma-separated list of extensions: trimmed, without dots, lower-case, empty ones dropped."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.lower(F.ltrim(F.btrim(x), F.lit(".")))), lambda x: x != "")
+
+
+def meta_strings(custom_meta: Column) -> Column:
+    """The string fields of JSON metadata as a map; what is no object has none."""
+    raw = F.from_json(custom_meta, "map<string,string>")
+    return F.map_filter(F.coalesce(raw, F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
+
+
+def parse_http_date(text: Column) -> Column:
+    """Seconds since 1970 of an RFC 2822 or RFC 3339 date in UTC; null for neither."""
+    mail = F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss 'GMT'"))
+    iso = F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]X"))
+    return F.unix_timestamp(F.coalesce(mail, iso)).cast("long")
+
+
+def http_date(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(seconds), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+
+
+def iso_date(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def xxh3_hex():
     """An Arrow function: 16 hex digits of the 64-bit XXH3 of binary content. Spark has no such function built in."""
     import xxhash

@@ -82,3 +82,13 @@ def class_counts(objects: DataFrame, normalised: bool) -> DataFrame:
 
 def totals(objects: DataFrame) -> DataFrame:
     return objects.where(F.col("deleted_at").isNull()).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def multipart_quota(objects: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
+    """upload_id, bytes, accepted: whether completing an upload of so many bytes keeps the total within ``cap``."""
+    act = objects.where(F.col("deleted_at").isNull())
+    total = act.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("_total"))
+    own = act.select(*PK, F.col("size").alias("_old"))
+    j = sizes.join(own, PK, "left").crossJoin(F.broadcast(total))
+    ok = F.lit(True) if cap <= 0 else F.col("_total") - F.coalesce("_old", F.lit(0)) + F.col("bytes") <= cap
+    return j.select("upload_id", "bytes", ok.alias("accepted"))

@@ -93,3 +93,23 @@ def bucket_allowed(policy: DataFrame, requests: DataFrame) -> DataFrame:
 def role_allowed(role: Column, method: Column) -> Column:
     """Readers read, writers also write, admins may all."""
     return F.when(role == "admin", True).when(role == "writer", method.isin("GET", "HEAD", "PUT", "POST", "DELETE")).when(role == "reader", method.isin("GET", "HEAD")).otherwise(False)
+
+
+def parse_peers(text: str) -> list[tuple[str, str, list[str], str | None]]:
+    """(node_id, url, classes, group) of entries ``id=url[|class+class[|group]]`` separated by commas.
+
+    Configuration is read on the driver. An entry without an id or a url is an error.
+    """
+    out = []
+    for entry in filter(None, map(str.strip, text.split(","))):
+        node, eq, rest = entry.partition("=")
+        url, classes, group = (rest.split("|") + ["", ""])[:3]
+        if not eq or not node.strip() or not url.strip():
+            raise ValueError(f"peer {entry!r}: id=url is needed")
+        out.append((node.strip(), url.strip(), [c for c in classes.split("+") if c], group.strip() or None))
+    return out
+
+
+def format_peers(peers: list[tuple[str, str, list[str], str | None]]) -> str:
+    """The inverse of ``parse_peers``."""
+    return ",".join(f"{n}={u}" + (f"|{'+'.join(c)}" if c or g else "") + (f"|{g}" if g else "") for n, u, c, g in peers)

@@ -46,6 +46,22 @@ def scrub(objects: DataFrame, stored: DataFrame, denominator: int) -> DataFrame:
     return j.select(*PK, F.when(F.col("stored_etag").isNull(), "missing").when(keys.etag_equal(F.col("etag"), F.col("stored_etag")), "ok").otherwise("corrupted").alias("verdict"))
 
 
+def scrub_page(objects: DataFrame, limit: int, after: tuple[str, str] | None = None) -> DataFrame:
+    """The next page of a rotating scrub in the order (key, bucket): past the last object it begins again.
+
+    At most two pages are looked at: the one behind the cursor and the first.
+    """
+    act = objects.where(F.col("deleted_at").isNull())
+    first = act.orderBy("key", "bucket").limit(limit).withColumn("lap", F.lit(1))
+    if after is None:
+        return first.drop("lap")
+    behind = act.where((F.col("key") > after[0]) | ((F.col("key") == after[0]) & (F.col("bucket") > after[1])))
+    behind = behind.orderBy("key", "bucket").limit(limit).withColumn("lap", F.lit(0))
+    both = behind.unionByName(first)
+    least = both.agg(F.min("lap").alias("_lap"))
+    return both.join(F.broadcast(least), F.col("lap") == F.col("_lap")).drop("lap", "_lap")
+
+
 def scrub_report(objects: DataFrame, stored: DataFrame, denominator: int) -> DataFrame:
     """One row: scanned, sampled_out, verified, corrupted, missing."""
     scanned = objects.where(F.col("deleted_at").isNull()).agg(F.count("*").alias("scanned"))

@@ -92,3 +92,9 @@ def read_repair(wanted: DataFrame, local: DataFrame, remote: DataFrame) -> DataF
     l_ = local.select("bucket", "key").distinct().withColumn("_l", F.lit("local"))
     r = remote.groupBy("bucket", "key").agg(F.min("node_id").alias("_r"))
     return wanted.join(l_, ["bucket", "key"], "left").join(r, ["bucket", "key"], "left").select("bucket", "key", F.coalesce("_l", "_r", F.lit("missing")).alias("source"))
+
+
+def enqueue(objects: DataFrame, op: str, node: str, now: int, group: str | None = None) -> DataFrame:
+    """New pending events for objects; the id is a digest of operation, place and etag, so asking twice adds nothing new."""
+    ident = F.md5(F.concat_ws("\x1f", F.lit(op), F.lit(node), "bucket", "key", F.coalesce("etag", F.lit(""))))
+    return objects.select(ident.alias("event_id"), F.lit(node).alias("origin_node"), F.lit(op).alias("op"), "bucket", "key", "etag", "size", F.lit(group).cast("string").alias("replication_group"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(now).cast("long").alias("created_at"))

@@ -270,9 +270,56 @@ def custom_meta_get(spark, d):
     return t.table(spark, d, "events").select("event_id", keys.meta_get(F.col("props"), "k").alias("k"), keys.meta_get(F.col("props"), "absent").alias("missing"))
 
 
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' ELSE NULL END AS tag, CASE event_id % 2 WHEN 0 THEN 'gz,zip' ELSE 'png' END AS exts FROM events")
+def header_lists(spark, d):
+    e = F.col("event_id")
+    tag = F.when(e % 3 == 0, F.concat(F.lit('"a'), e.cast("string"), F.lit('", "z"'))).when(e % 3 == 1, "b").otherwise("")
+    exts = F.when(e % 2 == 0, " .GZ, zip,, ").otherwise("..png")
+    return t.table(spark, d, "events").select("event_id", keys.etag_token(tag).alias("tag"), F.array_join(keys.extension_list(exts), ",").alias("exts"))
+
+
+@query("""SELECT doc_id, f AS field, v AS value FROM (SELECT doc_id, unnest(['lang', 'storage-class']) AS f, unnest([split_part(key, '/', 1), CASE WHEN doc_id % 6 = 0 THEN 'hot' ELSE '' END]) AS v FROM doc_objects)""", "doc_objects")
+def custom_meta_explode(spark, d):
+    return t.doc_objects(spark, d).select("doc_id", F.explode(keys.meta_strings(F.col("custom_meta"))).alias("field", "value"))
+
+
+@query("""SELECT event_id, strftime(to_timestamp(s) AT TIME ZONE 'UTC', '%a, %d %b %Y %H:%M:%S GMT') AS mail, strftime(to_timestamp(s) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') AS iso, s AS back_mail, s AS back_iso, CAST(NULL AS BIGINT) AS bad
+  FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)""")
+def http_dates(spark, d):
+    e = t.table(spark, d, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
+    e = e.select("event_id", keys.http_date(F.col("s")).alias("mail"), keys.iso_date(F.col("s")).alias("iso"))
+    return e.select("*", keys.parse_http_date(F.col("mail")).alias("back_mail"), keys.parse_http_date(F.col("iso")).alias("back_iso"), keys.parse_http_date(F.concat("mail", F.lit("?"))).alias("bad"))
+
+
+@query("""SELECT '<Contents><Key>' || replace(replace(key, '&', '&amp;'), '<', '&lt;') || '</Key><ETag>&quot;' || etag || '&quot;</ETag><Size>' || size || '</Size></Contents>' AS line FROM page_objects""", "page_objects")
+def list_xml(spark, d):
+    o = t.page_objects(spark, d)
+    return o.select(F.concat(F.lit("<Contents><Key>"), keys.xml_escape(F.col("key")), F.lit("</Key><ETag>&quot;"), "etag", F.lit("&quot;</ETag><Size>"), F.col("size").cast("string"), F.lit("</Size></Contents>")).alias("line"))
+
+
+@query("""SELECT event_id, CAST(props ->> '$.k' AS INTEGER) AS k, '{"k":' || (props ->> '$.k') || '}' AS again FROM events""")
+def config_json(spark, d):
+    c = t.table(spark, d, "events").select("event_id", F.from_json("props", "k int").alias("c"))
+    return c.select("event_id", "c.k", F.to_json("c").alias("again"))
+
+
+@query("SELECT origin_node, count(*) AS n FROM doc_objects WHERE deleted_at IS NULL AND key LIKE 'en/%' GROUP BY 1", "doc_objects")
+def node_local_counts(spark, d):
+    return listing.under(listing.active(t.doc_objects(spark, d)), prefix="en/").groupBy("origin_node").agg(F.count("*").alias("n"))
+
+
 # --- multipart
 
 
+@query("""SELECT upload_id, bytes, (SELECT sum(size) FROM doc_objects WHERE deleted_at IS NULL) + bytes <= (SELECT sum(size) FROM doc_objects WHERE deleted_at IS NULL) // 1000000 * 1000000 + 1000000 AS accepted
+  FROM (SELECT u.upload_id, CAST(sum(p.size) * 5000 AS BIGINT) AS bytes FROM multipart_uploads u JOIN latest_parts p USING (upload_id) GROUP BY 1)""", "doc_objects", "multipart_uploads", "multipart_parts", "latest_parts")
+def multipart_quota(spark, d):
+    o = t.doc_objects(spark, d)
+    sizes = multipart.summary(t.multipart_uploads(spark, d), t.multipart_parts(spark, d)).where("n_parts > 0").withColumn("bytes", F.col("bytes") * 5000)
+    cap = catalog.totals(o).first()["bytes"] // 1_000_000 * 1_000_000 + 1_000_000
+    return catalog.multipart_quota(o, sizes, cap)
+
+
 @query("""SELECT u.upload_id, u.bucket, u.key, count(p.part_number) AS n_parts, CAST(coalesce(sum(p.size), 0) AS BIGINT) AS bytes FROM multipart_uploads u LEFT JOIN latest_parts p USING (upload_id) GROUP BY ALL""", "multipart_uploads", "multipart_parts", "latest_parts")
 def multipart_summary(spark, d):
     return multipart.summary(t.multipart_uploads(spark, d), t.multipart_parts(spark, d))
@@ -452,6 +499,16 @@ def scrub_heal(spark, d):
     return reconcile.heal(reconcile.scrub(o, _stored(o), 4), replicas)
 
 
+@query("SELECT bucket, key FROM doc_objects WHERE deleted_at IS NULL ORDER BY key, bucket LIMIT 25", "doc_objects")
+def scrub_page_wrapped(spark, d):
+    return reconcile.scrub_page(t.doc_objects(spark, d), 25, ("~", "")).select("bucket", "key")
+
+
+@query("SELECT bucket, key FROM doc_objects WHERE deleted_at IS NULL AND (key > 'en/5' OR (key = 'en/5' AND bucket > '')) ORDER BY key, bucket LIMIT 25", "doc_objects")
+def scrub_page_next(spark, d):
+    return reconcile.scrub_page(t.doc_objects(spark, d), 25, ("en/5", "")).select("bucket", "key")
+
+
 @query("""SELECT bucket, key, CASE WHEN size < 4096 THEN 'skip' WHEN coalesce(storage_class, 'default') = 'archive' THEN 'keep' ELSE 'recompress' END AS action FROM doc_objects WHERE deleted_at IS NULL""", "doc_objects")
 def recompress_plan(spark, d):
     return reconcile.recompress_plan(t.doc_objects(spark, d))
@@ -566,6 +623,11 @@ def backfill_plan(spark, d):
     return replication.backfill(t.doc_objects(spark, d), 200, [], ["fr/"])
 
 
+@query("SELECT md5('put' || chr(31) || 'node0' || chr(31) || bucket || chr(31) || key || chr(31) || etag) AS event_id, bucket, key, size, 'pending' AS status FROM doc_objects WHERE deleted_at IS NULL AND doc_id % 10 = 0", "doc_objects")
+def replication_enqueue(spark, d):
+    return replication.enqueue(listing.active(t.doc_objects(spark, d)).where("doc_id % 10 = 0"), "put", "node0", NOW).select("event_id", "bucket", "key", "size", "status")
+
+
 @query("SELECT event_id, op FROM replication_log WHERE event_id NOT IN (SELECT event_id FROM replication_log WHERE status = 'applied')", "replication_log")
 def idempotent_apply(spark, d):
     log = t.replication_log(spark, d)

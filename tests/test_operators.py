@@ -138,3 +138,32 @@ def test_blob_files(spark, tmp_path):
     (tmp_path / "store/.tmp").mkdir()
     (tmp_path / "store/.tmp/x").write_text("no")
     assert got(tables.blob_files(spark, str(tmp_path / "store")), "bucket", "key", "bytes") == [("b1", "sub/a.txt", 5)]
+
+
+def test_peer_grammar():
+    text = "n1=http://a|hot+cold|eu,n2=http://b,n3=http://c||us"
+    assert placement.parse_peers(text) == [("n1", "http://a", ["hot", "cold"], "eu"), ("n2", "http://b", [], None), ("n3", "http://c", [], "us")]
+    assert placement.format_peers(placement.parse_peers(text)) == text
+    with pytest.raises(ValueError):
+        placement.parse_peers("n1")
+
+
+def test_scrub_turns_around(spark):
+    o = objects(spark, [("b", k, 1, None) for k in "abc"])
+    assert got(reconcile.scrub_page(o, 2, ("a", "b")), "key") == [("b",), ("c",)]
+    assert got(reconcile.scrub_page(o, 2, ("c", "b")), "key") == [("a",), ("b",)]
+    assert got(reconcile.scrub_page(o, 2), "key") == [("a",), ("b",)]
+
+
+def test_enqueue_is_idempotent(spark):
+    o = objects(spark, [("b", "k", 1, None)])
+    a, b = (replication.enqueue(o, "put", "n", t) for t in (1, 2))
+    assert replication.unseen(b, a).count() == 0
+
+
+def test_read_repair_and_delete_merge(spark):
+    w = spark.createDataFrame([("b", "x"), ("b", "y"), ("b", "z")], "bucket string, key string")
+    remote = spark.createDataFrame([("b", "y", "n2"), ("b", "y", "n1"), ("b", "x", "n1")], "bucket string, key string, node_id string")
+    assert got(replication.read_repair(w, w.where("key = 'x'"), remote), "key", "source") == [("x", "local"), ("y", "n1"), ("z", "missing")]
+    r = spark.createDataFrame([("n1", 2, ["k"], False, None), ("n2", 3, [], True, "c")], "node_id string, deleted long, failed_keys array<string>, truncated boolean, cursor string")
+    assert tuple(replication.merge_deletes(r).first()) == (5, "k", True, "c")
