@@ -6,8 +6,8 @@ common tuple in a collection with probability (1 - 0.75**2)**M, 9e-6 for M = 14.
 another set has as well, which changes no match.
 
 Links within a table's bucket are found without pairing up a whole bucket: every set is verified against the bucket's
-smallest and largest set; components follow; then each pair of sets that share a bucket but no component is verified,
-unless their numbers of shingles, and of shingles that no other such set has, rule a link out.
+hub, the set with the fewest shingles that no other has; components follow; then each pair of sets that share a bucket
+but no component is verified, unless their numbers of shingles, and of shingles that no other set has, rule a link out.
 Verification runs in blocks, which send a set once for all its pairs in a block.
 """
 
@@ -92,17 +92,23 @@ def _spread(batches):
             yield pd.DataFrame({"sid": np.repeat(pdf["sid"].to_numpy()[at : at + 256], [len(s) for s in cut]), "shingle": np.concatenate(cut)})
 
 
-def _own_shingles(some: DataFrame, bodies: DataFrame) -> DataFrame:
-    """sid, own: how many shingles of each set no other set of ``some`` has.
-
-    Two sets have at most the smaller count of shared shingles in common, and their union has at least these and both
-    counts of own ones: this bounds their similarity from above without comparing them.
-    """
-    spread = bodies.join(some, "sid").mapInPandas(_spread, "sid long, shingle long")
+def _own_shingles(bodies: DataFrame) -> DataFrame:
+    """sid, own: how many shingles of each set no other set of ``bodies`` has."""
+    spread = bodies.mapInPandas(_spread, "sid long, shingle long")
     single = spread.groupBy("shingle").agg(F.count("*").alias("c"), F.min("sid").alias("sid")).where(F.col("c") == 1)
     return store(single.groupBy("sid").agg(F.count("*").alias("own")), "dup-own")
 
 
+def _may_link(percent: int, n: str, own: str, n2: str, own2: str):
+    """Whether two sets can be similar enough by their sizes and numbers of own shingles alone.
+
+    They share at most the smaller number of shingles that are not their own, and their union has the larger such
+    number and both numbers of own ones at least.
+    """
+    a, b = F.col(n) - F.col(own), F.col(n2) - F.col(own2)
+    return 100 * F.least(a, b) >= percent * (F.greatest(a, b) + F.col(own) + F.col(own2))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -117,7 +123,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     half = sets.select("sid", F.posexplode(F.concat("a", "b")).alias("slot", "key"))
     shared = store(half.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("key"), "dup-shared")
-    own = half.join(shared, "key").groupBy("sid").agg(F.collect_list(F.when(F.col("slot") < M, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("slot") >= M, F.col("key"))).alias("b"))
+    own = store(half.join(shared, "key").groupBy("sid").agg(F.collect_list(F.when(F.col("slot") < M, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("slot") >= M, F.col("key"))).alias("b")), "dup-tuples")
     keys = F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y)))))
     buckets = store(own.where((F.size("a") > 0) & (F.size("b") > 0)).select("sid", keys.alias("key")), "dup-buckets")
     hubs = buckets.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where(F.col("lo") < F.col("hi"))
@@ -128,27 +134,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_some = store(in_some.join(sizes, "sid"), "dup-nodes")
     weight = store(in_some.groupBy("near").agg(F.sum("n").alias("w")), "dup-weights")
     cut = F.greatest(F.ceil(F.col("w") / BLOCK), F.lit(1))
-    blocks = store(in_some.join(weight, "near").select("sid", "n", F.xxhash64("near", F.pmod(F.xxhash64("sid"), cut)).alias("blk")), "dup-blocks")
     texts = plain.join(in_some.select(F.col("sid").alias("id")).hint("merge"), "id", "left_semi")
     bodies = store(texts.select(F.col("id").alias("sid"), "text").mapInPandas(_sets, "sid long, body binary"), "dup-bodies")
-
-    star = members.select(F.least("sid", "lo").alias("x"), F.greatest("sid", "lo").alias("y")).unionByName(members.select(F.least("sid", "hi").alias("x"), F.greatest("sid", "hi").alias("y")))
-    star = store(star.where(F.col("x") != F.col("y")).distinct(), "dup-star")
+    placed = in_some.join(weight, "near").select("sid", "n", F.xxhash64("near", F.pmod(F.xxhash64("sid"), cut)).alias("blk"))
+    blocks = store(placed.join(_own_shingles(bodies), "sid", "left").select("sid", "n", "blk", F.coalesce("own", F.lit(0)).alias("own")), "dup-blocks")
+
+    # The hub of a bucket is the set with the fewest shingles of its own: the nearest to what the bucket has in common.
+    seen = store(members.select("key", "sid").join(blocks.select("sid", "n", "own"), "sid"), "dup-seen")
+    hub = store(seen.groupBy("key").agg(F.min(F.struct("own", "sid", "n")).alias("h")).select("key", F.col("h.sid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.own").alias("hub_own")), "dup-hub")
+    star = seen.join(hub, "key").where((F.col("sid") != F.col("hub")) & _may_link(percent, "n", "own", "hub_n", "hub_own"))
+    star = store(star.select(F.least("sid", "hub").alias("x"), F.greatest("sid", "hub").alias("y")).distinct(), "dup-star")
     links = store(verified(star, bodies, blocks, percent), "dup-links1")
     labels = components(links)
 
-    # Sets in a bucket together and not yet in one component: each such pair is compared once.
-    at = members.select("key", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").join(blocks.select("sid", "n"), "sid")
-    at = at.select("key", "sid", "n", F.coalesce("component", "sid").alias("label"))
-    at = store(at, "dup-labelled")
+    # Sets in a bucket together and not yet in one component: each such pair is compared once, at the first tuple of the
+    # first collection that both have, if they also share one of the second. Sets with a tuple's commonest label are not
+    # paired with each other.
+    at = store(seen.select("key", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("label")), "dup-labelled")
     mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-    left = store(at.join(store(mixed, "dup-mixed"), "key"), "dup-left")
-    left = store(left.join(_own_shingles(left.select("sid").distinct(), bodies), "sid", "left").select("key", "sid", "n", "label", F.coalesce("own", F.lit(0)).alias("own")), "dup-left-own")
-    p, q = (left.select("key", F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("label").alias(f"l{s}"), F.col("own").alias(f"own{s}")) for s in "xy")
-    common = F.least(F.col("nx") - F.col("ownx"), F.col("ny") - F.col("owny"))
-    fits = (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    fits &= 100 * common >= percent * (common + F.col("ownx") + F.col("owny"))
-    cross = p.join(q, "key").where(fits).select("x", "y").distinct().join(star, ["x", "y"], "left_anti")
+    left = at.join(store(mixed, "dup-mixed"), "key").select("sid", "label").distinct()
+    left = left.join(own, "sid").join(blocks.select("sid", "n", F.col("own")), "sid")
+    spread = store(left.select(F.explode("a").alias("key"), "sid", "label", "n", "own", "a", "b"), "dup-left")
+    most = spread.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"))
+    tagged = store(spread.join(store(most.where(F.col("labels") > 1).select("key", F.col("m.label").alias("most")), "dup-most"), "key"), "dup-tagged")
+    p, q = (tagged.select("key", *[F.col(c).alias(c + s) for c in ("sid", "label", "n", "own", "a", "b", "most")]) for s in "xy")
+    fits = (F.col("labelx") != F.col("labely")) & ((F.col("labely") == F.col("mosty")) | (F.col("sidx") < F.col("sidy"))) & _may_link(percent, "nx", "ownx", "ny", "owny")
+    fits &= F.arrays_overlap("bx", "by") & (F.col("key") == F.array_min(F.array_intersect("ax", "ay")))
+    cross = p.where(F.col("labelx") != F.col("mostx")).join(q, "key").where(fits).select(F.least("sidx", "sidy").alias("x"), F.greatest("sidx", "sidy").alias("y")).distinct()
+    cross = cross.join(star, ["x", "y"], "left_anti")
     more = store(verified(store(cross, "dup-cross"), bodies, blocks, percent), "dup-links2")
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
