@@ -52,7 +52,7 @@ class Model:
         raw = np.array([[c[k] for c in counts] for k in keep], float).reshape(len(keep), len(counts))
         log = np.log((raw + SMOOTH) / (size + SMOOTH * (len(keep) + 1)))
         log -= log.mean(axis=1, keepdims=True) if log.shape[1] else 0
-        return dict(zip(keep, map(tuple, log.astype(np.float32))))
+        return dict(zip(keep, map(tuple, log.tolist())))
 
     def word(self, w: str) -> tuple:
         got = self.words.get(w)
@@ -91,8 +91,8 @@ class Predictor:
     """Predictions with the vectors of words kept between texts, at most ``CACHE`` of them and those of one text."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, Rows(model)
-        self.matrix = np.zeros((0, len(model.langs)), np.float32)
+        self.model, self.rows, self.filled = model, Rows(model), 0
+        self.matrix = np.zeros((4096, len(model.langs)), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its probability; ("und", 0.0) for a null text or one without letters."""
@@ -100,18 +100,15 @@ class Predictor:
         if not words or not self.model.langs:
             return "und", 0.0
         if len(self.rows) > CACHE:
-            self.rows, self.matrix = Rows(self.model), self.matrix[:0]
+            self.rows, self.filled = Rows(self.model), 0
         at = list(map(self.rows.__getitem__, words))
-        known, have = len(self.matrix), len(self.rows.vectors)
-        total = np.zeros(len(self.model.langs))
-        if have - known > 4096:
-            self.matrix, known = np.array(self.rows.vectors, np.float32), have
-        if known < have:
-            # Vectors that are not in the matrix yet, a few thousand at most.
-            fresh = [i for i in at if i >= known]
-            at = [i for i in at if i < known]
-            total += np.array([self.rows.vectors[i] for i in fresh], np.float32).sum(axis=0, dtype=np.float64) if fresh else 0
-        total += self.matrix[at].sum(axis=0, dtype=np.float64) if at else 0
+        have = len(self.rows.vectors)
+        if have > self.filled:
+            if have > len(self.matrix):
+                self.matrix = np.concatenate([self.matrix, np.zeros((have, self.matrix.shape[1]), np.float32)])
+            self.matrix[self.filled : have] = self.rows.vectors[self.filled : have]
+            self.filled = have
+        total = self.matrix.take(at, axis=0).sum(axis=0, dtype=np.float64)
         z = total / np.sqrt(len(words))
         p = np.exp(z - z.max())
         best = int(p.argmax())
