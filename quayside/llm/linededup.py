@@ -1,10 +1,14 @@
 """Line dedup by content-defined chunks of lines, in DataFrame operations alone.
 
-A document's lines are hashed; a rolling hash over the last two line hashes decides where chunks end, so that the same
-lines give the same cuts wherever they stand. ``SEEDS`` bits of that hash give as many independent cuttings, and a run
-of lines between two cuts of one cutting is a chunk. Chunks of two or more lines (or one line of ``LONG_WORDS`` words)
-that occur more than once in the whole table are candidates by hash; each occurrence is compared with the first one
-byte by byte, and all but the first are removed. The first is the smallest (doc_id, row hash, line).
+A chunk is a run of lines of two kinds. A window is a shortest run of lines with at least ``LONG_WORDS`` words: from each
+line forwards and from each line backwards. Its edges come from its own lines only, and the windows of any passage of
+``LONG_WORDS`` words or more cover it, so that such a passage is found whole wherever it stands. Shorter runs of two or
+more lines come from cuttings: a document's lines are hashed, and ``SEEDS`` bits of a rolling hash over the last two line
+hashes decide where as many independent cuttings end their runs; not all repeated runs are found among those.
+
+Chunks that occur more than once in the whole table are candidates by hash; each occurrence is compared with the first one
+byte by byte, and all but the first, and those that overlap it, are removed. The first is the smallest (doc_id, row hash,
+line).
 
 Joins are merge joins at every size, so that the exchanges of a small table are those of a large one.
 
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quayside.llm.common import parts, store, table
 
 SEEDS = 8  # independent cuttings; each cuts after a line with probability 1/2
-LONG_WORDS = 50  # a single line of so many words counts as a chunk of its own
+LONG_WORDS = 50  # a repeated passage of so many words is always found; a single line of so many counts as a chunk
 
 
 def row_key(id_col: str, text_col: str):
@@ -45,19 +49,41 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
         ends = F.transform("rh", lambda x, i: F.when((F.shiftright(x, seed).bitwiseAND(1) == 0) | (i == n - 1), i + 1))
         return F.filter(ends, lambda e: e.isNotNull())
 
+    def span(start, end):
+        return F.shiftleft(start.cast("long"), 32).bitwiseOR(end.cast("long"))
+
     def ranges(ends):
         starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
-        return F.arrays_zip(starts.alias("start"), ends.alias("end"))
-
-    cut = barrier(rolled, **{f"e{s}": cutting(s) for s in range(seeds)})
-    spans = barrier(cut, spans=F.array_distinct(F.concat(*[ranges(F.col(f"e{s}")) for s in range(seeds)])))
+        return F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda p: span(p["start"], p["end"]))
+
+    # The line of each word; words of a line beyond the number that makes a window by itself change no window.
+    counted = barrier(rolled, wc=F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
+    owned = barrier(counted, owner=F.flatten(F.transform("wc", lambda c, i: F.array_repeat(i, F.least(c, F.lit(long_words))))))
+    line, w = lambda k: F.get("owner", k), F.size("owner")
+    first_words = F.filter(F.sequence(F.lit(0), w - 1), lambda k: (k == 0) | (line(k) != line(k - 1)))
+    headed = barrier(owned, heads=F.when(w > 0, first_words).otherwise(F.array().cast("array<int>")))
+    last_words = F.transform("heads", lambda k, i: F.coalesce(F.get("heads", i + 1), w) - 1)
+    forwards = F.transform("heads", lambda k: span(line(k), line(k + long_words - 1) + 1))
+    backwards = F.transform(last_words, lambda k: span(line(k - long_words + 1), line(k) + 1))
+    # Empty lines between two lines that are windows by themselves.
+    between = F.transform(last_words, lambda k: F.when((line(k - long_words + 1) == line(k)) & (line(k + long_words) == line(k + 1)) & (line(k + 1) > line(k) + 1), span(line(k), line(k + 1) + 1)))
+    windows = F.filter(F.concat(forwards, backwards, between), lambda p: p.isNotNull())
+
+    cut = barrier(headed, windows=windows, **{f"e{s}": cutting(s) for s in range(seeds)})
+    start, end = lambda p: F.shiftright(p, 32).cast("int"), lambda p: p.bitwiseAND((1 << 32) - 1).cast("int")
+    runs = barrier(cut.drop("owner", "heads"), runs=F.array_distinct(F.concat(*[ranges(F.col(f"e{s}")) for s in range(seeds)])))
 
     def words(p):
-        return F.size(F.split(F.element_at("lines", p["start"] + 1), " "))
+        return F.size(F.split(F.element_at("lines", start(p) + 1), " "))
 
-    wanted = F.filter("spans", lambda p: (p["end"] - p["start"] >= 2) | (words(p) >= long_words))
-    body = lambda p: F.array_join(F.slice("lines", p["start"] + 1, p["end"] - p["start"]), "\n")
-    with_hash = F.transform(wanted, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.xxhash64(body(p)).alias("h")))
+    def n_words(p):
+        return F.aggregate(F.slice("wc", start(p) + 1, end(p) - start(p)), F.lit(0), lambda a, x: a + x)
+
+    # Windows cover runs of so many words.
+    short = F.filter("runs", lambda p: (n_words(p) < long_words) & ((end(p) - start(p) >= 2) | (words(p) >= long_words)))
+    spans = barrier(runs, spans=F.array_distinct(F.concat("windows", short)))
+    body = lambda p: F.array_join(F.slice("lines", start(p) + 1, end(p) - start(p)), "\n")
+    with_hash = F.transform("spans", lambda p: F.struct(start(p).alias("start"), end(p).alias("end"), F.xxhash64(body(p)).alias("h")))
     return spans.select("id", "rk", F.explode(with_hash).alias("c")).select("id", "rk", "c.start", "c.end", "c.h")
 
 
@@ -68,7 +94,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     seen = cut.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     repeated = store(seen.where(F.col("n") > 1).select("h", "first"), "line-repeated")
     # Of a document that repeats a chunk, the ranges: few, and bounded by its own lines.
-    found = cut.join(repeated.hint("merge"), "h").groupBy("rk").agg(F.collect_list(F.struct("start", "end", "h", (F.struct("id", "rk", "start", "end") == F.col("first")).alias("is_first"))).alias("occ"))
+    # One that overlaps the first is no second copy of it.
+    is_first = F.struct("id", "rk", "start", "end") == F.col("first")
+    apart = (F.col("rk") != F.col("first.rk")) | (F.col("start") >= F.col("first.end"))
+    found = cut.join(repeated.hint("merge"), "h").where(is_first | apart).groupBy("rk").agg(F.collect_list(F.struct("start", "end", "h", is_first.alias("is_first"))).alias("occ"))
     texts = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
     both = barrier(texts.join(found.hint("merge"), "rk"), lines=F.split("text", "\n", -1)).drop("text")
     body = lambda p: F.array_join(F.slice("lines", p["start"] + 1, p["end"] - p["start"]), "\n")

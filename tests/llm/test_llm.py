@@ -347,6 +347,43 @@ def test_line_dedup(spark):
     assert out[43]["text"] == "alone" and out[42]["lines_removed"] == 0
 
 
+def repeated_lines(texts, least):
+    """Per text the lines of all runs of ``least`` words or more that an earlier text has, or the same one before the run."""
+    seen, out = {}, []
+    for i, t in enumerate(texts):
+        lines, gone = t.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = lines[a:b]
+                if run[0].split() and run[-1].split() and sum(len(x.split()) for x in run) >= least:
+                    j, _, e = seen.setdefault("\n".join(run), (i, a, b))
+                    if j < i or e <= a:
+                        gone.update(range(a, b))
+        out.append(gone)
+    return out
+
+
+def test_line_dedup_finds_every_long_passage(spark):
+    r = random.Random(12)
+    line = lambda n: " ".join(r.choice("abcdefghij") * 3 + str(r.randrange(10**6)) for _ in range(n))
+    shapes = [[60], [30, 30], [20, 20, 20], [60, 0, 70], [25, 0, 0, 30], [5] * 12, [50], [49, 1], [10, 80, 10], [3] * 40, [60, 0, 5], [5, 0, 60]]
+    texts = []
+    for shape in shapes * 4:
+        passage = [line(n) for n in shape]
+        for _ in range(2):
+            own = [line(r.randrange(1, 30)) for _ in range(6)]
+            at = r.randrange(1, 6)
+            texts.append("\n".join(own[:at] + passage + own[at:]))
+    own = line(60)
+    texts += [own + "\n" + line(3) + "\n" + own, "\n".join(["same"] * 200), "\t".join(own.split()) + "\nx", "y\n" + "\t".join(own.split())]
+    want = repeated_lines(texts, linededup.LONG_WORDS)
+    out = {x["doc_id"]: x for x in linededup.dedup_lines(docs(spark, texts)).collect()}
+    for i, (t, gone) in enumerate(zip(texts, want)):
+        assert out[i]["text"] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), (i, gone)
+        assert out[i]["lines_removed"] == len(gone)
+    assert sum(map(len, want)) == 4 * sum(map(len, shapes)) + 1 + 150 + 1
+
+
 def test_line_dedup_awkward(spark):
     a = awkward(spark)
     got = linededup.dedup_lines(a)
