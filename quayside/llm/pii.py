@@ -1,9 +1,10 @@
 """Personal data: four base kinds by pattern, and more by contexts learnt from them.
 
 One pass over the texts finds the base spans, the one or two words before each, and the same for every other
-identifier-like token. Spark then scores a graph of contexts and instances in rounds: a context's confidence in a kind is
-the share of its distinct instances that count as that kind, an instance's the chance that one of its contexts is right.
-Contexts with enough base instances and a high confidence mark the unknown tokens behind them.
+identifier-like place. Spark then scores a graph of contexts and instances in rounds: a context's confidence in a kind is
+the share of its distinct instances that count as that kind. Contexts with enough such instances and a high confidence mark
+the unknown places behind them, and what they mark counts as that kind from the next round on, in every context. Rounds go
+on until no context enters; each enters once, so that they end.
 """
 
 from __future__ import annotations
@@ -16,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quayside.llm.common import store, table
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-SUPPORT = 5  # distinct base instances that a context needs
+SUPPORT = 5  # distinct instances of a kind, base or learnt, that a context needs
 CONFIDENT = 0.8
 
 # Fixed by the contract of op6: what counts as an address, a number and so on.
@@ -27,7 +27,9 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IDENT = re.compile(r"[^\s]*[0-9@][^\s]*")
+_GROUP = re.compile(r"[(+]*[0-9][0-9().+/-]*")
 _WORDS = re.compile(r"\S+")
+RUN_DIGITS = 19  # of a run of number groups; no kind has more
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -99,6 +101,28 @@ def context(text: str, start: int) -> list[str]:
     return [c for c in (mark.join([" ".join(words[-n:]), ""]) for n in (1, 2) if len(words) >= n) if len(c) <= 60]
 
 
+def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places that may be identifiers, outside of the sorted spans ``taken``.
+
+    These are tokens with an @ or three digits; number groups with one space between them are one place.
+    """
+    out, at = [], 0
+    for m in _IDENT.finditer(text):
+        a, b = m.span()
+        while b > a and text[b - 1] in ".,;:!?)\"'":
+            b -= 1
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if b == a or (at < len(taken) and taken[at][0] < b):
+            continue
+        digits, group = sum(map(str.isdigit, text[a:b])), _GROUP.fullmatch(text, a, b) is not None
+        if out and group and out[-1][3] and text[out[-1][1] : a] in (" ", ") ") and out[-1][2] + digits <= RUN_DIGITS:
+            out[-1] = (out[-1][0], b, out[-1][2] + digits, True)
+        else:
+            out.append((a, b, digits, group))
+    return [(a, b) for a, b, digits, _ in out if digits >= 3 or ("@" in text[a:b] and b - a > 1)]
+
+
 def _scan(batches):
     import pandas as pd
 
@@ -109,18 +133,7 @@ def _scan(batches):
             spans = base_spans(text)
             seen = [{"kind": k, "start": a, "end": b, "inst": text[a:b].lower()[:200], "ctx": context(text, a)} for k, a, b in spans]
             taken = sorted((a, b) for _, a, b in spans)
-            at = 0
-            for m in _IDENT.finditer(text):
-                a, b = m.span()
-                while b > a and text[b - 1] in ".,;:!?)\"'":
-                    b -= 1
-                if b - a < 5 or sum(c.isdigit() or c == "@" for c in text[a:b]) < 3:
-                    continue
-                while at < len(taken) and taken[at][1] <= a:
-                    at += 1
-                if at < len(taken) and taken[at][0] < b:
-                    continue
-                seen.append({"kind": -1, "start": a, "end": b, "inst": text[a:b].lower()[:200], "ctx": context(text, a)})
+            seen += [{"kind": -1, "start": a, "end": b, "inst": text[a:b].lower()[:200], "ctx": context(text, a)} for a, b in candidates(text, taken)]
             said = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
             counts = [sum(k == i for k, _, _ in spans) for i in range(4)]
             rows.append((rk, doc_id, *counts, hashlib.sha256(said.encode()).hexdigest(), seen))
@@ -130,7 +143,7 @@ def _scan(batches):
 _SEEN = "rk long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, seen array<struct<kind:int,start:int,end:int,inst:string,ctx:array<string>>>"
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row.
 
     Counts and digest are of the base spans; ``spans`` holds these and those found by context. A null or empty text has
@@ -139,24 +152,27 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     rk = F.xxhash64(F.col(id_col), F.col(text_col))
     scanned = store(docs.select(rk.alias("rk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(_scan, _SEEN), "pii-scanned")
     marks = scanned.select("rk", F.explode("seen").alias("s")).select("rk", "s.kind", "s.start", "s.end", F.xxhash64("s.inst").alias("inst"), F.explode("s.ctx").alias("ctx"))
-    edges = store(marks.groupBy("ctx", "inst").agg(F.max("kind").alias("kind")), "pii-edges")
-    base = edges.where(F.col("kind") >= 0).groupBy("ctx", "kind").agg(F.count("*").alias("base_n")).where(F.col("base_n") >= support)
-    base = store(base, "pii-contexts")
-    sizes = store(edges.groupBy("ctx").agg(F.count("*").alias("all_n")).join(base.select("ctx").distinct().hint("merge"), "ctx"), "pii-sizes")
-    # Only edges of contexts with enough base instances of a kind can ever count.
-    live = store(edges.join(base.select("ctx", F.col("kind").alias("want")).hint("merge"), "ctx"), "pii-live")
-    belief = live.where(F.col("kind") == F.col("want")).select("inst", "want", F.lit(1.0).alias("conf")).distinct()
-    good = None
-    for _ in range(rounds):
-        scored = live.join(belief.hint("merge"), ["inst", "want"], "left").groupBy("ctx", "want").agg(F.sum(F.coalesce("conf", F.lit(0.0))).alias("hits"))
-        good = store(scored.join(sizes.hint("merge"), "ctx").select("ctx", "want", F.least(F.lit(1.0), F.col("hits") / F.col("all_n")).alias("conf")).where(F.col("conf") >= confident), "pii-good")
-        told = live.join(good.withColumnRenamed("conf", "c").hint("merge"), ["ctx", "want"])
-        missed = F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-6))))
-        learnt = told.groupBy("inst", "want").agg((1 - F.exp(missed)).alias("conf"), F.max(F.col("kind") == F.col("want")).alias("is_base"))
-        learnt = learnt.select("inst", "want", F.when(F.col("is_base"), 1.0).otherwise(F.col("conf")).alias("conf"))
-        belief = store(learnt.unionByName(live.where(F.col("kind") == F.col("want")).select("inst", "want", F.lit(1.0).alias("conf")).distinct()).groupBy("inst", "want").agg(F.max("conf").alias("conf")), "pii-belief")
-    more = marks.where(F.col("kind") < 0).join(good.hint("merge"), "ctx").groupBy("rk", "start", "end").agg(F.max(F.struct("conf", -F.col("want"))).alias("best"))
-    more = store(more.select("rk", (-F.col("best.col2")).alias("kind"), "start", "end").groupBy("rk").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("more")), "pii-more")
+    edges = store(marks.select("ctx", "inst").distinct(), "pii-edges")
+    # Contexts with fewer instances can never have the support.
+    sizes = store(edges.groupBy("ctx").agg(F.count("*").alias("all_n")).where(F.col("all_n") >= support), "pii-sizes")
+    live = store(edges.join(sizes.hint("merge"), "ctx"), "pii-live")
+    belief = store(marks.where(F.col("kind") >= 0).select("inst", F.col("kind").alias("want")).distinct(), "pii-belief")
+    good, turn = None, 0
+    while True:
+        scored = live.join(belief.hint("merge"), "inst").groupBy("ctx", "want").agg(F.count("*").alias("hits"), F.max("all_n").alias("all_n"))
+        fresh = scored.where((F.col("hits") >= support) & (F.col("hits") / F.col("all_n") >= confident))
+        fresh = fresh.select("ctx", "want", (F.col("hits") / F.col("all_n")).alias("conf"), F.lit(turn).alias("turn"))
+        fresh = store(fresh if good is None else fresh.join(good.select("ctx", "want").hint("merge"), ["ctx", "want"], "left_anti"), "pii-fresh")
+        if good is not None and fresh.isEmpty():
+            break
+        good = store(fresh if good is None else good.unionByName(fresh), "pii-good")
+        learnt = live.join(fresh.hint("merge"), "ctx").select("inst", "want")
+        belief = store(belief.unionByName(learnt).distinct(), "pii-belief")
+        turn += 1
+    # The kind of the context that entered first, then of the surest.
+    best = F.max(F.struct(-F.col("turn"), "conf", -F.col("want"))).alias("best")
+    more = marks.where(F.col("kind") < 0).join(good.hint("merge"), "ctx").groupBy("rk", "start", "end").agg(best)
+    more = store(more.select("rk", (-F.col("best.col3")).alias("kind"), "start", "end").groupBy("rk").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("more")), "pii-more")
     own = F.transform(F.filter("seen", lambda s: s["kind"] >= 0), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     name = F.array(*[F.lit(k) for k in KINDS])
     spans = F.sort_array(F.concat(own, F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))

@@ -268,6 +268,26 @@ def test_contexts_find_more(spark):
     assert pii.find_pii(awkward(spark)).count() == 9 and pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_candidates():
+    found = lambda t: [t[a:b] for a, b in pii.candidates(t, [])]
+    assert found("to ann@intranet, or bob@localhost. @ 12") == ["ann@intranet", "bob@localhost"]
+    assert found("ring 020 7946 0958, or (020) 7946 0959 in 1 2 or x12") == ["020 7946 0958", "(020) 7946 0959"]
+    assert found("4471 x 12345 12345 12345 12345 123") == ["4471", "12345 12345 12345", "12345 123"]
+    assert pii.candidates("ring 020 7946 0958 now", [(9, 13)]) == [(5, 8), (14, 18)]
+
+
+def test_learnt_instances_open_contexts(spark):
+    texts = [f"mail to x{i}@site.org now" for i in range(40)] + [f"mail to ann{i}@intranet now" for i in range(5)]
+    for k in range(4):  # contexts that each open the next one
+        texts += [f"{chr(97 + k) * 4} write{chr(97 + k)} ann{i}@intranet too" for i in range(k, k + 6)]
+    texts += [f"phone: +1 (212) 555-01{i:02d} x" for i in range(40)] + [f"phone: 020 7946 09{i:02d} x" for i in range(8)]
+    texts += [f"dial: 020 7946 09{i:02d} x" for i in range(8)] + ["dial: 020 7946 1000 x"]
+    got = {texts[r["doc_id"]]: r["spans"] for r in pii.find_pii(docs(spark, texts)).collect()}
+    assert got["mail to ann1@intranet now"] == "email:8:21" and got["aaaa writea ann5@intranet too"] == "email:12:25"
+    assert got["dddd writed ann8@intranet too"] == "email:12:25"
+    assert got["phone: 020 7946 0903 x"] == "phone:7:20" and got["dial: 020 7946 1000 x"] == "phone:6:19"
+
+
 # --- SentencePiece
 
 
