@@ -60,10 +60,13 @@ def resolve_class(header: Column, meta: Column, rule: Column, default: str = "de
 
 def class_nodes(rules: DataFrame, peers: DataFrame) -> DataFrame:
     """storage_class, node: of the first rule with that class that names a node; else the smallest peer id that keeps it."""
+    n = peers.limit(RULE_LIMIT + 1).count()
+    if n > RULE_LIMIT:
+        raise ValueError(f"over {RULE_LIMIT} peers")
     named = rules.where(F.col("assigned_node").isNotNull()).groupBy("storage_class").agg(F.min_by("assigned_node", "rule_idx").alias("by_rule"))
     classes = rules.select("storage_class").distinct()
     fits = (F.size("storage_classes") == 0) | F.array_contains(F.col("storage_classes"), F.col("storage_class"))
-    kept = classes.join(F.broadcast(peers.select("node_id", "storage_classes").limit(RULE_LIMIT)), fits).groupBy("storage_class").agg(F.min("node_id").alias("by_peer"))
+    kept = classes.join(F.broadcast(peers.select("node_id", "storage_classes")), fits).groupBy("storage_class").agg(F.min("node_id").alias("by_peer"))
     return classes.join(named, "storage_class", "left").join(kept, "storage_class", "left").select("storage_class", F.coalesce("by_rule", "by_peer").alias("node"))
 
 

@@ -116,6 +116,14 @@ def test_rule_forms_agree(spark):
     assert got(placement.first_rule(o, r), "bucket", "key", "rule_idx", "rule_class") == got(placement.first_rule_join(o, r), "bucket", "key", "rule_idx", "rule_class")
 
 
+def test_too_many_peers_are_refused(spark):
+    classes = F.array().cast("array<string>").alias("storage_classes")
+    peers = spark.range(placement.RULE_LIMIT + 1).select(F.concat(F.lit("n"), "id").alias("node_id"), classes)
+    with pytest.raises(ValueError):
+        placement.class_nodes(tables.rules(spark), peers)
+    assert placement.class_nodes(tables.rules(spark), peers.limit(3)).count() > 0
+
+
 def test_retries_end_in_dead_letters_and_replay(spark):
     e = spark.createDataFrame([("1", "pending", 0, None), ("2", "failed", 18, 5)], "event_id string, status string, attempts int, next_retry_at long")
     once = replication.after_failure(e, 100)
