@@ -14,7 +14,7 @@ bounded size, each against all documents.
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,7 +110,7 @@ class Items:
         out = []
         for i, starts in spots.items():
             item = self.items[i]
-            need = set(item)
+            need = Counter(item)
             pad = len(item) // 2 + 2
             best, end = None, -1
             merged: list[list[int]] = []
@@ -122,8 +122,9 @@ class Items:
                     merged.append([a, b])
             for a, b in merged:
                 window = ws[a:b]
-                # No alignment can match more words of the item than are there.
-                if len(need.intersection(window)) < least * len(need) * 0.5:
+                # No alignment can match more words of the item than are there, each as often as both have it.
+                both = need & Counter(filter(need.__contains__, window))
+                if sum(both.values()) / len(item) < least:
                     continue
                 score, first, last = align(item, window)
                 sim = score / (2 * len(item))

@@ -147,6 +147,13 @@ def test_alignment():
             assert plain_align(a, b[first : last + 1]) == score
 
 
+def test_repeated_words_count_before_alignment():
+    item = ["a"] * 8 + list("bcdefgh")
+    own = decontam.Items({0: item}, {}, 0)
+    assert own.find("a " * 8, 0.5) == [(0, 16 / 30, 0, 7)]
+    assert own.find("a " * 7 + "x " * 20, 0.5) == []
+
+
 def test_decontamination(spark):
     r = random.Random(5)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
