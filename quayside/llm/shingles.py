@@ -68,7 +68,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[long] = full[src[long]]
     for t in np.nonzero((counts > 0) & (counts < WIDTH))[0]:
         w = words[at[t] : at[t + 1]]
-        out[offs[t]] = (w * _COEF[: len(w)]).sum(dtype=np.uint64) + _SHORT[len(w)]
+        out[offs[t]] = np.append(w * _COEF[: len(w)], _SHORT[len(w)]).sum(dtype=np.uint64)
     return mix(out), offs
 
 
