@@ -30,15 +30,25 @@ def key_of_path(path: Column) -> Column:
     return decode_key(F.regexp_extract(path, "^(?:[0-9a-f]{2}/)?(.*)$", 1))
 
 
+def _rooted(path: Column) -> Column:
+    """Whether a path begins with / or has a colon as its second byte, as drives have."""
+    return path.startswith("/") | path.rlike(r"^[\x00-\x7F]:")
+
+
+def clean_bucket(bucket: Column) -> Column:
+    """The bucket with / for \\, or null where it is empty, rooted or has two dots in a row."""
+    b = F.replace(bucket, F.lit("\\"), F.lit("/"))
+    return F.when((b != "") & ~_rooted(b) & ~b.contains(".."), b)
+
+
 def valid_bucket(bucket: Column) -> Column:
-    return (bucket != "") & ~bucket.startswith("/") & ~bucket.contains("..")
+    return clean_bucket(bucket).isNotNull()
 
 
 def clean_key(key: Column) -> Column:
-    """The key with / for \\, or null where it is empty, absolute, has a drive letter, a .. segment or a line end."""
+    """The key with / for \\, or null where it is empty, rooted, has a .. segment or a newline."""
     k = F.replace(key, F.lit("\\"), F.lit("/"))
-    bad = (k == "") | k.startswith("/") | k.rlike("^[A-Za-z]:") | k.rlike("(^|/)\\.\\.(/|$)") | k.rlike("[\\r\\n]")
-    return F.when(~bad, k)
+    return F.when((k != "") & ~_rooted(k) & ~k.rlike(r"(^|/)\.\.(/|\z)") & ~k.contains("\n"), k)
 
 
 def extension(key: Column) -> Column:
@@ -68,31 +78,54 @@ def parse_range(header: Column, size: Column) -> Column:
     return F.struct(valid.alias("valid"), F.when(valid, start).otherwise(0).cast("long").alias("start"), F.when(valid, end - start + 1).otherwise(size).cast("long").alias("len"))
 
 
-# What counts as compressed already, and the least size worth compressing.
-PACKED_EXTENSIONS = ["7z", "avi", "br", "bz2", "flac", "gif", "gz", "jpeg", "jpg", "mkv", "mov", "mp3", "mp4", "ogg", "png", "rar", "webm", "webp", "xz", "zip", "zst"]
-PACKED_TYPES = ["image/*", "video/*", "audio/*", "application/zip", "application/gzip", "application/zstd"]
+# Extensions and content types of packed content, and the least size worth compressing.
+PACKED_EXTENSIONS = [
+    "gz", "bz2", "rar", "zip", "7z", "xz", "zst", "lz4", "br", "tgz",
+    "jpg", "jpeg", "png", "gif", "webp", "avif", "heic", "heif", "jxl",
+    "mp4", "mkv", "mov", "avi", "wmv", "flv", "webm", "m4v", "mpeg", "mpg",
+    "mp3", "aac", "ogg", "flac", "wma", "m4a", "opus",
+    "pdf", "docx", "xlsx", "pptx",
+    "deb", "rpm", "jar", "war", "apk",
+    "woff", "woff2",
+]
+PACKED_TYPES = [
+    "video/*", "audio/*", "image/*",
+    "application/zip", "application/gzip", "application/x-gzip", "application/x-zip-compressed", "application/x-rar-compressed",
+    "application/x-7z-compressed", "application/x-bzip", "application/x-bzip2", "application/x-xz", "application/zstd",
+    "application/x-zstd", "application/x-tar", "application/tar", "application/pdf", "application/wasm",
+    "font/*",
+]
 COMPRESS_MIN_SIZE = 4096
-# Leading bytes, as hex, of packed formats.
-PACKED_MAGIC = ["1F8B", "504B0304", "28B52FFD", "FD377A585A00", "89504E47", "FFD8FF", "47494638", "377ABCAF271C", "526172211A07"]
+# Leading bytes, as hex, of packed formats; at a place of 4 or 8 bytes, for content of 12 bytes or more.
+PACKED_MAGIC = ["1F8B", "504B0304", "504B0506", "28B52FFD", "89504E47", "FFD8FF", "47494638", "494433"]
+PACKED_MAGIC_AT_4 = "66747970"
+PACKED_MAGIC_RIFF = ("52494646", "57454250")  # at 0 and at 8
 
 
 def type_matches(mime: Column, pattern: str) -> Column:
-    return mime.startswith(pattern[:-1]) if pattern.endswith("/*") else mime == pattern
+    """Whether a content type is the pattern or, for a pattern with /*, of that main type; blanks and case don't count."""
+    m = F.lower(F.btrim(mime))
+    main = pattern.lower().removesuffix("/*")
+    return (m == main) | m.startswith(main + "/") if pattern.endswith("/*") else m == main
 
 
-def compressible(key: Column, size: Column, mime: Column) -> Column:
-    packed = extension(key).isin(PACKED_EXTENSIONS)
+def compressible(key: Column, size: Column, mime: Column, extra: tuple[str, ...] = (), least: int = COMPRESS_MIN_SIZE) -> Column:
+    """Whether compression is worth trying: large enough, and packed neither by extension nor by content type."""
+    packed = F.coalesce(extension(key).isin(PACKED_EXTENSIONS + list(extra)), F.lit(False))
     for p in PACKED_TYPES:
         packed = packed | F.coalesce(type_matches(mime, p), F.lit(False))
-    return (size >= COMPRESS_MIN_SIZE) & ~packed
+    return (size >= max(1, least)) & ~packed
 
 
 def packed_magic(content: Column) -> Column:
-    head = F.hex(F.substring(content, 1, 16))
+    """Whether binary content begins like a packed format."""
+    head = F.hex(F.substring(content, 1, 12))
     out = F.lit(False)
     for m in PACKED_MAGIC:
         out = out | head.startswith(m)
-    return out
+    whole = F.length(head) == 24
+    riff, webp = PACKED_MAGIC_RIFF
+    return out | (whole & (F.substring(head, 9, 8) == PACKED_MAGIC_AT_4)) | (whole & head.startswith(riff) & head.endswith(webp))
 
 
 def sampled(bucket: Column, key: Column, denominator: int) -> Column:
@@ -102,6 +135,34 @@ def sampled(bucket: Column, key: Column, denominator: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", bucket, key)), 1, 8), 16, 10).cast("long") % denominator == 0
 
 
+def _xxh3():
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest
+
+
+def shard_xxh3():
+    """An Arrow function: two hex digits of the last byte of a key's XXH3, the shard of files that use that hash."""
+
+    @F.pandas_udf("string")
+    def digits(key: pd.Series) -> pd.Series:
+        h = _xxh3()
+        return key.map(lambda k: None if k is None else f"{h(k.encode()) & 0xFF:02x}")
+
+    return digits
+
+
+def sampled_xxh3(denominator: int):
+    """An Arrow function (bucket, key) -> whether the XXH3 of bucket/key falls into one of ``denominator`` parts."""
+
+    @F.pandas_udf("boolean")
+    def some(bucket: pd.Series, key: pd.Series) -> pd.Series:
+        h, n = _xxh3(), max(1, denominator)
+        return pd.Series([None if b is None or k is None else h(f"{b}/{k}".encode()) % n == 0 for b, k in zip(bucket, key)], dtype=object)
+
+    return some
+
+
 def backoff_seconds(attempts: Column) -> Column:
     return F.least(F.pow(F.lit(2.0), F.least(attempts, F.lit(10))).cast("long"), F.lit(3600))
 
@@ -127,17 +188,34 @@ def xml_escape(text: Column) -> Column:
     return out
 
 
+def label_escape(text: Column) -> Column:
+    """A metric label's value with its backslashes and quotes escaped."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
 def copy_source(header: Column) -> Column:
-    """struct<bucket, key> of a copy header: split at the first / after a leading one."""
-    h = F.regexp_replace(header, "^/", "")
-    parts = F.split(h, "/", 2)
-    fine = F.size(parts) == 2
-    return F.struct(F.when(fine, parts[0]).alias("bucket"), F.when(fine, F.try_element_at(parts, F.lit(2))).alias("key"))
+    """struct<bucket, key> of a copy header, split at its first /; both null where either is empty."""
+    parts = F.split(header, "/", 2)
+    key = F.try_element_at(parts, F.lit(2))
+    fine = (parts[0] != "") & (key != "")
+    return F.struct(F.when(fine, parts[0]).alias("bucket"), F.when(fine, key).alias("key"))
+
+
+def meta_strings(custom_meta: Column) -> Column:
+    """The string fields of JSON metadata as a map; numbers, objects and the like are left out, what is no object has none."""
+    fields = F.try_variant_get(F.try_parse_json(custom_meta), "$", "map<string,variant>")
+    strings = F.map_filter(F.coalesce(fields, F.create_map().cast("map<string,variant>")), lambda k, v: F.schema_of_variant(v) == "STRING")
+    return F.transform_values(strings, lambda k, v: v.cast("string"))
 
 
 def meta_get(custom_meta: Column, field: str) -> Column:
-    """A string field of the JSON metadata; null where it is missing or no string."""
-    return F.try_element_at(F.from_json(custom_meta, "map<string,string>"), F.lit(field))
+    """A string field of JSON metadata; null where it is missing or no string."""
+    return F.try_element_at(meta_strings(custom_meta), F.lit(field))
+
+
+def meta_build(fields: Column) -> Column:
+    """JSON metadata of a map of strings; null for an empty map."""
+    return F.when(F.size(fields) > 0, F.to_json(fields))
 
 
 def etag_token(header: Column) -> Column:
@@ -150,25 +228,43 @@ def extension_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.lower(F.ltrim(F.btrim(x), F.lit(".")))), lambda x: x != "")
 
 
-def meta_strings(custom_meta: Column) -> Column:
-    """The string fields of JSON metadata as a map; what is no object has none."""
-    raw = F.from_json(custom_meta, "map<string,string>")
-    return F.map_filter(F.coalesce(raw, F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
+# Minutes east of Greenwich of the zone names in mail dates.
+ZONES = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
 
 
 def parse_http_date(text: Column) -> Column:
-    """Seconds since 1970 of an RFC 2822 or RFC 3339 date in UTC; null for neither."""
-    mail = F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss 'GMT'"))
-    iso = F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]X"))
+    """Seconds since 1970 of an RFC 2822 date (weekday and seconds optional, any zone) or an RFC 3339 date; null for neither."""
+    form = r"^\s*(?:[A-Za-z]{3}\s*,\s*)?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}(?::\d{2})?) ([+-]\d{4}|[A-Za-z]{1,3})\s*$"
+    body, zone = F.regexp_extract(text, form, 1), F.upper(F.regexp_extract(text, form, 2))
+    far = F.when(zone.rlike(r"^[+-]\d{4}$"), zone)
+    for name, minutes in ZONES.items():
+        far = far.when(zone == name, f"{'-' if minutes < 0 else '+'}{abs(minutes) // 60:02d}{abs(minutes) % 60:02d}")
+    mail = F.try_to_timestamp(F.concat_ws(" ", body, F.coalesce(far, F.lit("?"))), F.lit("d MMM yyyy HH:mm[:ss] xx"))
+    iso = F.try_to_timestamp(F.regexp_replace(text, r"\.(\d{1,6})\d*", ".$1"), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][.SS][.S]XXX"))
     return F.unix_timestamp(F.coalesce(mail, iso)).cast("long")
 
 
+def _utc(seconds: Column, form: str) -> Column:
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), form)
+
+
 def http_date(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    """An RFC 2822 date in UTC, as in Mon, 1 Jan 2024 00:00:00 +0000."""
+    return _utc(seconds, "EEE, d MMM yyyy HH:mm:ss '+0000'")
 
 
 def iso_date(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return _utc(seconds, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def little_endian(content: Column, at: int, size: int) -> Column:
+    """The unsigned number of ``size`` bytes from byte ``at`` (0: the first), lowest byte first; null where there are fewer.
+
+    Numbers beyond 63 bits are null.
+    """
+    part = F.hex(F.substring(content, at + 1, size))
+    turned = F.concat(*[F.substring(part, 2 * k + 1, 2) for k in reversed(range(size))])
+    return F.when(F.length(part) == 2 * size, F.conv(turned, 16, 10).try_cast("long"))
 
 
 def xxh3_hex():

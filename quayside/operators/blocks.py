@@ -53,7 +53,10 @@ def overlapping(index: DataFrame, start: int, end: int) -> DataFrame:
 
 def read_range(index: DataFrame, blocks: DataFrame, start: int, end: int) -> DataFrame:
     """bucket, key, body: bytes start..end-1 of each object from its blocks (block_hash, body)."""
-    cut = overlapping(index, start, end).join(blocks.select("block_hash", "body").dropDuplicates(["block_hash"]), "block_hash")
+    hit = overlapping(index, start, end)
+    # Only blocks that are asked for are moved and made one each.
+    store = blocks.select("block_hash", "body").join(hit.select("block_hash"), "block_hash", "left_semi").dropDuplicates(["block_hash"])
+    cut = hit.join(store, "block_hash")
     piece = F.substring(F.col("body"), (F.col("skip") + 1).cast("int"), F.col("take").cast("int"))
     got = cut.select("bucket", "key", "block_idx", piece.alias("p")).groupBy("bucket", "key").agg(F.array_sort(F.collect_list(F.struct("block_idx", "p"))).alias("p"))
     return got.select("bucket", "key", F.aggregate("p", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["p"])).alias("body"))
@@ -80,7 +83,10 @@ def compress_sizes(blocks: DataFrame, level: int = 3) -> DataFrame:
 
 
 def train_dictionary(samples: DataFrame, max_size: int, least: int = 64, most: int = 256 << 10, rows: int = 1000) -> bytes | None:
-    """A zstd dictionary from at most ``rows`` bodies of fitting size, in hash order; None for fewer than two."""
+    """A zstd dictionary from a sample of at most ``rows`` bodies of fitting size, in hash order; None for fewer than two.
+
+    A dictionary is a small model: the sample's bound is a parameter and everything else is compressed with it whole.
+    """
     import zstandard
 
     fit = samples.where(F.octet_length("body").between(least, most)).orderBy(F.xxhash64("body")).limit(rows)

@@ -9,13 +9,15 @@ PK = ["bucket", "key"]
 
 def upsert(writes: DataFrame, order: str = "version", at: str = "written_at", keep: tuple[str, ...] = ("storage_class", "origin_node"), pk: tuple[str, ...] = ("bucket", "key")) -> DataFrame:
     """The latest write of each key. ``keep`` columns hold their last non-null value, created_at the first write's time.
+    Of several writes with one order the one with the greatest values counts.
 
     One aggregation: partial results meet before the shuffle, so a key written very often moves little.
     """
     rest = [c for c in writes.columns if c not in (*pk, order, at, *keep)]
-    latest = F.max_by(F.struct(*rest), order).alias("_r")
-    kept = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in keep]
-    got = writes.groupBy(*pk).agg(latest, *kept, F.min_by(at, order).alias("created_at"), F.max_by(at, order).alias("updated_at"))
+    latest = F.max_by(F.struct(*rest), F.struct(order, at, *rest)).alias("_r")
+    kept = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(order, at, c))).alias(c) for c in keep]
+    times = F.min_by(at, F.struct(order, at)).alias("created_at"), F.max_by(at, F.struct(order, at)).alias("updated_at")
+    got = writes.groupBy(*pk).agg(latest, *kept, *times)
     return got.select(*pk, *[F.col(f"_r.{c}").alias(c) for c in rest], *keep, "created_at", "updated_at")
 
 
@@ -47,7 +49,8 @@ def purgeable(objects: DataFrame, cutoff: int) -> DataFrame:
 
 def place(objects: DataFrame, moves: DataFrame) -> DataFrame:
     """Class and node of active rows set to those of ``moves`` (bucket, key, new_class, new_node)."""
-    j = objects.join(moves.withColumn("_m", F.lit(True)), PK, "left")
+    one = moves.groupBy(*PK).agg(F.max(F.struct("new_class", "new_node")).alias("_to"))  # of several moves of a key, the greatest
+    j = objects.join(one.select(*PK, "_to.new_class", "_to.new_node", F.lit(True).alias("_m")), PK, "left")
     hit = F.col("_m") & F.col("deleted_at").isNull()
     return j.withColumn("storage_class", F.when(hit, F.col("new_class")).otherwise(F.col("storage_class"))).withColumn("origin_node", F.when(hit, F.col("new_node")).otherwise(F.col("origin_node"))).drop("_m", "new_class", "new_node")
 

@@ -94,3 +94,58 @@ def migration_page(objects: DataFrame, limit: int, after: tuple[str, str] | None
 
 def oldest(objects: DataFrame, limit: int) -> DataFrame:
     return active(objects).orderBy("updated_at", "bucket", "key").limit(min(10_000, max(1, limit)))
+
+
+def page_xml(rows: DataFrame, bucket: str, prefix: str | None = None, delimiter: str | None = None) -> DataFrame:
+    """One row, xml: the listing document of a page (kind item or prefix, entry, size, etag, updated_at, truncated,
+    next_cursor). A page has at most ``MAX_PAGE`` rows, so that the document is small."""
+    text = lambda c: keys.xml_escape(F.col(c))
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>\n"))
+    quoted = F.concat(F.lit('    <ETag>"'), text("etag"), F.lit('"</ETag>\n'))
+    item = F.concat(
+        F.lit("  <Contents>\n    "), tag("Key", text("entry")), F.coalesce(quoted, F.lit("")), F.lit("    "), tag("Size", F.col("size").cast("string")),
+        F.lit("    "), tag("LastModified", keys.iso_date(F.col("updated_at"))), F.lit("  </Contents>\n"),
+    )
+    folder = F.concat(F.lit("  <CommonPrefixes>\n    "), tag("Prefix", text("entry")), F.lit("  </CommonPrefixes>\n"))
+    is_item = F.col("kind") == "item"
+
+    def all_of(condition, body):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(condition, F.struct("entry", body.alias("x"))))), lambda r: r["x"]), "")
+
+    got = rows.agg(
+        all_of(is_item, item).alias("items"), all_of(~is_item, folder).alias("folders"), F.count_if(is_item).cast("string").alias("n"),
+        F.coalesce(F.bool_or("truncated"), F.lit(False)).cast("string").alias("cut"), F.max("next_cursor").alias("next"),
+    )
+    said = lambda value: keys.xml_escape(F.lit(value))
+    return got.select(
+        F.concat(
+            F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/">\n  '),
+            tag("Name", said(bucket)), F.lit("  "), tag("Prefix", said(prefix or "")), F.concat(F.lit("  "), tag("Delimiter", said(delimiter))) if delimiter else F.lit(""),
+            F.lit("  "), tag("MaxKeys", F.col("n")), F.lit("  "), tag("IsTruncated", F.col("cut")),
+            F.coalesce(F.concat(F.lit("  "), tag("NextContinuationToken", text("next"))), F.lit("")), F.lit("  "), tag("KeyCount", F.col("n")), F.col("folders"), F.col("items"), F.lit("</ListBucketResult>\n"),
+        ).alias("xml")
+    )
+
+
+# The gauges of a store and their help texts.
+GAUGES = [
+    ("objects_total", "Live objects in metadata DB."), ("storage_bytes_total", "Live object bytes in metadata DB."), ("logical_bytes_total", "Logical bytes (same as storage_bytes for v1)."),
+    ("replication_pending_events", "Pending replication_log rows."),
+]
+
+
+def metric_lines(objects: DataFrame, events: DataFrame, prefix: str = "store") -> DataFrame:
+    """line: the store's gauges in the text form of metrics, with the objects of each class under a class label."""
+    act = active(objects)
+    one = act.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("b"))
+    one = one.crossJoin(events.agg(F.count_if(F.col("status") == "pending").alias("p")))  # each side is one row
+    values = dict(zip([g for g, _ in GAUGES], ["n", "b", "b", "p"]))
+    said = []
+    for name, told in GAUGES:
+        full = f"{prefix}_{name}"
+        said += [F.lit(f"# HELP {full} {told}"), F.lit(f"# TYPE {full} gauge"), F.concat(F.lit(f"{full} "), F.col(values[name]).cast("string"))]
+    full = f"{prefix}_storage_class_objects"
+    said += [F.lit(f"# HELP {full} Objects per storage_class label."), F.lit(f"# TYPE {full} gauge")]
+    classes = act.groupBy(F.coalesce("storage_class", F.lit("default")).alias("c")).agg(F.count("*").alias("n"))
+    labelled = classes.select(F.concat(F.lit(f'{full}{{class="'), keys.label_escape(F.col("c")), F.lit('"} '), F.col("n").cast("string")).alias("line"))
+    return one.select(F.explode(F.array(*said)).alias("line")).unionByName(labelled)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def latest_parts(parts: DataFrame) -> DataFrame:
-    """The last upload of each part; the order written_at, tie1, tie2, tie3 is total."""
+    """The last upload of each part; the order written_at, tie1, tie2, tie3 is total.
+
+    Parts are dealt by upload first, so that what follows by upload moves nothing again.
+    """
     by = F.struct("written_at", "tie1", "tie2", "tie3")
-    return parts.groupBy("upload_id", "part_number").agg(F.max_by("size", by).alias("size"), F.max("written_at").alias("written_at"))
+    dealt = parts.repartition("upload_id")
+    return dealt.groupBy("upload_id", "part_number").agg(F.max_by("size", by).alias("size"), F.max("written_at").alias("written_at"))
 
 
 def summary(uploads: DataFrame, parts: DataFrame) -> DataFrame:
@@ -17,17 +21,28 @@ def summary(uploads: DataFrame, parts: DataFrame) -> DataFrame:
     return uploads.join(sums, "upload_id", "left").select("upload_id", "bucket", "key", F.coalesce("n", F.lit(0)).alias("n_parts"), F.coalesce("b", F.lit(0)).alias("bytes"))
 
 
+def offsets(parts: DataFrame) -> DataFrame:
+    """upload_id, part_number, size, start: where each part begins in the whole object. One row a part, however many."""
+    w = Window.partitionBy("upload_id").orderBy("part_number").rowsBetween(Window.unboundedPreceding, 0)
+    return latest_parts(parts).select("upload_id", "part_number", "size", (F.sum("size").over(w) - F.col("size")).cast("long").alias("start"))
+
+
 def manifest(parts: DataFrame) -> DataFrame:
     """upload_id, parts, offsets, bytes: part numbers in ascending order and where each begins."""
-    got = latest_parts(parts).groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("part_number", "size"))).alias("p"))
-    starts = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.aggregate(F.slice("p", 1, i - 1), F.lit(0).cast("long"), lambda s, x: s + x["size"]))
-    return got.select("upload_id", F.array_join(F.transform("p", lambda x: x["part_number"].cast("string")), ",").alias("parts"), F.array_join(F.transform(starts, lambda x: x.cast("string")), ",").alias("offsets"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["size"]).alias("bytes"))
+    p = F.array_sort(F.collect_list(F.struct("part_number", "start", "size"))).alias("p")
+    got = offsets(parts).groupBy("upload_id").agg(p)
+    text = lambda f: F.array_join(F.transform("p", lambda x: x[f].cast("string")), ",").alias({"part_number": "parts", "start": "offsets"}[f])
+    last = F.element_at("p", -1)
+    return got.select("upload_id", text("part_number"), text("start"), (last["start"] + last["size"]).alias("bytes"))
 
 
 def assemble(parts: DataFrame) -> DataFrame:
-    """upload_id, body from rows (upload_id, part_number, body binary), parts in ascending order."""
-    got = parts.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("part_number", "body"))).alias("p"))
-    return got.select("upload_id", F.aggregate("p", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["body"])).alias("body"))
+    """upload_id, body from rows (upload_id, part_number, body binary), parts in ascending order, joined once.
+
+    For objects that fit a row; ``offsets`` places the parts of larger ones.
+    """
+    got = parts.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("part_number", F.hex("body").alias("h")))).alias("p"))
+    return got.select("upload_id", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("body"))
 
 
 def stale(uploads: DataFrame, now: int, ttl_seconds: int | None = None) -> DataFrame:

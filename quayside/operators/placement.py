@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 RULE_LIMIT = 10_000  # rules are configuration; more are refused rather than broadcast
 
 
-def _holds(prefix: str = "prefix") -> Column:
+def _holds() -> Column:
     tests = [
         F.col("r.prefix").isNull() | F.col("o.key").startswith(F.col("r.prefix")),
         F.col("r.suffix").isNull() | F.col("o.key").endswith(F.col("r.suffix")),
@@ -58,31 +58,48 @@ def resolve_class(header: Column, meta: Column, rule: Column, default: str = "de
     return F.coalesce(F.nullif(header, F.lit("")), F.nullif(meta, F.lit("")), rule, F.lit(default))
 
 
-def class_nodes(rules: DataFrame, peers: DataFrame) -> DataFrame:
-    """storage_class, node: of the first rule with that class that names a node; else the smallest peer id that keeps it."""
+def class_nodes(rules: DataFrame, peers: DataFrame, here: str) -> DataFrame:
+    """storage_class, node of each class of ``rules``: what its first rule names, else the smallest peer id other than ``here``."""
     n = peers.limit(RULE_LIMIT + 1).count()
     if n > RULE_LIMIT:
         raise ValueError(f"over {RULE_LIMIT} peers")
-    named = rules.where(F.col("assigned_node").isNotNull()).groupBy("storage_class").agg(F.min_by("assigned_node", "rule_idx").alias("by_rule"))
-    classes = rules.select("storage_class").distinct()
-    fits = (F.size("storage_classes") == 0) | F.array_contains(F.col("storage_classes"), F.col("storage_class"))
-    kept = classes.join(F.broadcast(peers.select("node_id", "storage_classes")), fits).groupBy("storage_class").agg(F.min("node_id").alias("by_peer"))
-    return classes.join(named, "storage_class", "left").join(kept, "storage_class", "left").select("storage_class", F.coalesce("by_rule", "by_peer").alias("node"))
+    first = rules.groupBy("storage_class").agg(F.min_by("assigned_node", "rule_idx").alias("named"))
+    other = peers.where(F.col("node_id") != here).agg(F.min("node_id").alias("other"))
+    # The other side is one row.
+    return first.crossJoin(F.broadcast(other)).select("storage_class", F.coalesce("named", "other").alias("node"))
 
 
-def gate(node: Column, here: str, forward: bool) -> Column:
-    """local if the object belongs here or nowhere, else forward or reject."""
-    return F.when(node.isNull() | (node == here), "local").otherwise("forward" if forward else "reject")
+def accepts(storage_class: Column, own_classes: list[str]) -> Column:
+    """Whether a node with these classes keeps an object of the class itself."""
+    return storage_class.isin(own_classes) if own_classes else F.lit(False)
+
+
+def gate(storage_class: Column, own_classes: list[str], node: Column, forward: bool) -> Column:
+    """local if this node keeps the class, else forward to ``node`` or, without forwarding or a node, reject."""
+    away = F.when(node.isNotNull(), "forward").otherwise("reject") if forward else F.lit("reject")
+    return F.when(accepts(storage_class, own_classes), "local").otherwise(away)
+
+
+def resolution(objects: DataFrame, rules: DataFrame, peers: DataFrame, here: str, own_classes: list[str], header: Column, meta: Column, default: str = "default") -> DataFrame:
+    """bucket, key, storage_class, accept_local, assigned_node: where each object would go; the node is null where it stays."""
+    named = first_rule(objects, rules).select("bucket", "key", resolve_class(header, meta, F.col("rule_class"), default).alias("storage_class"))
+    other = peers.where(F.col("node_id") != here).agg(F.min("node_id").alias("_other"))
+    nodes = class_nodes(rules, peers, here)
+    out = named.join(F.broadcast(nodes), "storage_class", "left").crossJoin(F.broadcast(other))
+    stays = accepts(F.col("storage_class"), own_classes)
+    return out.select("bucket", "key", "storage_class", stays.alias("accept_local"), F.when(~stays, F.coalesce("node", "_other")).alias("assigned_node"))
 
 
 def peers_for(events: DataFrame, peers: DataFrame) -> DataFrame:
-    """Each event with each peer that keeps its class (none named: all) and is in its group (a null group: any)."""
+    """Each event with each peer that keeps its class (none named: all) and takes its group: a peer without a group takes
+    every event, a peer with one only events of that group."""
     n = peers.limit(RULE_LIMIT + 1).count()
     if n > RULE_LIMIT:
         raise ValueError(f"over {RULE_LIMIT} peers")
     p = peers.select("node_id", "storage_classes", F.col("replication_group").alias("peer_group"))
-    fits = ((F.size("storage_classes") == 0) | F.array_contains(F.col("storage_classes"), F.col("storage_class"))) & (F.col("replication_group").isNull() | (F.col("peer_group") == F.col("replication_group")))
-    return events.join(F.broadcast(p), fits)
+    classes = (F.size("storage_classes") == 0) | F.array_contains(F.col("storage_classes"), F.col("storage_class"))
+    groups = F.col("peer_group").isNull() | (F.col("peer_group") == F.coalesce("replication_group", F.lit("")))
+    return events.join(F.broadcast(p), classes & groups)
 
 
 def bucket_allowed(policy: DataFrame, requests: DataFrame) -> DataFrame:
@@ -93,26 +110,40 @@ def bucket_allowed(policy: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(have, ["subject", "bucket"], "left").select("subject", "bucket", F.coalesce("_ok", F.lit(False)).alias("allowed"))
 
 
+# Roles that may do everything, and roles that may only read.
+WRITING_ROLES = ["admin", "editor", "uploader"]
+READING_ROLES = ["listener", "readonly", "read_only"]
+
+
 def role_allowed(role: Column, method: Column) -> Column:
-    """Readers read, writers also write, admins may all."""
-    return F.when(role == "admin", True).when(role == "writer", method.isin("GET", "HEAD", "PUT", "POST", "DELETE")).when(role == "reader", method.isin("GET", "HEAD")).otherwise(False)
+    """Whether a role, in any case, may use an HTTP method; unknown roles may use none."""
+    r = F.lower(role)
+    return F.coalesce(F.when(r.isin(WRITING_ROLES), True).when(r.isin(READING_ROLES), method.isin("GET", "HEAD")), F.lit(False))
 
 
 def parse_peers(text: str) -> list[tuple[str, str, list[str], str | None]]:
-    """(node_id, url, classes, group) of entries ``id=url[|class+class[|group]]`` separated by commas.
+    """(node_id, url, classes, group) of entries ``id=url[;class][;group=name]`` separated by commas.
 
-    Configuration is read on the driver. An entry without an id or a url is an error.
+    Configuration is read on the driver. Each further part is a class, but for ``group=``; other named parts are passed
+    over. An entry without an id or a url, an id that comes twice and a text without entries are errors.
     """
-    out = []
+    out: dict[str, tuple[str, str, list[str], str | None]] = {}
     for entry in filter(None, map(str.strip, text.split(","))):
-        node, eq, rest = entry.partition("=")
-        url, classes, group = (rest.split("|") + ["", ""])[:3]
-        if not eq or not node.strip() or not url.strip():
+        node, _, rest = entry.partition("=")
+        url, *more = [p for p in map(str.strip, rest.split(";")) if p] or [""]
+        if not node or not url:
             raise ValueError(f"peer {entry!r}: id=url is needed")
-        out.append((node.strip(), url.strip(), [c for c in classes.split("+") if c], group.strip() or None))
-    return out
+        if node in out:
+            raise ValueError(f"peer {node!r} comes twice")
+        named = dict(map(str.strip, p.split("=", 1)) for p in more if "=" in p)
+        out[node] = (node, url, [p for p in more if "=" not in p], named.get("group") or None)
+    if not out:
+        raise ValueError("no peers")
+    return list(out.values())
 
 
 def format_peers(peers: list[tuple[str, str, list[str], str | None]]) -> str:
-    """The inverse of ``parse_peers``."""
-    return ",".join(f"{n}={u}" + (f"|{'+'.join(c)}" if c or g else "") + (f"|{g}" if g else "") for n, u, c, g in peers)
+    """The text of peers; ``parse_peers`` reads it back where no peer has several classes."""
+    if not peers or any(not n.strip() or not u.strip() for n, u, _, _ in peers):
+        raise ValueError("peers need an id and a url, and one must be there")
+    return ",".join(f"{n.strip()}={u.strip()}" + (f";{','.join(c)}" if c else "") + (f";group={g.strip()}" if (g or "").strip() else "") for n, u, c, g in peers)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quayside.functions import keys
 
@@ -30,13 +30,20 @@ def missing_payloads(events: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def report(objects: DataFrame, blobs: DataFrame, events: DataFrame) -> DataFrame:
-    """One row: stale_rows, orphan_files, orphan_bytes, pending_events, missing_payloads."""
-    stale = stale_rows(objects, blobs).agg(F.count("*").alias("stale_rows"))
-    lost = orphans(objects, blobs).agg(F.count("*").alias("orphan_files"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("orphan_bytes"))
+    """One row: stale_rows, orphan_files, orphan_bytes, pending_events, missing_payloads.
+
+    Objects and files meet once, in a full outer join whose two sides are counted together.
+    """
+    own = objects.where(F.col("deleted_at").isNull()).select(*PK, F.lit(True).alias("_o"))
+    both = own.join(blobs.select(*PK, "bytes", F.lit(True).alias("_f")), PK, "full_outer")
+    lost, stale = F.col("_o").isNull(), F.col("_f").isNull()
+    files = both.agg(
+        F.count_if(stale).alias("stale_rows"), F.count_if(lost).alias("orphan_files"), F.coalesce(F.sum(F.when(lost, F.col("bytes"))), F.lit(0)).cast("long").alias("orphan_bytes")
+    )
     pending = events.agg(F.count_if(F.col("status") == "pending").alias("pending_events"))
     missing = missing_payloads(events, blobs).agg(F.count("*").alias("missing_payloads"))
     # Each side is one row.
-    return stale.crossJoin(lost).crossJoin(pending).crossJoin(missing)
+    return files.crossJoin(pending).crossJoin(missing)
 
 
 def scrub(objects: DataFrame, stored: DataFrame, denominator: int) -> DataFrame:
@@ -76,18 +83,52 @@ def heal(verdicts: DataFrame, replicas: DataFrame) -> DataFrame:
     return bad.join(first, PK, "left").select(*PK, "verdict", "source_node", F.col("source_node").isNotNull().alias("healed"))
 
 
-def recompress_plan(objects: DataFrame) -> DataFrame:
-    """bucket, key, action of active objects: skip what is small or packed already, keep what is packed by us, else recompress."""
-    fine = keys.compressible(F.col("key"), F.col("size"), F.col("mime_type"))
-    act = objects.where(F.col("deleted_at").isNull())
-    return act.select(*PK, F.when(~fine, "skip").when(F.coalesce("storage_class", F.lit("default")) == "archive", "keep").otherwise("recompress").alias("action"))
+# The first four bytes of the container formats, as hex, and the least length that counts as one.
+CONTAINERS = [("indexed", "4E4F5349", 12), ("blocks", "4E4F5342", 12), ("packed", "4E4F535A", 12), ("packed2", "4E4F5332", 16), ("refs", "4E4F5344", 16)]
+HAS_LEVEL = 0x8000  # flag of an indexed container whose header has a level
+
+
+def container_format(body: Column) -> Column:
+    """The container format of binary content by its first bytes and length, else raw."""
+    head, n = F.hex(F.substring(body, 1, 4)), F.octet_length(body)
+    out = F.lit("raw")
+    for name, magic, least in reversed(CONTAINERS):
+        out = F.when((head == magic) & (n >= least), name).otherwise(out)
+    return out
 
 
 def sniff(content: DataFrame) -> DataFrame:
-    """bucket, key, format by leading bytes: gzip, zip, zstd, xz, png, jpeg, gif, 7z, rar, html or raw."""
-    head = F.hex(F.substring(F.col("body"), 1, 16))
-    names = ["gzip", "zip", "zstd", "xz", "png", "jpeg", "gif", "7z", "rar"]
-    out = F.when(F.octet_length("body") < 4, "raw")
-    for m, n in zip(keys.PACKED_MAGIC, names):
-        out = out.when(head.startswith(m), n)
-    return content.select(*PK, out.when(F.upper(F.substring(F.col("body"), 1, 9).cast("string")) == "<!DOCTYPE", "html").otherwise("raw").alias("format"))
+    """bucket, key, format of rows with a binary ``body``."""
+    return content.select(*PK, container_format(F.col("body")).alias("format"))
+
+
+def headers(content: DataFrame) -> DataFrame:
+    """bucket, key, format, logical_size, block_size, dict_id, flags, zstd_level of the container in ``body``.
+
+    A field is null where the format hasn't got it or the content is too short for it; an indexed container without the
+    level flag has level 0.
+    """
+    body = F.col("body")
+    c = content.withColumn("format", container_format(body))
+    held = F.col("format") != "raw"
+    indexed = F.col("format") == "indexed"
+    flags = F.when(indexed, keys.little_endian(body, 22, 2))
+    level = F.when(flags.bitwiseAND(HAS_LEVEL) != 0, F.coalesce(keys.little_endian(body, 24, 1), F.lit(0))).when(flags.isNotNull(), 0)
+    return c.select(
+        *PK, "format", F.when(held, keys.little_endian(body, 4, 8)).alias("logical_size"), F.when(indexed | (F.col("format") == "blocks"), keys.little_endian(body, 12, 4)).alias("block_size"),
+        F.when(indexed, keys.little_endian(body, 20, 2)).alias("dict_id"), flags.alias("flags"), level.cast("long").alias("zstd_level"),
+    )
+
+
+def needs_upgrade(level: int, dict_loaded: bool = False, target_dict: int = 0) -> Column:
+    """Whether a container of ``headers`` should be written anew: an old block container, one whose header can't be read,
+    one of a lower or unknown level, or one without the dictionary that is loaded now. Other formats stay."""
+    old = F.col("zstd_level").isNull() | (F.col("zstd_level") == 0) | (F.col("zstd_level") < level)
+    if dict_loaded and target_dict > 0:
+        old = old | (F.col("dict_id") == 0)
+    return (F.col("format") == "blocks") | ((F.col("format") == "indexed") & old)
+
+
+def recompress_plan(content: DataFrame, level: int, dict_loaded: bool = False, target_dict: int = 0) -> DataFrame:
+    """bucket, key, format, upgrade of rows with a binary ``body``."""
+    return headers(content).select(*PK, "format", needs_upgrade(level, dict_loaded, target_dict).alias("upgrade"))

@@ -83,8 +83,16 @@ def apply_events(events: DataFrame) -> DataFrame:
 
 
 def merge_deletes(results: DataFrame) -> DataFrame:
-    """One row of many nodes' results (node_id, deleted, failed_keys, truncated, cursor): sums, all failures, any, first."""
-    return results.agg(F.sum("deleted").cast("long").alias("deleted"), F.array_join(F.sort_array(F.flatten(F.collect_list("failed_keys"))), ",").alias("failed"), F.bool_or("truncated").alias("truncated"), F.min_by("cursor", F.when(F.col("cursor").isNotNull(), F.col("node_id"))).alias("cursor"))
+    """One row of many nodes' results (node_id, deleted, failed_keys, truncated, cursor): sums, number of failures, any, first."""
+    return results.agg(
+        F.sum("deleted").cast("long").alias("deleted"), F.sum(F.size("failed_keys")).cast("long").alias("n_failed"), F.bool_or("truncated").alias("truncated"),
+        F.min_by("cursor", F.when(F.col("cursor").isNotNull(), F.col("node_id"))).alias("cursor"),
+    )
+
+
+def failed_keys(results: DataFrame) -> DataFrame:
+    """node_id, key of every key that a node failed to delete, one row each."""
+    return results.select("node_id", F.explode("failed_keys").alias("key"))
 
 
 def read_repair(wanted: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:

@@ -71,11 +71,11 @@ def head_active(spark, d):
     return listing.active(o).where(F.col("doc_id") == 17).select("bucket", "key", "size", "mime_type", "etag", "storage_class")
 
 
-@query("""SELECT w.bucket, w.key, o.key IS NOT NULL AS exists FROM (SELECT DISTINCT bucket, key || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '.bak' END AS key FROM doc_objects WHERE doc_id % 10 < 4) w
+@query("""SELECT w.bucket, w.key, o.key IS NOT NULL AS exists FROM (SELECT DISTINCT bucket, key || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '.bak' END AS key FROM doc_objects) w
   LEFT JOIN (SELECT bucket, key FROM doc_objects WHERE deleted_at IS NULL) o USING (bucket, key)""", "doc_objects")
 def exists_batch(spark, d):
     o = t.doc_objects(spark, d)
-    wanted = o.where(F.col("doc_id") % 10 < 4).select("bucket", F.concat("key", F.when(F.col("doc_id") % 2 == 0, "").otherwise(".bak")).alias("key")).distinct()
+    wanted = o.select("bucket", F.concat("key", F.when(F.col("doc_id") % 2 == 0, "").otherwise(".bak")).alias("key")).distinct()
     return listing.existing(o, wanted)
 
 
@@ -137,6 +137,17 @@ def prometheus_lines(spark, d):
     return listing.active(t.doc_objects(spark, d)).groupBy("bucket").agg(F.count("*").alias("n")).select(F.format_string('store_objects{bucket="%s"} %d', "bucket", "n").alias("line"))
 
 
+@query(r"""SELECT unnest(['# HELP store_objects_total Live objects in metadata DB.', '# TYPE store_objects_total gauge', 'store_objects_total ' || o.n,
+    '# HELP store_storage_bytes_total Live object bytes in metadata DB.', '# TYPE store_storage_bytes_total gauge', 'store_storage_bytes_total ' || o.b,
+    '# HELP store_logical_bytes_total Logical bytes (same as storage_bytes for v1).', '# TYPE store_logical_bytes_total gauge', 'store_logical_bytes_total ' || o.b,
+    '# HELP store_replication_pending_events Pending replication_log rows.', '# TYPE store_replication_pending_events gauge', 'store_replication_pending_events ' || p.n,
+    '# HELP store_storage_class_objects Objects per storage_class label.', '# TYPE store_storage_class_objects gauge']) AS line FROM (SELECT count(*) AS n, CAST(coalesce(sum(size), 0) AS BIGINT) AS b FROM doc_objects WHERE deleted_at IS NULL) o, (SELECT count(*) AS n FROM replication_log WHERE status = 'pending') p
+  UNION ALL SELECT 'store_storage_class_objects{class="' || CASE c WHEN 'cold' THEN 'co\\\"ld' ELSE c END || '"} ' || count(*) FROM (SELECT coalesce(storage_class, 'default') AS c FROM doc_objects WHERE deleted_at IS NULL) GROUP BY c""", "doc_objects", "replication_log")
+def metrics_text(spark, d):
+    o = t.doc_objects(spark, d).replace({"cold": 'co\\"ld'}, subset=["storage_class"])  # a label to escape
+    return listing.metric_lines(o, t.replication_log(spark, d))
+
+
 # --- changes
 
 
@@ -190,32 +201,35 @@ def set_placement(spark, d):
     return catalog.place(o, moves).select("bucket", "key", "storage_class", "origin_node")
 
 
-@query("SELECT 'copies' AS bucket, bucket || '/' || key AS key, size, etag, 1706659200 AS created_at FROM doc_objects WHERE deleted_at IS NULL AND doc_id % 6 = 1", "doc_objects")
+@query("SELECT 'copies' AS bucket, bucket || '/' || key AS key, size, etag, 1706659200 AS created_at FROM doc_objects WHERE deleted_at IS NULL", "doc_objects")
 def copy_objects(spark, d):
     o = t.doc_objects(spark, d)
-    req = o.where(F.col("doc_id") % 6 == 1).select("bucket", "key", F.lit("copies").alias("to_bucket"), F.concat_ws("/", "bucket", "key").alias("to_key"))
+    req = o.select("bucket", "key", F.lit("copies").alias("to_bucket"), F.concat_ws("/", "bucket", "key").alias("to_key"))
     return catalog.copies(o, req, NOW).select("bucket", "key", "size", "etag", F.col("created_at").cast("int").alias("created_at"))
 
 
 @query("""SELECT bucket, key, incoming, CAST(existing AS BIGINT) AS existing, total - existing + incoming <= 2000000 AS accepted FROM (
-  SELECT bucket, key, doc_id * 1000 AS incoming, CASE WHEN deleted_at IS NULL THEN size ELSE 0 END AS existing, (SELECT sum(size) FROM doc_objects WHERE deleted_at IS NULL) AS total FROM doc_objects WHERE doc_id % 8 = 2)""", "doc_objects")
+  SELECT bucket, key, doc_id * 1000 AS incoming, CASE WHEN deleted_at IS NULL THEN size ELSE 0 END AS existing, (SELECT sum(size) FROM doc_objects WHERE deleted_at IS NULL) AS total FROM doc_objects)""", "doc_objects")
 def quota_verdict(spark, d):
     o = t.doc_objects(spark, d)
-    return catalog.quota(o, o.where(F.col("doc_id") % 8 == 2).select("bucket", "key", (F.col("doc_id") * 1000).alias("incoming")), 2_000_000)
+    return catalog.quota(o, o.select("bucket", "key", (F.col("doc_id") * 1000).alias("incoming")), 2_000_000)
 
 
 # --- scalar functions
 
 
-@query("""SELECT i, CASE WHEN k = '' OR k LIKE '/%' OR regexp_matches(k, '^[A-Za-z]:') OR regexp_matches(k, '(^|/)\\.\\.(/|$)') OR regexp_matches(k, '[\\r\\n]') THEN NULL ELSE k END AS key,
-  b <> '' AND b NOT LIKE '/%' AND NOT contains(b, '..') AS bucket_ok FROM (
-  SELECT doc_id AS i, replace(CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN '/' || doc_id WHEN 2 THEN 'a\\b' || doc_id WHEN 3 THEN 'c:x' WHEN 4 THEN 'a/../b' WHEN 5 THEN 'a..b/c' ELSE 'x' || chr(10) || 'y' END, '\\', '/') AS k,
-    CASE doc_id % 3 WHEN 0 THEN 'b..c' WHEN 1 THEN '/b' ELSE 'bucket' END AS b FROM documents)""")
+_ODD_KEYS = ["", "/a", "a\\b", "c:x", "1:x", "é:x", "a/../b", "a..b/c", "x\ny", "x\ry", "a/..", "..", "\\a", "ok/key"]
+_ODD_BUCKETS = ["b..c", "/b", "bucket", "", "C:x", "a\\b", "\\b", "ü:x"]
+_LITERALS = {n: "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '") + "'" for x in v) + "]" for n, v in (("k", _ODD_KEYS), ("b", _ODD_BUCKETS))}
+
+
+@query(f"""SELECT i, CASE WHEN k = '' OR k LIKE '/%' OR (ascii(k) < 128 AND substr(k, 2, 1) = ':') OR list_contains(string_split(k, '/'), '..') OR contains(k, chr(10)) THEN NULL ELSE k END AS key,
+  CASE WHEN b = '' OR b LIKE '/%' OR contains(b, '..') OR (ascii(b) < 128 AND substr(b, 2, 1) = ':') THEN NULL ELSE b END AS bucket FROM (
+  SELECT doc_id AS i, replace({_LITERALS["k"]}[doc_id % 14 + 1], '\\', '/') AS k, replace({_LITERALS["b"]}[doc_id % 8 + 1], '\\', '/') AS b FROM documents)""")
 def sanitize_keys(spark, d):
     i = F.col("doc_id")
-    k = F.when(i % 7 == 0, "").when(i % 7 == 1, F.concat(F.lit("/"), i.cast("string"))).when(i % 7 == 2, F.concat(F.lit("a\\b"), i.cast("string"))).when(i % 7 == 3, "c:x").when(i % 7 == 4, "a/../b").when(i % 7 == 5, "a..b/c").otherwise("x\ny")
-    b = F.when(i % 3 == 0, "b..c").when(i % 3 == 1, "/b").otherwise("bucket")
-    return t.table(spark, d, "documents").select(i.alias("i"), keys.clean_key(k).alias("key"), keys.valid_bucket(b).alias("bucket_ok"))
+    k, b = (F.element_at(F.array(*map(F.lit, v)), (i % len(v) + 1).cast("int")) for v in (_ODD_KEYS, _ODD_BUCKETS))
+    return t.table(spark, d, "documents").select(i.alias("i"), keys.clean_key(k).alias("key"), keys.clean_bucket(b).alias("bucket"))
 
 
 @query("""SELECT version, replace(replace(k, '%', '%25'), '/', '%2F') AS encoded, k AS decoded, bucket || '/' || substr(md5(k), 31, 2) || '/' || replace(replace(k, '%', '%25'), '/', '%2F') AS path FROM (SELECT version, bucket, key || '%2F' AS k FROM page_objects)""", "page_objects")
@@ -224,12 +238,30 @@ def encode_key(spark, d):
     return t.page_objects(spark, d).select("version", keys.encode_key(k).alias("encoded"), keys.decode_key(keys.encode_key(k)).alias("decoded"), keys.blob_path(F.col("bucket"), k).alias("path"))
 
 
-@query("""SELECT version, lower(regexp_extract(key, '([^/]+)\\.([^/.]+)$', 2)) AS ext, size >= 4096 AND NOT (lower(regexp_extract(key, '([^/]+)\\.([^/.]+)$', 2)) IN ('zip', 'png', 'gz')) AS eligible FROM
-  (SELECT version, size, key || CASE version % 4 WHEN 0 THEN '.ZIP' WHEN 1 THEN '.png' WHEN 2 THEN '.tar.gz' ELSE '' END AS key FROM page_objects)""", "page_objects")
+_NAMES = [".ZIP", ".png", ".tar.gz", "", ".pdf", ".docx", ".lz4", ".woff2", ".Opus", ".txt", ".jar", "/.gz", ".heic", ".gz/x"]
+_TYPES = ["text/html", " Image/PNG ", "application/pdf", "font/ttf", "application/x-tar", "videos/x", "video", "application/json", "application/wasm"]
+
+
+@query(f"""SELECT version, ext, size >= 4096 AND NOT coalesce(ext IN ('gz', 'bz2', 'rar', 'zip', '7z', 'xz', 'zst', 'lz4', 'br', 'tgz', 'jpg', 'jpeg', 'png', 'gif', 'webp', 'avif', 'heic', 'heif', 'jxl', 'mp4', 'mkv', 'mov', 'avi', 'wmv', 'flv', 'webm', 'm4v', 'mpeg', 'mpg', 'mp3', 'aac', 'ogg', 'flac', 'wma', 'm4a', 'opus', 'pdf', 'docx', 'xlsx', 'pptx', 'deb', 'rpm', 'jar', 'war', 'apk', 'woff', 'woff2'), false)
+    AND NOT (split_part(ct, '/', 1) IN ('video', 'audio', 'image', 'font') OR ct IN ('application/zip', 'application/gzip', 'application/x-gzip', 'application/x-zip-compressed', 'application/x-rar-compressed', 'application/x-7z-compressed', 'application/x-bzip', 'application/x-bzip2', 'application/x-xz', 'application/zstd', 'application/x-zstd', 'application/x-tar', 'application/tar', 'application/pdf', 'application/wasm')) AS eligible FROM
+  (SELECT version, size, lower(regexp_extract(key || {_NAMES!r}[version % 14 + 1], '([^/]+)\\.([^/.]+)$', 2)) AS ext, lower(trim({_TYPES!r}[version % 9 + 1])) AS ct FROM page_objects)""", "page_objects")
 def compress_eligible(spark, d):
     v = F.col("version")
-    k = F.concat("key", F.when(v % 4 == 0, ".ZIP").when(v % 4 == 1, ".png").when(v % 4 == 2, ".tar.gz").otherwise(""))
-    return t.page_objects(spark, d).select("version", keys.extension(k).alias("ext"), keys.compressible(k, F.col("size"), F.col("mime_type")).alias("eligible"))
+    name, kind = (F.element_at(F.array(*map(F.lit, x)), (v % len(x) + 1).cast("int")) for x in (_NAMES, _TYPES))
+    k = F.concat("key", name)
+    return t.page_objects(spark, d).select("version", keys.extension(k).alias("ext"), keys.compressible(k, F.col("size"), kind).alias("eligible"))
+
+
+_HEADS = ["1F8B08", "504B0304", "504B0506", "28B52FFD", "89504E47", "FFD8FF", "47494638", "494433", "0000001866747970", "524946460000000057454250", "5249464600000000AAAAAAAA", "00", ""]
+
+
+@query(f"""SELECT page_id, head IN ('1F8B08', '504B0304', '504B0506', '28B52FFD', '89504E47', 'FFD8FF', '47494638', '494433') OR (long AND head IN ('0000001866747970', '524946460000000057454250')) OR (NOT long AND head = '524946460000000057454250') AS packed
+  FROM (SELECT page_id, {_HEADS!r}[page_id % 13 + 1] AS head, page_id % 2 = 0 AS long FROM pages)""")
+def packed_heads(spark, d):
+    i = F.col("page_id")
+    head = F.unhex(F.element_at(F.array(*map(F.lit, _HEADS)), (i % 13 + 1).cast("int")))
+    body = F.when(i % 2 == 0, F.concat(head, F.encode("html", "UTF-8"))).otherwise(head)
+    return t.table(spark, d, "pages").select("page_id", keys.packed_magic(body).alias("packed"))
 
 
 @query("""SELECT version, valid, CASE WHEN valid THEN s ELSE 0 END AS start, CASE WHEN valid THEN e - s + 1 ELSE size END AS len FROM (SELECT *, coalesce(s <= e AND s < size AND NOT (form = 2 AND n = 0), false) AS valid FROM (
@@ -254,20 +286,33 @@ def size_functions(spark, d):
     return t.doc_objects(spark, d).select("doc_id", keys.zstd_level((i % 40 - 5).cast("int")).alias("level"), keys.window_log(F.col("size")).cast("long").alias("wlog"), keys.permits(F.col("size"), 4096).alias("permits"), keys.backoff_seconds(i % 15).alias("backoff"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM pages""")
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM pages""")
 def xml_escape(spark, d):
-    return t.table(spark, d, "pages").select("page_id", keys.xml_escape(F.substring("html", 1, 200)).alias("escaped"))
+    return t.table(spark, d, "pages").select("page_id", keys.xml_escape(F.col("html")).alias("escaped"))
 
 
-@query("""SELECT version, CASE WHEN key <> '' THEN bucket END AS src_bucket, CASE WHEN key <> '' THEN key END AS src_key FROM page_objects""", "page_objects")
+@query("""SELECT version, CASE WHEN version % 3 = 0 AND key <> '' AND bucket <> '' THEN bucket END AS src_bucket, CASE WHEN version % 3 = 0 AND key <> '' AND bucket <> '' THEN key END AS src_key FROM page_objects""", "page_objects")
 def copy_source(spark, d):
-    h = F.when(F.col("key") != "", F.concat(F.lit("/"), F.concat_ws("/", "bucket", "key"))).otherwise(F.col("bucket"))
+    v, path = F.col("version"), F.concat_ws("/", "bucket", "key")
+    h = F.when(v % 3 == 0, path).when(v % 3 == 1, F.concat(F.lit("/"), path)).otherwise(F.concat("bucket", F.when(v % 2 == 0, "/").otherwise("")))
     return t.page_objects(spark, d).select("version", keys.copy_source(h).alias("c")).select("version", F.col("c.bucket").alias("src_bucket"), F.col("c.key").alias("src_key"))
 
 
-@query("SELECT event_id, props ->> '$.k' AS k, CAST(NULL AS VARCHAR) AS missing FROM events")
+_METAS = ['{"storage-class":7,"a":"x"}', '{"storage-class":"hot","n":1.5,"o":{"storage-class":"in"}}', "[1]", "not json", '{"storage-class":null,"b":true,"c":"7"}', '{"storage-class":""}', "{}"]
+
+
+@query(f"""SELECT doc_id, CASE WHEN json_valid(m) AND json_type(m, '$."storage-class"') = 'VARCHAR' THEN m ->> '$."storage-class"' END AS class FROM (SELECT doc_id, {_METAS!r}[doc_id % 7 + 1] AS m FROM documents)""")
 def custom_meta_get(spark, d):
-    return t.table(spark, d, "events").select("event_id", keys.meta_get(F.col("props"), "k").alias("k"), keys.meta_get(F.col("props"), "absent").alias("missing"))
+    m = F.element_at(F.array(*map(F.lit, _METAS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    return t.table(spark, d, "documents").select("doc_id", keys.meta_get(m, "storage-class").alias("class"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN '{"class":"' || ['cold', 'a\\b', 'q\"'][doc_id % 4] || '"}' END AS meta FROM documents""")
+def custom_meta_build(spark, d):
+    i = F.col("doc_id")
+    value = F.when(i % 4 == 1, "cold").when(i % 4 == 2, "a\\b").otherwise('q"')
+    fields = F.when(i % 4 > 0, F.create_map(F.lit("class"), value)).otherwise(F.create_map().cast("map<string,string>"))
+    return t.table(spark, d, "documents").select("doc_id", keys.meta_build(fields).alias("meta"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' ELSE NULL END AS tag, CASE event_id % 2 WHEN 0 THEN 'gz,zip' ELSE 'png' END AS exts FROM events")
@@ -278,23 +323,38 @@ def header_lists(spark, d):
     return t.table(spark, d, "events").select("event_id", keys.etag_token(tag).alias("tag"), F.array_join(keys.extension_list(exts), ",").alias("exts"))
 
 
-@query("""SELECT doc_id, f AS field, v AS value FROM (SELECT doc_id, unnest(['lang', 'storage-class']) AS f, unnest([split_part(key, '/', 1), CASE WHEN doc_id % 6 = 0 THEN 'hot' ELSE '' END]) AS v FROM doc_objects)""", "doc_objects")
+@query(f"""SELECT doc_id, f AS field, m ->> ('$."' || f || '"') AS value FROM (SELECT doc_id, m, unnest(json_keys(m)) AS f FROM (SELECT doc_id, CASE WHEN m[1] = '{{' THEN m END AS m FROM (SELECT doc_id, {_METAS!r}[doc_id % 7 + 1] AS m FROM documents)))
+  WHERE json_type(m, '$."' || f || '"') = 'VARCHAR'""")
 def custom_meta_explode(spark, d):
-    return t.doc_objects(spark, d).select("doc_id", F.explode(keys.meta_strings(F.col("custom_meta"))).alias("field", "value"))
+    m = F.element_at(F.array(*map(F.lit, _METAS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    return t.table(spark, d, "documents").select("doc_id", F.explode(keys.meta_strings(m)).alias("field", "value"))
 
 
-@query("""SELECT event_id, strftime(to_timestamp(s) AT TIME ZONE 'UTC', '%a, %d %b %Y %H:%M:%S GMT') AS mail, strftime(to_timestamp(s) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') AS iso, s AS back_mail, s AS back_iso, CAST(NULL AS BIGINT) AS bad
-  FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)""")
+@query("""SELECT event_id, strftime(u, '%a, %-d %b %Y %H:%M:%S +0000') AS mail, strftime(u, '%Y-%m-%dT%H:%M:%S.000Z') AS iso, CASE event_id % 8 WHEN 6 THEN s - s % 60 WHEN 7 THEN NULL ELSE s END AS back
+  FROM (SELECT event_id, s, to_timestamp(s) AT TIME ZONE 'UTC' AS u FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events))""")
 def http_dates(spark, d):
     e = t.table(spark, d, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
-    e = e.select("event_id", keys.http_date(F.col("s")).alias("mail"), keys.iso_date(F.col("s")).alias("iso"))
-    return e.select("*", keys.parse_http_date(F.col("mail")).alias("back_mail"), keys.parse_http_date(F.col("iso")).alias("back_iso"), keys.parse_http_date(F.concat("mail", F.lit("?"))).alias("bad"))
+    e = e.select("event_id", "s", keys.http_date(F.col("s")).alias("mail"), keys.iso_date(F.col("s")).alias("iso"))
+    i = F.col("event_id") % 8
+    bare = F.regexp_replace("mail", "^[A-Za-z]{3}, ", "")
+    later, earlier = keys.http_date(F.col("s") + 7200), keys.http_date(F.col("s") - 18000)
+    asked = F.when(i == 0, F.col("mail")).when(i == 1, F.regexp_replace("mail", r"\+0000", "GMT")).when(i == 2, F.regexp_replace(later, r"\+0000", "+0200"))
+    asked = asked.when(i == 3, F.regexp_replace(earlier, r"\+0000", "EST")).when(i == 4, bare).when(i == 5, F.regexp_replace(keys.iso_date(F.col("s") + 7200), "Z$", "+02:00"))
+    asked = asked.when(i == 6, F.regexp_replace(bare, r":\d\d \+", " +")).otherwise(F.concat("mail", F.lit("?")))
+    return e.select("event_id", "mail", "iso", keys.parse_http_date(asked).alias("back"))
+
 
+_XML_PAGE = """SELECT *, count(*) OVER () AS n FROM (SELECT replace(key, 'e', '&') AS entry, size, etag, updated_at FROM doc_objects WHERE bucket = 'src1' AND key LIKE 'en/%' AND deleted_at IS NULL) ORDER BY entry LIMIT 20"""
 
-@query("""SELECT '<Contents><Key>' || replace(replace(key, '&', '&amp;'), '<', '&lt;') || '</Key><ETag>&quot;' || etag || '&quot;</ETag><Size>' || size || '</Size></Contents>' AS line FROM page_objects""", "page_objects")
+
+@query(f"""SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/">' || chr(10) || '  <Name>src1</Name>' || chr(10) || '  <Prefix>&amp;n/</Prefix>' || chr(10)
+  || '  <MaxKeys>' || count(*) || '</MaxKeys>' || chr(10) || '  <IsTruncated>' || (max(n) > 20) || '</IsTruncated>' || chr(10) || CASE WHEN max(n) > 20 THEN '  <NextContinuationToken>' || replace(max(entry), '&', '&amp;') || '</NextContinuationToken>' || chr(10) ELSE '' END
+  || '  <KeyCount>' || count(*) || '</KeyCount>' || chr(10) || string_agg('  <Contents>' || chr(10) || '    <Key>' || replace(entry, '&', '&amp;') || '</Key>' || chr(10) || '    <ETag>"' || etag || '"</ETag>' || chr(10) || '    <Size>' || size || '</Size>' || chr(10)
+    || '    <LastModified>' || strftime(to_timestamp(updated_at) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') || '</LastModified>' || chr(10) || '  </Contents>' || chr(10), '' ORDER BY entry) || '</ListBucketResult>' || chr(10) AS xml FROM ({_XML_PAGE})""", "doc_objects")
 def list_xml(spark, d):
-    o = t.page_objects(spark, d)
-    return o.select(F.concat(F.lit("<Contents><Key>"), keys.xml_escape(F.col("key")), F.lit("</Key><ETag>&quot;"), "etag", F.lit("&quot;</ETag><Size>"), F.col("size").cast("string"), F.lit("</Size></Contents>")).alias("line"))
+    o = t.doc_objects(spark, d).withColumn("key", F.replace("key", F.lit("e"), F.lit("&")))  # keys to escape
+    page = listing.list_objects(o, "src1", prefix="&n/", limit=20).select(F.lit("item").alias("kind"), F.col("key").alias("entry"), "size", "etag", "updated_at", "truncated", "next_cursor")
+    return listing.page_xml(page, "src1", "&n/")
 
 
 @query("""SELECT event_id, CAST(props ->> '$.k' AS INTEGER) AS k, '{"k":' || (props ->> '$.k') || '}' AS again FROM events""")
@@ -308,16 +368,21 @@ def node_local_counts(spark, d):
     return listing.under(listing.active(t.doc_objects(spark, d)), prefix="en/").groupBy("origin_node").agg(F.count("*").alias("n"))
 
 
+@query()
+def shard_paths(spark, d):
+    """The shard folder of each key and whether a scrub of one in sixteen takes it, both by XXH3."""
+    return t.page_objects(spark, d).select("version", "bucket", "key", keys.shard_xxh3()("key").alias("shard"), keys.sampled_xxh3(16)("bucket", "key").alias("sampled"))
+
+
 # --- multipart
 
 
-@query("""SELECT upload_id, bytes, (SELECT sum(size) FROM doc_objects WHERE deleted_at IS NULL) + bytes <= (SELECT sum(size) FROM doc_objects WHERE deleted_at IS NULL) // 1000000 * 1000000 + 1000000 AS accepted
+@query("""SELECT upload_id, bytes, (SELECT sum(size) FROM doc_objects WHERE deleted_at IS NULL) + bytes <= 40000000 AS accepted
   FROM (SELECT u.upload_id, CAST(sum(p.size) * 5000 AS BIGINT) AS bytes FROM multipart_uploads u JOIN latest_parts p USING (upload_id) GROUP BY 1)""", "doc_objects", "multipart_uploads", "multipart_parts", "latest_parts")
 def multipart_quota(spark, d):
     o = t.doc_objects(spark, d)
     sizes = multipart.summary(t.multipart_uploads(spark, d), t.multipart_parts(spark, d)).where("n_parts > 0").withColumn("bytes", F.col("bytes") * 5000)
-    cap = catalog.totals(o).first()["bytes"] // 1_000_000 * 1_000_000 + 1_000_000
-    return catalog.multipart_quota(o, sizes, cap)
+    return catalog.multipart_quota(o, sizes, 40_000_000)
 
 
 @query("""SELECT u.upload_id, u.bucket, u.key, count(p.part_number) AS n_parts, CAST(coalesce(sum(p.size), 0) AS BIGINT) AS bytes FROM multipart_uploads u LEFT JOIN latest_parts p USING (upload_id) GROUP BY ALL""", "multipart_uploads", "multipart_parts", "latest_parts")
@@ -509,18 +574,41 @@ def scrub_page_next(spark, d):
     return reconcile.scrub_page(t.doc_objects(spark, d), 25, ("en/5", "")).select("bucket", "key")
 
 
-@query("""SELECT bucket, key, CASE WHEN size < 4096 THEN 'skip' WHEN coalesce(storage_class, 'default') = 'archive' THEN 'keep' ELSE 'recompress' END AS action FROM doc_objects WHERE deleted_at IS NULL""", "doc_objects")
-def recompress_plan(spark, d):
-    return reconcile.recompress_plan(t.doc_objects(spark, d))
+_MAGICS = ["4E4F5349", "4E4F5342", "4E4F535A", "4E4F5332", "4E4F5344", "1F8B0800", "", "4E4F5349"]
+
+
+def containers(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with a container's header before them, or nothing else behind a short one: magic, logical size 70000 + id,
+    block size 1 MiB, no blocks, dictionary id % 3, level id % 30 where the flag is set for even ids."""
+    i = F.col("page_id")
+    le = lambda c, n: F.unhex(F.substring(F.concat(*[F.lpad(F.hex(F.shiftright(c, 8 * k).bitwiseAND(255)), 2, "0") for k in range(n)]), 1, 2 * n))
+    magic = F.unhex(F.element_at(F.array(*map(F.lit, _MAGICS)), (i % 8 + 1).cast("int")))
+    flags = F.when(i % 2 == 0, 0x8000).otherwise(1).cast("long")
+    head = F.concat(magic, le((i + 70000).cast("long"), 8), le(F.lit(1 << 20).cast("long"), 4), le(F.lit(0).cast("long"), 4), le(i % 3, 2), le(flags, 2), le(i % 30, 1))
+    short = F.element_at(F.array(*map(F.lit, (11, 12, 15, 16, 24, 25, 3, 0))), (F.floor(i / 8) % 8 + 1).cast("int"))
+    body = F.when(i % 5 == 0, F.substring(head, F.lit(1), short)).otherwise(F.concat(head, F.encode("html", "UTF-8")))
+    return t.table(spark, d, "pages").select(F.lit("p").alias("bucket"), i.cast("string").alias("key"), body.alias("body"))
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'gzip' WHEN 1 THEN 'png' WHEN 2 THEN 'html' ELSE 'raw' END AS format FROM pages WHERE html LIKE '<!DOCTYPE%' OR html LIKE '<!doctype%'""")
+_CONTAINERS = """(SELECT *, CASE WHEN m IN (0, 7) AND n >= 12 THEN 'indexed' WHEN m = 1 AND n >= 12 THEN 'blocks' WHEN m = 2 AND n >= 12 THEN 'packed' WHEN m = 3 AND n >= 16 THEN 'packed2' WHEN m = 4 AND n >= 16 THEN 'refs' ELSE 'raw' END AS format
+  FROM (SELECT page_id AS i, page_id % 8 AS m, CASE WHEN page_id % 5 = 0 THEN [11, 12, 15, 16, 24, 25, 3, 0][CAST(page_id // 8 AS BIGINT) % 8 + 1] ELSE 1000 END AS n FROM pages))"""
+_HEADER = f"""(SELECT i, format, CASE WHEN format <> 'raw' THEN 70000 + i END AS logical_size, CASE WHEN format IN ('indexed', 'blocks') AND n >= 16 THEN 1048576 END AS block_size, CASE WHEN format = 'indexed' AND n >= 22 THEN i % 3 END AS dict_id,
+  CASE WHEN format = 'indexed' AND n >= 24 THEN CASE WHEN i % 2 = 0 THEN 32768 ELSE 1 END END AS flags, CASE WHEN format = 'indexed' AND n >= 24 THEN CASE WHEN i % 2 = 0 AND n >= 25 THEN i % 30 ELSE 0 END END AS zstd_level FROM {_CONTAINERS})"""
+
+
+@query(f"SELECT 'p' AS bucket, CAST(i AS VARCHAR) AS key, format FROM {_CONTAINERS}")
 def format_sniff(spark, d):
-    p = t.table(spark, d, "pages").where("html LIKE '<!DOCTYPE%' OR html LIKE '<!doctype%'")
-    i, body = F.col("page_id"), F.encode("html", "UTF-8")
-    own = F.when(i % 4 == 0, F.concat(F.unhex(F.lit("1F8B0800")), body)).when(i % 4 == 1, F.concat(F.unhex(F.lit("89504E47")), body)).when(i % 4 == 2, body).otherwise(F.concat(F.lit(b"x"), body))
-    got = reconcile.sniff(p.select(F.lit("p").alias("bucket"), i.cast("string").alias("key"), own.alias("body")))
-    return got.select(F.col("key").cast("long").alias("page_id"), "format")
+    return reconcile.sniff(containers(spark, d))
+
+
+@query(f"SELECT i AS page_id, * EXCLUDE (i) FROM {_HEADER}")
+def container_headers(spark, d):
+    return reconcile.headers(containers(spark, d)).drop("bucket").withColumnRenamed("key", "page_id").withColumn("page_id", F.col("page_id").cast("long"))
+
+
+@query(f"SELECT i AS page_id, format, format = 'blocks' OR (format = 'indexed' AND (coalesce(zstd_level, 0) < 22 OR dict_id = 0)) AS upgrade FROM {_HEADER}")
+def recompress_plan(spark, d):
+    return reconcile.recompress_plan(containers(spark, d), 22, True, 2).select(F.col("key").cast("long").alias("page_id"), "format", "upgrade")
 
 
 # --- placement
@@ -546,15 +634,23 @@ def placement_resolve(spark, d):
     return o.select("bucket", "key", placement.resolve_class(header, keys.meta_get(F.col("custom_meta"), "storage-class"), F.col("rule_class")).alias("storage_class"))
 
 
-@query("""SELECT * FROM (VALUES ('archive', 'node2'), ('hot', 'node1'), ('cold', (SELECT min(n_name) FROM nation WHERE n_nationkey % 3 <> 1)), ('default', 'node0')) v(storage_class, node)""")
+@query("""SELECT * FROM (VALUES ('archive', 'node2'), ('hot', 'node1'), ('cold', (SELECT min(n_name) FROM nation WHERE n_name <> 'ALGERIA')), ('default', 'node0')) v(storage_class, node)""")
 def placement_node(spark, d):
-    return placement.class_nodes(t.rules(spark), t.peers(spark, d))
+    return placement.class_nodes(t.rules(spark), t.peers(spark, d), "ALGERIA")
 
 
-@query(f"""SELECT bucket, key, CASE r WHEN 3 THEN 'local' ELSE 'forward' END AS gate FROM (SELECT *, {_RULES} AS r FROM doc_objects)""", "doc_objects")
+@query(f"""SELECT bucket, key, CASE WHEN r IN (0, 3) THEN 'local' ELSE 'forward' END AS gate FROM (SELECT *, {_RULES} AS r FROM doc_objects)""", "doc_objects")
 def placement_gate(spark, d):
-    o = placement.first_rule(t.doc_objects(spark, d), t.rules(spark)).join(F.broadcast(placement.class_nodes(t.rules(spark), t.peers(spark, d)).withColumnRenamed("storage_class", "rule_class")), "rule_class", "left")
-    return o.select("bucket", "key", placement.gate(F.col("node"), "node0", True).alias("gate"))
+    nodes = placement.class_nodes(t.rules(spark), t.peers(spark, d), "ALGERIA").withColumnRenamed("storage_class", "rule_class")
+    o = placement.first_rule(t.doc_objects(spark, d), t.rules(spark)).join(F.broadcast(nodes), "rule_class", "left")
+    return o.select("bucket", "key", placement.gate(F.col("rule_class"), ["default", "archive"], F.col("node"), True).alias("gate"))
+
+
+@query(f"""SELECT bucket, key, c AS storage_class, c IN ('default', 'archive') AS accept_local, CASE WHEN c NOT IN ('default', 'archive') THEN CASE c WHEN 'hot' THEN 'node1' ELSE (SELECT min(n_name) FROM nation WHERE n_name <> 'ALGERIA') END END AS assigned_node
+  FROM (SELECT bucket, key, coalesce(CASE WHEN doc_id % 10 = 0 THEN 'header' END, CASE WHEN doc_id % 6 = 0 THEN 'hot' END, {_CLASS}) AS c FROM (SELECT *, {_RULES} AS r FROM doc_objects))""", "doc_objects")
+def placement_preview(spark, d):
+    header = F.when(F.col("doc_id") % 10 == 0, "header").otherwise("")
+    return placement.resolution(t.doc_objects(spark, d), t.rules(spark), t.peers(spark, d), "ALGERIA", ["default", "archive"], header, keys.meta_get(F.col("custom_meta"), "storage-class"))
 
 
 @query("""SELECT 'user' || (doc_id % 5) AS subject, bucket, (doc_id % 5) < 2 AND bucket IN ('src0', 'src1', 'src2') AS allowed FROM doc_objects""", "doc_objects")
@@ -563,12 +659,12 @@ def bucket_policy(spark, d):
     return placement.bucket_allowed(pol, t.doc_objects(spark, d).select(F.concat(F.lit("user"), (F.col("doc_id") % 5).cast("string")).alias("subject"), "bucket"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN event_id % 5 <> 4 WHEN 2 THEN event_id % 5 < 2 ELSE false END AS allowed FROM events""")
+@query("""SELECT event_id, CASE WHEN r IN (0, 1, 2) THEN true WHEN r IN (3, 4, 5) THEN event_id % 5 < 2 ELSE false END AS allowed FROM (SELECT event_id, event_id % 9 AS r FROM events)""")
 def role_method(spark, d):
     e = F.col("event_id")
-    role = F.when(e % 4 == 0, "admin").when(e % 4 == 1, "writer").when(e % 4 == 2, "reader").otherwise("guest")
-    method = F.when(e % 5 == 0, "GET").when(e % 5 == 1, "HEAD").when(e % 5 == 2, "PUT").when(e % 5 == 3, "DELETE").otherwise("PATCH")
-    return t.table(spark, d, "events").select("event_id", placement.role_allowed(role, method).alias("allowed"))
+    roles = F.array(*map(F.lit, ["Admin", "editor", "UPLOADER", "listener", "ReadOnly", "read_only", "reader", "writer", ""]))
+    methods = F.array(*map(F.lit, ["GET", "HEAD", "PUT", "DELETE", "PATCH"]))
+    return t.table(spark, d, "events").select("event_id", placement.role_allowed(F.element_at(roles, (e % 9 + 1).cast("int")), F.element_at(methods, (e % 5 + 1).cast("int"))).alias("allowed"))
 
 
 # --- replication
@@ -608,7 +704,7 @@ def replicate_filter(spark, d):
 
 
 @query("""SELECT event_id, node_id, CAST(rank AS INTEGER) AS rank FROM (SELECT event_id, node_id, row_number() OVER (PARTITION BY event_id ORDER BY node_id) AS rank FROM replication_log l JOIN peers p
-  ON (len(storage_classes) = 0 OR list_contains(storage_classes, l.storage_class)) AND (l.replication_group IS NULL OR p.replication_group = l.replication_group) WHERE l.status = 'pending' AND node_id <> origin_node) WHERE rank <= 2""", "replication_log", "peers")
+  ON (len(storage_classes) = 0 OR list_contains(storage_classes, l.storage_class)) AND (p.replication_group IS NULL OR p.replication_group = l.replication_group) WHERE l.status = 'pending' AND node_id <> origin_node) WHERE rank <= 2""", "replication_log", "peers")
 def peer_fanout(spark, d):
     return replication.fan_out(t.replication_log(spark, d).where("status = 'pending'"), t.peers(spark, d), 3)
 
@@ -623,9 +719,9 @@ def backfill_plan(spark, d):
     return replication.backfill(t.doc_objects(spark, d), 200, [], ["fr/"])
 
 
-@query("SELECT md5('put' || chr(31) || 'node0' || chr(31) || bucket || chr(31) || key || chr(31) || etag) AS event_id, bucket, key, size, 'pending' AS status FROM doc_objects WHERE deleted_at IS NULL AND doc_id % 10 = 0", "doc_objects")
+@query("SELECT md5('put' || chr(31) || 'node0' || chr(31) || bucket || chr(31) || key || chr(31) || etag) AS event_id, bucket, key, size, 'pending' AS status FROM doc_objects WHERE deleted_at IS NULL", "doc_objects")
 def replication_enqueue(spark, d):
-    return replication.enqueue(listing.active(t.doc_objects(spark, d)).where("doc_id % 10 = 0"), "put", "node0", NOW).select("event_id", "bucket", "key", "size", "status")
+    return replication.enqueue(listing.active(t.doc_objects(spark, d)), "put", "node0", NOW).select("event_id", "bucket", "key", "size", "status")
 
 
 @query("SELECT event_id, op FROM replication_log WHERE event_id NOT IN (SELECT event_id FROM replication_log WHERE status = 'applied')", "replication_log")
@@ -646,7 +742,7 @@ def wire_checksum_split(spark, d):
     return log.select("event_id", F.when(got == F.col("wire_checksum"), "accepted").otherwise("rejected").alias("verdict"))
 
 
-@query("""SELECT CAST(sum(n) AS BIGINT) AS deleted, string_agg(f, ',' ORDER BY f) AS failed, bool_or(trunc) AS truncated, min(node) FILTER (node <> 'node0') AS cursor FROM (
+@query("""SELECT CAST(sum(n) AS BIGINT) AS deleted, count(f) AS n_failed, bool_or(trunc) AS truncated, min(node) FILTER (node <> 'node0') AS cursor FROM (
   SELECT origin_node AS node, count(*) AS n, 'k' || origin_node AS f, origin_node = 'node2' AS trunc FROM doc_objects WHERE deleted_at IS NULL GROUP BY origin_node)""", "doc_objects")
 def delete_fanout_merge(spark, d):
     n = listing.active(t.doc_objects(spark, d)).groupBy(F.col("origin_node").alias("node_id")).agg(F.count("*").alias("deleted"))
@@ -654,6 +750,12 @@ def delete_fanout_merge(spark, d):
     return replication.merge_deletes(n)
 
 
+@query("SELECT DISTINCT origin_node AS node_id, 'k' || origin_node AS key FROM doc_objects WHERE deleted_at IS NULL", "doc_objects")
+def delete_fanout_failures(spark, d):
+    n = listing.active(t.doc_objects(spark, d)).select(F.col("origin_node").alias("node_id")).distinct()
+    return replication.failed_keys(n.withColumn("failed_keys", F.array(F.concat(F.lit("k"), "node_id"))))
+
+
 @query("""SELECT bucket, key, CASE WHEN doc_id % 3 = 0 AND deleted_at IS NULL THEN 'local' WHEN doc_id % 2 = 0 THEN 'n1' ELSE 'missing' END AS source FROM doc_objects""", "doc_objects")
 def read_repair(spark, d):
     o = t.doc_objects(spark, d)

@@ -100,9 +100,16 @@ def blob_files(spark: SparkSession, root: str, with_content: bool = False) -> Da
     return out
 
 
-def jdbc_objects(spark: SparkSession, url: str, dialect: str = "sqlite", **options: str) -> DataFrame:
-    """An object table of another database in the logical schema; its driver must be on the class path."""
+def jdbc_objects(spark: SparkSession, url: str, dialect: str = "sqlite", column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 64, **options: str) -> DataFrame:
+    """An object table of another database in the logical schema; its driver must be on the class path.
+
+    With a numeric ``column`` and its ``bounds`` the table is read in ``parts`` ranges of it at once, else in one task.
+    """
     names = {"sqlite": ("key", "size", "mime_type"), "postgres": ("object_key", "size_bytes", "content_type")}[dialect]
+    if (column is None) != (bounds is None):
+        raise ValueError("column and bounds go together")
+    if column is not None:
+        options |= {"partitionColumn": column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(parts)}
     raw = spark.read.format("jdbc").options(url=url, **options).load()
     for own, name in zip(names, ("key", "size", "mime_type")):
         raw = raw.withColumnRenamed(own, name)

@@ -21,21 +21,26 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/quayside-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+PARTS = 256  # folders of an epoch, by a hash of the event's id
+
+
 def apply_stream(events: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append each event to the table at ``target`` unless it has it: whole-history dedup on event_id.
 
     Each batch writes to a folder named by its epoch, which a repeated batch overwrites, and compares with all other
-    epochs; so a restart after a lost batch neither loses nor repeats an event.
+    epochs; so a restart after a lost batch neither loses nor repeats an event. Below an epoch rows lie in ``PARTS``
+    folders, and a batch reads only those that its own ids fall into.
     """
 
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["event_id"])
+        fresh = batch.dropDuplicates(["event_id"]).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(PARTS)).cast("int"))
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = spark.read.parquet(target)
-            fresh = replication.unseen(fresh, known.where(F.col("epoch") != epoch)) if known.columns else fresh
-        fresh.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+            own = [r["part"] for r in fresh.select("part").distinct().collect()]  # PARTS at most
+            known = spark.read.schema("event_id string, epoch long, part int").parquet(target)
+            fresh = replication.unseen(fresh, known.where(F.col("part").isin(own) & (F.col("epoch") != epoch)))
+        fresh.write.mode("overwrite").partitionBy("part").parquet(f"{target}/epoch={epoch}")
 
     w = events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="1 second")).start()
@@ -51,7 +56,10 @@ def status_stream(events: DataFrame) -> DataFrame:
 
 
 def token_bucket(events: DataFrame, capacity: float, per_second: float) -> DataFrame:
-    """event_id, user_id, allowed: a token bucket for each user, in the order of event time within a batch."""
+    """event_id, user_id, allowed: a token bucket for each user, in the order of event time within a batch.
+
+    A task holds one user's events of one batch; ``maxFilesPerTrigger`` or the source's rate bounds a batch.
+    """
 
     def run(key, batches, state):
         import pandas as pd
@@ -100,7 +108,7 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = folder(spark, "stream-limit")
     e = tables.table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
-    e.repartition(1).write.parquet(f"{root}/in")
+    e.write.parquet(f"{root}/in")
     events = spark.readStream.schema(e.schema).parquet(f"{root}/in")
     token_bucket(events, 5, 1 / 3600).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out")

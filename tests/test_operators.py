@@ -76,7 +76,7 @@ def test_ranges(spark, header, size, want):
     assert tuple(r) == want
 
 
-@pytest.mark.parametrize("key,want", [("a/b", "a/b"), ("a\\b", "a/b"), ("", None), ("/a", None), ("c:/x", None), ("a/../b", None), ("a..b", "a..b"), ("a\nb", None)])
+@pytest.mark.parametrize("key,want", [("a/b", "a/b"), ("a\\b", "a/b"), ("", None), ("/a", None), ("c:/x", None), ("a/../b", None), ("a..b", "a..b"), ("a\nb", None), ("1:x", None), ("é:x", "é:x"), ("a\rb", "a\rb"), ("a/..", None)])
 def test_clean_keys(spark, key, want):
     assert spark.createDataFrame([(key,)], "k string").select(keys.clean_key(F.col("k"))).collect()[0][0] == want
 
@@ -120,8 +120,8 @@ def test_too_many_peers_are_refused(spark):
     classes = F.array().cast("array<string>").alias("storage_classes")
     peers = spark.range(placement.RULE_LIMIT + 1).select(F.concat(F.lit("n"), "id").alias("node_id"), classes)
     with pytest.raises(ValueError):
-        placement.class_nodes(tables.rules(spark), peers)
-    assert placement.class_nodes(tables.rules(spark), peers.limit(3)).count() > 0
+        placement.class_nodes(tables.rules(spark), peers, "me")
+    assert placement.class_nodes(tables.rules(spark), peers.limit(3), "me").count() > 0
 
 
 def test_retries_end_in_dead_letters_and_replay(spark):
@@ -149,11 +149,47 @@ def test_blob_files(spark, tmp_path):
 
 
 def test_peer_grammar():
-    text = "n1=http://a|hot+cold|eu,n2=http://b,n3=http://c||us"
-    assert placement.parse_peers(text) == [("n1", "http://a", ["hot", "cold"], "eu"), ("n2", "http://b", [], None), ("n3", "http://c", [], "us")]
+    text = "n1=http://a;hot;group=g1,n2=http://b,n3=http://c;group=us"
+    assert placement.parse_peers(text) == [("n1", "http://a", ["hot"], "g1"), ("n2", "http://b", [], None), ("n3", "http://c", [], "us")]
     assert placement.format_peers(placement.parse_peers(text)) == text
-    with pytest.raises(ValueError):
-        placement.parse_peers("n1")
+    assert placement.parse_peers(" n1=http://a ; hot ; cold ; other=x ; group= ,") == [("n1", "http://a", ["hot", "cold"], None)]
+    for bad in ("n1", "=http://a", "n1=", "n1= ; ", "n1=http://a,n1=http://b", "", " , "):
+        with pytest.raises(ValueError):
+            placement.parse_peers(bad)
+
+
+def test_peers_by_group(spark):
+    peers = spark.createDataFrame([("any", [], None), ("one", [], "g1"), ("two", ["hot"], "g2")], "node_id string, storage_classes array<string>, replication_group string")
+    events = spark.createDataFrame([("1", "hot", "g1"), ("2", "hot", None), ("3", "cold", "g2")], "event_id string, storage_class string, replication_group string")
+    assert got(placement.peers_for(events, peers), "event_id", "node_id") == [("1", "any"), ("1", "one"), ("2", "any"), ("3", "any")]
+
+
+def test_gate(spark):
+    rows = spark.createDataFrame([("hot", "n2"), ("cold", "n2"), ("cold", None)], "c string, node string")
+    gate = lambda forward: [r[0] for r in rows.select(placement.gate(F.col("c"), ["hot"], F.col("node"), forward)).collect()]
+    assert gate(True) == ["local", "forward", "reject"] and gate(False) == ["local", "reject", "reject"]
+
+
+def test_xxh3(spark):
+    import xxhash
+
+    df = spark.createDataFrame([("b", "k1"), ("b", "é/2"), (None, None)], "bucket string, key string")
+    want = [f"{xxhash.xxh3_64_intdigest(k.encode()) & 255:02x}" for k in ("k1", "é/2")]
+    assert [r[0] for r in df.select(keys.shard_xxh3()("key")).collect()] == [*want, None]
+    assert [r[0] for r in df.select(keys.sampled_xxh3(2)("bucket", "key")).collect()] == [xxhash.xxh3_64_intdigest(f"b/{k}".encode()) % 2 == 0 for k in ("k1", "é/2")] + [None]
+
+
+def test_listing_document(spark):
+    rows = spark.createDataFrame([("prefix", "a&/", None, None, None, True, "b"), ("item", "b", 3, "e1", 1704067200, True, "b")], "kind string, entry string, size long, etag string, updated_at long, truncated boolean, next_cursor string")
+    xml = listing.page_xml(rows, "bk", None, "/").first()[0]
+    assert "<Delimiter>/</Delimiter>" in xml and "    <Prefix>a&amp;/</Prefix>" in xml and "  <KeyCount>1</KeyCount>" in xml and "<LastModified>2024-01-01T00:00:00.000Z</LastModified>" in xml
+    assert xml.index("CommonPrefixes") < xml.index("Contents") and "<NextContinuationToken>b</NextContinuationToken>" in xml
+
+
+def test_moves_and_ties(spark):
+    o = objects(spark, [("b", "k", 1, None)])
+    moves = spark.createDataFrame([("b", "k", "x", "n1"), ("b", "k", "y", "n2")], "bucket string, key string, new_class string, new_node string")
+    assert got(catalog.place(o, moves), "key", "storage_class", "origin_node") == [("k", "y", "n2")]
 
 
 def test_scrub_turns_around(spark):
@@ -174,4 +210,4 @@ def test_read_repair_and_delete_merge(spark):
     remote = spark.createDataFrame([("b", "y", "n2"), ("b", "y", "n1"), ("b", "x", "n1")], "bucket string, key string, node_id string")
     assert got(replication.read_repair(w, w.where("key = 'x'"), remote), "key", "source") == [("x", "local"), ("y", "n1"), ("z", "missing")]
     r = spark.createDataFrame([("n1", 2, ["k"], False, None), ("n2", 3, [], True, "c")], "node_id string, deleted long, failed_keys array<string>, truncated boolean, cursor string")
-    assert tuple(replication.merge_deletes(r).first()) == (5, "k", True, "c")
+    assert tuple(replication.merge_deletes(r).first()) == (5, 1, True, "c")
