@@ -3,15 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import math
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Bytes of input that one task of a text-heavy exchange should get.
-TASK_BYTES = 64 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,8 +22,9 @@ def scratch_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file:///tmp/checkpoints"
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{os.path.abspath(base)}"
+    # A path without a scheme is one of Hadoop's default file system.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/quayside-{spark.sparkContext.applicationId}"
 
 
@@ -52,10 +48,6 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    _clean(spark, path)
-
-
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to shared storage and read it again: lineage ends here, lost executors cost nothing before it."""
     path = scratch(df.sparkSession, label)
@@ -64,17 +56,6 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def parts(spark: SparkSession, *frames: DataFrame) -> int:
-    """Partitions for an exchange of ``frames``: by their estimated bytes, at least the session's setting."""
-    total = 0
-    for df in frames:
-        try:
-            total += int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        except Exception:  # noqa: BLE001 - no statistics: the session's setting holds
-            pass
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, math.ceil(total / TASK_BYTES)))
-
-
 def local_path(uri: str) -> tuple[object, str]:
     """A pyarrow file system and the path in it, for any scheme that it knows."""
     from pyarrow import fs

@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits in lower case. Over all documents the counts of the benchmark's words give each
 n-gram of an item its surprise, the bits of its words' frequencies taken as independent. N-grams of at least ``BITS``
-bits, and an item's ``FEWEST`` most surprising ones in any case, are its seeds. A document that has a seed is aligned with
+bits, and an item's ``FEWEST`` most surprising ones of each size in any case, are its seeds. A document that has a seed is aligned with
 the item around the place by Smith-Waterman (match +2, mismatch and gap -1); the score over twice the item's words is the
 similarity, 1 for a whole copy.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quayside.llm.common import table
 
-SEED = 3  # words in a seed
+SEEDS = (2, 3)  # words in a seed
 BITS = 24.0
 FEWEST = 8
 LEAST = 0.5  # similarity from which a document holds an item
@@ -73,23 +73,21 @@ def align(item: list[str], window: list[str]) -> tuple[int, int, int]:
 class Items:
     """Items with their seeds, found by each seed's rarest word."""
 
-    def __init__(self, items: dict[int, list[str]], counts: dict[str, int], total: int, seed: int = SEED, bits: float = BITS, fewest: int = FEWEST):
+    def __init__(self, items: dict[int, list[str]], counts: dict[str, int], total: int, sizes: tuple[int, ...] = SEEDS, bits: float = BITS, fewest: int = FEWEST):
         self.items = items
         cost = {w: -math.log2((counts.get(w, 0) + 0.5) / (total + 1)) for ws in items.values() for w in ws}
         self.anchors: dict[str, dict[tuple, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         self.offsets: dict[str, set[tuple[int, int]]] = defaultdict(set)
         for i, ws in items.items():
-            n = min(seed, len(ws))
-            if not n:
-                continue
-            ranked = sorted(((sum(cost[w] for w in ws[j : j + n]), -j) for j in range(len(ws) - n + 1)), reverse=True)
-            for rank, (c, j) in enumerate(ranked):
-                if c < bits and rank >= fewest:
-                    break
-                gram = tuple(ws[-j : -j + n])
-                rare = max(range(n), key=lambda k: cost[gram[k]])
-                self.anchors[gram[rare]][gram].append((i, -j))
-                self.offsets[gram[rare]].add((rare, n))
+            for n in sorted({min(s, len(ws)) for s in sizes} - {0}):
+                ranked = sorted(((sum(cost[w] for w in ws[j : j + n]), -j) for j in range(len(ws) - n + 1)), reverse=True)
+                for rank, (c, j) in enumerate(ranked):
+                    if c < bits and rank >= fewest:
+                        break
+                    gram = tuple(ws[-j : -j + n])
+                    rare = max(range(n), key=lambda k: cost[gram[k]])
+                    self.anchors[gram[rare]][gram].append((i, -j))
+                    self.offsets[gram[rare]].add((rare, n))
         self.anchors = {w: {g: x for g, x in d.items()} for w, d in self.anchors.items()}
         self.offsets = dict(self.offsets)
         self.keys = frozenset(self.anchors)
@@ -111,7 +109,8 @@ class Items:
         for i, starts in spots.items():
             item = self.items[i]
             need = Counter(item)
-            pad = len(item) // 2 + 2
+            # Gaps cost one each, so that an alignment of this similarity has no more of them than this.
+            pad = math.ceil(2 * (1 - least) * len(item)) + 1
             best, end = None, -1
             merged: list[list[int]] = []
             for s in sorted(starts):
@@ -198,7 +197,8 @@ def finders(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, chunk:
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
     """doc_id, item_id, similarity, first_word, last_word: every item of ``benchmark`` that a document holds, once.
 
-    A null or empty text holds nothing. Repeated rows of ``docs`` give repeated results; an empty benchmark none.
+    A null or empty text holds nothing. Repeated rows of ``docs`` give repeated results; an empty benchmark none. Of places
+    of one similarity the first counts. Other columns of ``docs`` are not looked at.
     """
     out = None
     for find in finders(docs, benchmark, least, text_col=text_col, **named):

@@ -6,6 +6,7 @@ n-grams of which the model knows at least one adds the mean of those. Only diffe
 """
 
 import re
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,19 @@ ORDERS = (5, 4, 3, 2, 1)
 LEAST = 2  # a word or n-gram seen less often in the sample is unknown
 SMOOTH = 0.5
 CACHE = 500_000  # words kept by a worker
-WORD = re.compile(r"[^\W\d_]+")
+LANGUAGES = 1_000  # languages that a model knows at most
+
+
+def _ranges(kinds: str) -> str:
+    """Code points of the general categories that begin with one of ``kinds``, as the inside of a character class."""
+    have = [c for c in range(0x32400) if unicodedata.category(chr(c))[0] in kinds]
+    ends = [c for k, c in enumerate(have) if k + 1 == len(have) or have[k + 1] != c + 1]
+    starts = [c for k, c in enumerate(have) if not k or have[k - 1] != c - 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+#: A letter and the letters and combining marks behind it.
+WORD = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
 
 
 class Model:
@@ -126,18 +139,33 @@ def predictor(model: Model) -> Predictor:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, learn=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from at most ``sample`` texts of each language, the first in the order of their id's hash.
+    """A model from at most ``sample`` documents of each language, the first in the order of their id's hash.
 
-    ``learn`` is a condition on the rows; null ids, texts and languages teach nothing. Few distinct languages are
-    expected: the sample has ``sample`` rows for each.
+    ``learn`` is a condition on the rows; null ids, texts and languages teach nothing. An id counts once in a language, by
+    its smallest text. More than ``LANGUAGES`` languages are an error; without any, every prediction is ``und``.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.where(learn) if learn is not None else rows
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    # Ids only: each task drops all but its first ``sample`` ids of a language before anything moves.
-    ids = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample)
-    got = rows.join(F.broadcast(ids), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang"))).select("_id", F.col(text_col).alias("_text"), "_lang").toPandas()
-    return Model(got["_text"].tolist(), got["_lang"].tolist())
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    many = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(many) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    # A share of each language by the hash of the id, about twice what is wanted, and wider where that was too little.
+    place = (F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / float(1 << 31)).alias("place")
+    share = {r["lang"]: min(1.0, (2 * sample + 100) / max(1, r["n"])) for r in many}
+    texts: dict[str, list[str]] = {}
+    while share:
+        spark = docs.sparkSession
+        cut = F.broadcast(spark.createDataFrame(list(share.items()), f"lang {docs.schema[lang_col].dataType.simpleString()}, share double"))
+        near = rows.select("*", place).join(cut, "lang").where(F.col("place") <= F.col("share"))
+        one = near.groupBy("lang", "id").agg(F.min("text").alias("text"), F.min("place").alias("place"))
+        first = Window.partitionBy("lang").orderBy("place", "id")
+        got = one.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).toPandas()
+        for lang, part in got.sort_values(["lang", "rank"]).groupby("lang"):
+            texts[lang] = part["text"].tolist()
+        share = {x: min(1.0, 4 * c) for x, c in share.items() if c < 1.0 and len(texts.get(x, [])) < sample}
+    pairs = [(t, x) for x in sorted(texts) for t in texts[x]]
+    return Model([t for t, _ in pairs], [x for _, x in pairs])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text"):

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quayside.llm.common import parts, store, table
+from quayside.llm.common import store, table
 
 SEEDS = 8  # independent cuttings; each cuts after a line with probability 1/2
 LONG_WORDS = 50  # a repeated passage of so many words is always found; a single line of so many counts as a chunk
@@ -29,6 +29,11 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def second_key(id_col: str, text_col: str):
+    """Another hash of a row. What is cut from a row is found under both, 128 bits, and compared on the row's own bytes."""
+    return F.xxhash64(F.lit(91), F.col(text_col), F.col(id_col))
+
+
 def barrier(df: DataFrame, **columns) -> DataFrame:
     """Compute ``columns`` once per row: a generator keeps the optimizer from repeating them where they are used."""
     one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
@@ -88,7 +93,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """rk, gone array<struct<start,end>>: the line ranges of each row that repeat an earlier chunk byte for byte."""
+    """rk, rk2, gone array<struct<start,end>>: the line ranges of each row that repeat an earlier chunk byte for byte."""
     cut = store(chunks(docs, id_col, text_col, seeds, long_words), "line-chunks")
     place = F.struct("id", "rk", "start", "end")
     seen = cut.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
@@ -98,34 +103,42 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     is_first = F.struct("id", "rk", "start", "end") == F.col("first")
     apart = (F.col("rk") != F.col("first.rk")) | (F.col("start") >= F.col("first.end"))
     found = cut.join(repeated.hint("merge"), "h").where(is_first | apart).groupBy("rk").agg(F.collect_list(F.struct("start", "end", "h", is_first.alias("is_first"))).alias("occ"))
-    texts = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
+    texts = docs.where(F.col(text_col).isNotNull())
+    texts = texts.select(row_key(id_col, text_col).alias("rk"), second_key(id_col, text_col).alias("rk2"), F.col(text_col).alias("text"))
     both = barrier(texts.join(found.hint("merge"), "rk"), lines=F.split("text", "\n", -1)).drop("text")
     body = lambda p: F.array_join(F.slice("lines", p["start"] + 1, p["end"] - p["start"]), "\n")
-    said = both.select("rk", F.explode(F.transform("occ", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["h"].alias("h"), p["is_first"].alias("is_first"), body(p).alias("body")))).alias("c")).select("rk", "c.*")
+    fields = lambda p: [p[f].alias(f) for f in ("start", "end", "h", "is_first")]
+    said = both.select("rk", "rk2", F.explode(F.transform("occ", lambda p: F.struct(*fields(p), body(p).alias("body")))).alias("c")).select("rk", "rk2", "c.*")
     said = store(said, "line-occurrences")
     first = said.where("is_first").groupBy("h").agg(F.max("body").alias("first_body"))
     first = store(first, "line-first")
     same = said.where(~F.col("is_first")).join(first.hint("merge"), "h").where(F.col("body") == F.col("first_body"))
-    return same.groupBy("rk").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    return same.groupBy("rk", "rk2").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS, long_words: int = LONG_WORDS, count_col: str = "lines_removed") -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text_col`` and the number of lines removed in ``count_col``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS, long_words: int = LONG_WORDS, count_col: str | None = "lines_removed") -> DataFrame:
+    """``docs`` with repeated chunks cut out of ``text_col`` and the number of lines removed in ``count_col`` (None: none).
 
-    A null text stays null and an empty one empty. All columns of ``docs`` are kept, whatever their names. Rows that are
-    equal in id and text are one row twice: neither is removed for the other's sake. Ties go to the smaller row hash.
+    A null text stays null and an empty one empty; an empty table gives an empty result. All columns of ``docs`` are kept,
+    whatever their names, but for one of ``count_col``'s name, which is replaced. Rows that are equal in id and text are
+    one row twice: neither is removed for the other's sake. Ties go to the smaller row hash.
     """
-    gone = store(removals(docs, id_col, text_col, seeds, long_words), "line-gone").select(F.col("rk").alias("_qs_rk"), F.col("gone").alias("_qs_gone"))
-    joined = docs.withColumn("_qs_key", row_key(id_col, text_col)).join(gone.hint("merge"), F.col("_qs_key") == F.col("_qs_rk"), "left")
-    held = barrier(joined, _qs_lines=F.split(F.col(text_col), "\n", -1), _qs_drop=F.array_distinct(F.flatten(F.transform("_qs_gone", lambda p: F.sequence(p["start"], p["end"] - 1)))))
-    # Flags by position, so that a long document costs its lines once: the dropped positions are sorted and merged in.
-    marks = F.map_from_arrays("_qs_drop", F.transform("_qs_drop", lambda x: F.lit(True)))
-    held = barrier(held, _qs_map=F.when(F.col("_qs_drop").isNotNull(), marks))
-    left = F.filter("_qs_lines", lambda x, i: ~F.map_contains_key(F.col("_qs_map"), i))
-    text = F.when(F.col("_qs_map").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    count = F.coalesce(F.size("_qs_drop"), F.lit(0))
-    out = held.withColumn("_qs_text", text).withColumn("_qs_n", F.when(F.col("_qs_map").isNull(), 0).otherwise(count))
-    return out.select(*[F.col("_qs_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("_qs_n").cast("int").alias(count_col))
+    gone = store(removals(docs, id_col, text_col, seeds, long_words), "line-gone")
+    # The row as it came is one column, so that no name of its columns meets one of these.
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("rk"), second_key(id_col, text_col).alias("rk2")
+    )
+    joined = whole.join(gone.hint("merge"), ["rk", "rk2"], "left").select("doc", "text", "gone")
+    dropped = F.array_distinct(F.flatten(F.transform("gone", lambda p: F.sequence(p["start"], p["end"] - 1))))
+    held = barrier(joined, lines=F.split("text", "\n", -1), dropped=dropped)
+    # Flags by position, so that a long document costs its lines once.
+    marks = F.map_from_arrays("dropped", F.transform("dropped", lambda x: F.lit(True)))
+    held = barrier(held, flags=F.when(F.col("dropped").isNotNull(), marks))
+    left = F.filter("lines", lambda x, i: ~F.map_contains_key(F.col("flags"), i))
+    text = F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    count = F.when(F.col("flags").isNull(), 0).otherwise(F.coalesce(F.size("dropped"), F.lit(0))).cast("int")
+    out = [text.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns if c != count_col]
+    return held.select(*out, *([count.alias(count_col)] if count_col else []))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

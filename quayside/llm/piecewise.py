@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quayside.llm.common import table
 
 MARK = "▁"
-CACHE_RUNS = 250_000  # runs kept by a worker, twice over
+CACHE_RUNS = 250_000  # runs kept by a worker, twice over, of CACHED_LENGTH characters at most
+CACHED_LENGTH = 64
 CACHE_PAIRS = 2_000_000
 
 
@@ -36,7 +37,8 @@ class Runs(dict):
         if got is None:
             ids = tuple(self.encoder.run_ids(run))
             got = (ids, ",".join(map(str, ids)))
-        self[run] = got
+        if len(run) <= CACHED_LENGTH:
+            self[run] = got
         return got
 
 

@@ -83,17 +83,17 @@ class Model:
         rank = min(RANK, *w.shape) if len(w) else 0
         if rank:
             # Singular directions by subspace iteration from a fixed start.
-            q = np.linalg.qr(w.T @ np.random.default_rng(seed).standard_normal((len(w), rank + 8)).astype(np.float32))[0]
+            q = np.linalg.qr(w.T @ np.random.default_rng(seed).standard_normal((len(w), rank + 8)))[0]
             for _ in range(4):
                 q = np.linalg.qr(w.T @ (w @ q))[0]
             u = np.linalg.svd(w @ q, full_matrices=False)[2]
-            self.turn = (q @ u.T)[:, :rank].astype(np.float32)
+            self.turn = (q @ u.T)[:, :rank].astype(np.float64)
         else:
             self.turn = np.zeros((WIDTH, 1), np.float32)
-        self.v = self._unit(w @ self.turn) if len(w) else np.zeros((0, 1), np.float32)
+        self.v = self._unit(w @ self.turn) if len(w) else np.zeros((0, 1))
 
     def _weigh(self, x):
-        w = np.log1p(x) * self.idf
+        w = np.log1p(x).astype(np.float64) * self.idf
         return w / np.maximum(1e-9, np.sqrt((w**2).sum(axis=1, keepdims=True)))
 
     @staticmethod
@@ -101,29 +101,38 @@ class Model:
         return v / np.maximum(1e-9, np.sqrt((v**2).sum(axis=1, keepdims=True)))
 
     def score(self, texts) -> np.ndarray:
-        """Share of label 1 among the weighted neighbours, drawn to the sample's share by ``PRIOR_WEIGHT``."""
+        """Share of label 1 among the weighted neighbours, drawn to the sample's share by ``PRIOR_WEIGHT``.
+
+        Of neighbours at one cosine the earlier in the sample come first.
+        """
         x = np.array([features(t) for t in texts], np.float32).reshape(len(texts), WIDTH)
         out = np.full(len(texts), self.prior)
         if not len(self.v):
             return out
-        cos = self._unit(self._weigh(x) @ self.turn) @ self.v.T
+        # Cosines to 9 places, so that equal texts and equal neighbours tie in every batch.
+        cos = np.round(self._unit(self._weigh(x) @ self.turn) @ self.v.T, 9)
         k = min(NEIGHBOURS, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < cos.shape[1] else np.tile(np.arange(k), (len(x), 1))
-        w = np.maximum(0.0, np.take_along_axis(cos, near, 1).astype(np.float64)) ** SHARPNESS
+        least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+        over, tied = cos > least, cos == least
+        near = np.nonzero(over | (tied & (tied.cumsum(axis=1) <= k - over.sum(axis=1, keepdims=True))))[1].reshape(len(x), k)
+        w = np.maximum(0.0, np.take_along_axis(cos, near, 1)) ** SHARPNESS
         return ((w * self.y[near]).sum(axis=1) + PRIOR_WEIGHT * self.prior) / (w.sum(axis=1) + PRIOR_WEIGHT)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model from at most ``sample`` labelled rows, the first in the order of their id's hash.
+    """A model from at most ``sample`` labelled documents, the first in the order of their id's hash.
 
-    ``learn`` is a condition on the labels; null ids, null labels and labels without a document teach nothing.
+    ``learn`` is a condition on the labels; null ids, null labels and labels without a document teach nothing. An id
+    counts once, by its smallest label and its smallest text. Without labels every score is one half.
     """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.where(learn) if learn is not None else rows
-    some = rows.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
-    # At most ``sample`` ids and labels are sent out to pick the texts.
-    got = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("_text"), "_label").toPandas()
-    got = got.sort_values(["_id", "_text", "_label"], kind="stable").head(sample)
+    some = rows.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).groupBy("_id").agg(F.min("_label").alias("_label"))
+    some = some.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    # At most ``sample`` ids and labels are sent out to pick the texts; rows of one id meet before they come here.
+    got = texts.join(F.broadcast(some), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label")).toPandas()
+    got = got.sort_values("_id", kind="stable")
     return Model(got["_text"].tolist(), got["_label"].tolist())
 
 

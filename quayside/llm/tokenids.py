@@ -4,11 +4,12 @@ File (little-endian): the ids of all documents one after another (2 bytes each i
 Elias-Fano sections of the document bounds and of the document ids, then a fixed footer. An Elias-Fano section of n
 values up to u keeps floor(log2(u/n)) low bits of each value packed, the high parts in unary in a bit vector of at most
 3n bits, and a 32-bit sample of the place of every ``SAMPLE``-th value, from which ``select`` scans on. Offsets within
-a file fit 32 bits, as a file is closed at ``SHARD_TOKENS`` tokens or with the first document that goes beyond.
+a file fit 32 bits, as a file is closed with the document that reaches ``SHARD_TOKENS`` tokens, or ``SHARD_DOCS`` documents.
 """
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import os
@@ -25,7 +26,10 @@ from quayside.llm.common import local_path, scratch, store, table
 MAGIC = b"QSTOKEN1"
 SAMPLE = 256
 SHARD_TOKENS = 1 << 25
-CACHE_WORDS = 250_000  # words kept by a worker, twice over
+SHARD_DOCS = 1 << 20
+PIECE = 1 << 16  # values packed at once
+CACHE_WORDS = 250_000  # words kept by a worker, twice over, of CACHED_LENGTH characters at most
+CACHED_LENGTH = 64
 END_ID = 1
 
 
@@ -42,7 +46,9 @@ class EliasFano:
         v = np.asarray(values, np.uint64)
         n, top = len(v), int(v[-1]) if len(v) else 0
         bits = max(0, (top // max(1, n)).bit_length() - 1)
-        low = np.packbits(((v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+        # A piece of a multiple of 8 values fills whole bytes.
+        pieces = (v[i : i + PIECE] for i in range(0, n if bits else 0, PIECE))
+        low = b"".join(np.packbits(((p[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes() for p in pieces)
         at = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         flags = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         flags[at] = 1
@@ -97,7 +103,7 @@ class Writer:
 
     def __init__(self, out, width: int):
         self.out, self.width = out, width
-        self.bounds, self.ids, self.nulls, self.total = [0], [], 0, 0
+        self.bounds, self.ids, self.nulls, self.total = array.array("q", [0]), array.array("q"), 0, 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.out.write(ids)
@@ -111,7 +117,7 @@ class Writer:
     def close(self) -> None:
         base = self.ids[0] if self.ids else 0
         a = EliasFano.of(self.bounds).to_bytes()
-        b = EliasFano.of([x - base for x in self.ids]).to_bytes()
+        b = EliasFano.of(np.asarray(self.ids, np.int64) - base).to_bytes()
         self.out.write(a + b + FOOT.pack(len(self.bounds) - 1, self.nulls, base, len(a), len(b), zlib.crc32(a + b), self.width, MAGIC))
         self.out.close()
 
@@ -153,7 +159,8 @@ class Words(dict):
         got = self.before.get(word)
         if got is None:
             got = self.make(word)
-        self[word] = got
+        if len(word) <= CACHED_LENGTH:
+            self[word] = got
         return got
 
 
@@ -161,13 +168,17 @@ class WordEncoder:
     """Ids of a text by a tokenizers file whose pieces never span white space.
 
     Each word between white space is encoded once and kept, by its pieces, each of which goes through the model once.
-    This takes the file's normalizer (NFC, lower case) and splitter (as in ``SPLIT``) to be those that it checks for. A
-    text with one of the tokenizer's special strings, with characters whose lower case depends on their place, not in
-    NFC or with a control character that only Python takes for white space is encoded in one piece by the library.
+    This takes the file's normalizer (NFC, lower case) and splitter (as in ``SPLIT``) to be those that it checks for, and
+    only characters of ``BLOCKS`` that the library itself lowers and splits as Python does, which is tried for each. A text
+    with other characters, with one of the tokenizer's special strings, or not in NFC is encoded in one piece by the
+    library.
     """
 
     SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fixed value: the file's own pattern
 
+    BLOCKS = [(0, 0x3100), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xFE00, 0xFE10), (0xFF00, 0xFFF0), (0x1F300, 0x1FB00)]
+    BY_PLACE = {0x130, 0x3A3}  # their lower case depends on the characters around
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
@@ -175,20 +186,32 @@ class WordEncoder:
 
         with open(path, encoding="utf-8") as f:
             own = json.load(f)
-        steps = [x["type"] for x in own["normalizer"]["normalizers"]]
+        steps = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
         split = own["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")
-        if steps != ["NFC", "Replace", "Lowercase"] or split != self.SPLIT:
+        if own["normalizer"]["normalizers"] != steps or split != self.SPLIT:
             raise ValueError("a tokenizer with another normalizer or splitter")
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         specials = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join(["[\x1c-\x1f\u0130\u03a3]", *specials]))
         self.split = regex.compile(self.SPLIT)
         # Byte-level pieces: printable bytes stand for themselves, the others for the characters from 256 on, in order.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         self.chars = [rest.get(b) or chr(b) for b in range(256)]
         self.pieces, self.words = Words(self._piece, {}), Words(self._word, {})
+        same = [c for a, b in self.BLOCKS for c in range(a, b) if c not in self.BY_PLACE and self._as_python(chr(c))]
+        starts = [c for k, c in enumerate(same) if not k or same[k - 1] != c - 1]
+        ends = [c for k, c in enumerate(same) if k + 1 == len(same) or same[k + 1] != c + 1]
+        others = "[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends)) + "]"
+        self.odd = re.compile("|".join([others, *specials]))
+
+    def _as_python(self, c: str) -> bool:
+        """Whether the library normalizes and splits a character as this class does, between others and beside itself."""
+        text = f"a{c}{c}1{c}"
+        mine = text.lower().split()
+        theirs = self.tok.normalizer.normalize_str(text)
+        pieces = ["".join([self.chars[b] for b in p.encode()]) for w in mine for p in self.split.findall(w)]
+        return theirs.split(" ") in (mine, [*mine, ""]) and [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(theirs)] == pieces
 
     def pack(self, ids) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -253,7 +276,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                     fs.create_dir(base, recursive=True)
                     w = Writer(fs.open_output_stream(f"{base}/{name}", compression=None), enc.width)
                 w.add(None if i is None else int(i), ids + end)
-                if w.total >= SHARD_TOKENS:
+                if w.total >= SHARD_TOKENS or len(w.bounds) > SHARD_DOCS:
                     close()
                     w, seq = None, seq + 1
         if w is not None:

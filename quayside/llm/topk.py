@@ -7,7 +7,7 @@ every threshold. Otherwise the first rotated coordinates (eigenvectors of the Gr
 vectors) give a partial sum, and Cauchy-Schwarz bounds the rest by the product of the residual
 lengths: only pairs whose bound reaches the threshold get their exact integer product.
 
-Queries go out in blocks of bounded size (``QUERY_BLOCK`` vectors), each against all vectors.
+Queries go out in blocks of bounded size (``QUERY_BLOCK`` vectors), one at a time, each against all vectors.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from quayside.llm.common import store, table
 QUERY_BLOCK = 16_384  # vectors broadcast at once
 HEAD = 2_048  # longest vectors that seed the thresholds
 CELLS = 1 << 20  # query-vector pairs bounded at once in a task
+DIMS = 1_000  # different dimensions of vectors in one search, each a search of its own
 LIMIT = float(1 << 62)
 
 
@@ -151,7 +152,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
     """
     spark = vectors.sparkSession
     out = None
-    dims = sorted(r["dim"] for r in queries.select("dim").distinct().collect())
+    dims = sorted(r["dim"] for r in queries.select("dim").distinct().limit(DIMS + 1).collect())
+    if len(dims) > DIMS:
+        raise ValueError(f"over {DIMS} different dimensions")
     for dim in dims:
         own = vectors.where(F.col("dim") == dim)
         asked = queries.where(F.col("dim") == dim).select("id", "v").distinct()
@@ -182,7 +185,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
                 yield pd.DataFrame({"query_id": blk.ids[q], "vec_id": blk.best_id[q, r], "score": blk.best_s[q, r]})
 
             ordered = own.select("id", "v", "norm").sortWithinPartitions(F.col("norm").desc())
-            found = ordered.mapInPandas(scan, "query_id long, vec_id long, score long")
+            # A block's results are written before the next block is made, so that one block is held at a time.
+            found = store(ordered.mapInPandas(scan, "query_id long, vec_id long, score long"), "topk-found")
+            sent.destroy()
             out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "query_id long, vec_id long, score long")
