@@ -6,7 +6,8 @@
 4. benchmark decontamination: documents that hold a benchmark item go.
 5. SentencePiece: ids and decoded text of each document that is left, as counts and digests.
 
-Stages 1 to 4 return the columns of ``documents`` and whatever else their input has.
+Stages 1 to 4 return the columns of ``documents`` and whatever else their input has, whatever the names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,27 +18,30 @@ from quayside.llm import common, decontam, linededup, neardup, piecewise, qualit
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose quality score is at least ``quality.CUT``."""
+    """Keep documents whose quality score is at least ``quality.CUT``. A null or empty text has a score like any other; equal
+    rows have equal scores. Without labels every score is one half, and all stay."""
     labels = common.table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, learn=quality.train_fold())
     return docs.where(quality.scorer(spark, model)("text") >= quality.CUT)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated chunks of lines. No document goes."""
-    out = linededup.dedup_lines(docs, count_col="_qs_removed").drop("_qs_removed")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Cut repeated chunks of lines. No document goes. Null texts stay null, with null n_chars; equal rows are one row twice."""
+    return linededup.dedup_lines(docs, count_col=None).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates. Rows with a null id stay."""
-    groups = neardup.near_duplicates(docs)
-    gone = common.store(groups.where(~F.col("kept")).select(F.col("doc_id").alias("_qs_gone")).distinct(), "pipeline-gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_qs_gone"), "left_anti")
+    """Keep one document of each group of near-duplicates. Rows with a null id, and empty or null texts, stay.
+
+    A document is an id: rows that repeat one stay together, and go together as soon as one of them is to go.
+    """
+    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = common.store(gone, "pipeline-gone")
+    return docs.alias("d").join(gone.alias("g").hint("merge"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that hold no benchmark item."""
+    """Keep documents that hold no benchmark item. Null and empty texts stay; an empty benchmark takes none."""
     return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
