@@ -1,14 +1,17 @@
 """Quality scores by nearest-neighbour voting over latent-semantic vectors.
 
-A text's features are counts of three-character patterns of its shape (letters, cases, digits, each kind of mark; runs
-collapsed) and coarse bins of how much it repeats itself. Log counts weighted by rarity are projected onto ``RANK``
-singular directions of a bounded sample of labelled texts. The sample's vectors go out to all tasks; every text meets
-all of them in one blocked product, and its ``NEIGHBOURS`` nearest vote with the power ``SHARPNESS`` of their cosine.
+A text's features are its terms (hashed words in lower case), counts of three-character patterns of its shape (letters,
+cases, digits, each kind of mark; runs collapsed) and coarse bins of how much it repeats itself. Log counts weighted by
+rarity, terms by ``TERM_WEIGHT`` beside the rest, are projected onto ``RANK`` singular directions of a bounded sample of
+labelled texts. The sample's vectors go out to all tasks; every text meets all of them in one blocked product, and its
+``NEIGHBOURS`` nearest vote with the power ``SHARPNESS`` of their cosine.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quayside.llm.common import crc_fold, table
 
 SAMPLE = 4_000  # labelled texts that a model holds at most
-RANK = 64
+RANK = 128
 NEIGHBOURS = 25
 SHARPNESS = 8
 PRIOR_WEIGHT = 0.05
@@ -36,11 +39,14 @@ for _k, _c in enumerate(_MARKS):
 HASHED = 4096
 BINS = 12
 RATIOS = 8
-WIDTH = HASHED + BINS * RATIOS
+LOOKS = HASHED + BINS * RATIOS
+TERMS = 4096
+TERM_WEIGHT = 0.5
+WIDTH = LOOKS + TERMS
 
 
 def features(text: str | None) -> np.ndarray:
-    """Counts of shape patterns and indicators of repetition bins; all zero for a null or empty text."""
+    """Counts of shape patterns, indicators of repetition bins and counts of terms; all zero for a null or empty text."""
     out = np.zeros(WIDTH, np.float32)
     if not text:
         return out
@@ -67,34 +73,47 @@ def features(text: str | None) -> np.ndarray:
         )
         for k, r in enumerate(ratios):
             out[HASHED + k * BINS + min(BINS - 1, int(r * BINS))] = 3.0
+        for w, c in Counter(text.lower().split()).items():
+            out[LOOKS + zlib.crc32(w.encode("utf-8", "replace")) % TERMS] += c
     return out
 
 
+def blocks(texts):
+    """Feature matrices of 512 texts at a time."""
+    for at in range(0, len(texts), 512):
+        yield np.array([features(t) for t in texts[at : at + 512]], np.float32)
+
+
 class Model:
     """Labelled vectors and the projection that made them."""
 
     def __init__(self, texts, labels, seed: int = 5):
-        x = np.array([features(t) for t in texts], np.float32).reshape(len(texts), WIDTH)
         self.y = np.asarray(labels, np.float64)
         self.prior = float(self.y.mean()) if len(self.y) else 0.5
-        seen = (x > 0).sum(axis=0)
-        self.idf = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
-        w = self._weigh(x)
+        # Features are made twice, block by block, so that the weighted matrix is the only large one.
+        seen = sum(((x > 0).sum(axis=0) for x in blocks(texts)), np.zeros(WIDTH, np.int64))
+        self.idf = (np.log((1 + len(texts)) / (1 + seen)) + 0.1).astype(np.float32)
+        w = np.empty((len(texts), WIDTH), np.float32)
+        for k, x in enumerate(blocks(texts)):
+            w[512 * k : 512 * (k + 1)] = self._weigh(x)
         rank = min(RANK, *w.shape) if len(w) else 0
         if rank:
             # Singular directions by subspace iteration from a fixed start.
-            q = np.linalg.qr(w.T @ np.random.default_rng(seed).standard_normal((len(w), rank + 8)))[0]
+            q = np.linalg.qr(w.T @ np.random.default_rng(seed).standard_normal((len(w), rank + 8)).astype(np.float32))[0]
             for _ in range(4):
                 q = np.linalg.qr(w.T @ (w @ q))[0]
             u = np.linalg.svd(w @ q, full_matrices=False)[2]
             self.turn = (q @ u.T)[:, :rank].astype(np.float64)
         else:
             self.turn = np.zeros((WIDTH, 1), np.float32)
-        self.v = self._unit(w @ self.turn) if len(w) else np.zeros((0, 1))
+        self.v = self._unit(np.concatenate([w[k : k + 512] @ self.turn for k in range(0, len(w), 512)])) if len(w) else np.zeros((0, 1))
 
     def _weigh(self, x):
         w = np.log1p(x).astype(np.float64) * self.idf
-        return w / np.maximum(1e-9, np.sqrt((w**2).sum(axis=1, keepdims=True)))
+        for part in (w[:, :LOOKS], w[:, LOOKS:]):
+            part /= np.maximum(1e-9, np.sqrt((part**2).sum(axis=1, keepdims=True)))
+        w[:, LOOKS:] *= TERM_WEIGHT
+        return w
 
     @staticmethod
     def _unit(v):
