@@ -347,10 +347,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert by[1, 4].record_type == "revisit" and by[1, 4].refers_to == 9 and by[9, 4].record_type == "response" and by[None, 4].record_type == "revisit"
     assert by[3, 0].record_type == "revisit" and by[3, 0].refers_to == 4 and by[4, 0].record_type == "response"
     assert bytes(by[7, 300_000].payload) == b"x" * 300_000 and by[7, 300_000].payload_digest == warc.digest(b"x" * 300_000)
-    assert by[2, 4].url == "ü\n" and by[None, 5].record_type == "response"
+    assert by[2, 4].url == "ü\n" and by[9, 4].url in ("", "u") and by[None, 5].record_type == "response"
     assert warc.read_archives(warc.write_archives(pages.limit(0), f"file://{tmp_path}/v")).count() == 0
 
 
+def test_warc_headers_and_archive_size(spark, tmp_path):
+    rows = [(i, f" http://é/{i} " if i % 2 else f"http://h/%C3%A9?q={i}", "same" if i < 3 else f"{i}") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=1, date="2020-02-02T00:00:00Z")
+    assert manifest.count() == 8 and {r["records"] for r in manifest.collect()} == {1}
+    assert {(r["page_id"], r["url"]) for r in warc.read_archives(manifest).collect()} == {r[:2] for r in rows}
+    heads = {}
+    for r in manifest.collect():
+        with open(r["path"].removeprefix("file://"), "rb") as f:
+            first, second = [warc.parse(raw)[0] for raw in warc.members(f)]
+        assert first["warc-type"] == "warcinfo" and first["warc-filename"] == r["path"].rpartition("/")[2]
+        heads[int(second["page-id"])] = second
+    assert len({h["warc-record-id"] for h in heads.values()}) == 8 and {h["warc-date"] for h in heads.values()} == {"2020-02-02T00:00:00Z"}
+    assert heads[1]["warc-target-uri"] == "%20http://%C3%A9/1%20" and heads[2]["warc-target-uri"] == rows[2][1]
+    for i in (0, 1):
+        assert heads[i]["warc-refers-to"] == heads[2]["warc-record-id"] and heads[i]["warc-refers-to-target-uri"] == rows[2][1]
+
+
+def test_warc_of_another_writer():
+    body = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nhello"
+    raw = warc.member(["WARC-Type: request", "WARC-Target-URI: http://h/"], b"GET / HTTP/1.1\r\n\r\n") + warc.member(["WARC-Type: response", "WARC-Target-URI: http://h/"], body)
+    (got,) = warc.read_archive(io.BytesIO(raw))
+    want = {"page_id": None, "url": "http://h/", "record_type": "response", "refers_to": None, "payload": b"hello", "payload_bytes": 5, "payload_digest": warc.digest(b"hello")}
+    assert got == want
+
+
 def test_warc_damage_is_found():
     good = warc.record("u", 1, b"body", "response", None)
     two = good + warc.record("u", 2, b"body", "revisit", 1)
