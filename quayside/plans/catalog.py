@@ -490,9 +490,10 @@ def xxh3_etag(spark, d):
     return t.table(spark, d, "documents").select("doc_id", keys.xxh3_hex()(F.encode("text", "UTF-8")).alias("etag"))
 
 
-@query()
+@query("SELECT page_id, url_decode(url || '%2Fc%C3%a9+%zz%%41%4') AS decoded FROM pages")
 def percent_decode(spark, d):
-    return t.table(spark, d, "pages").select("page_id", keys.percent_decode()("url").alias("decoded"))
+    """Addresses with escapes behind them, whole and malformed ones."""
+    return t.table(spark, d, "pages").select("page_id", keys.percent_decode()(F.concat("url", F.lit("%2Fc%C3%a9+%zz%%41%4"))).alias("decoded"))
 
 
 # --- reconcile and scrub
@@ -776,6 +777,14 @@ def stream_status_counts(spark, d):
     return stream.run_status(spark, d)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS rn FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)
+), r AS (
+  SELECT event_id, user_id, sec, rn, CAST(2 AS DOUBLE) AS tokens FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.event_id, e.user_id, e.sec, e.rn, least(CAST(2 AS DOUBLE), r.tokens - CASE WHEN r.tokens >= 1 THEN 1 ELSE 0 END + (e.sec - r.sec) * (CAST(1 AS DOUBLE) / 86400))
+  FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1
+)
+SELECT event_id, user_id, tokens >= 1 AS allowed FROM r""")
 def stream_rate_limit(spark, d):
     return stream.run_rate_limit(spark, d)

@@ -110,5 +110,5 @@ def run_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
     e.write.parquet(f"{root}/in")
     events = spark.readStream.schema(e.schema).parquet(f"{root}/in")
-    token_bucket(events, 5, 1 / 3600).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    token_bucket(events, 2, 1 / 86400).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out")
