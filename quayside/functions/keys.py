@@ -25,9 +25,31 @@ def blob_path(bucket: Column, key: Column) -> Column:
     return F.concat_ws("/", bucket, shard(key), encode_key(key))
 
 
+def nested_path(bucket: Column, key: Column) -> Column:
+    """The older place of a key with a slash, its folders as they are; null for other keys, which have one place only."""
+    return F.when(key.contains("/"), F.concat_ws("/", bucket, shard(key), key))
+
+
 def key_of_path(path: Column) -> Column:
-    """The key of a path below a bucket: with or without a shard folder."""
-    return decode_key(F.regexp_extract(path, "^(?:[0-9a-f]{2}/)?(.*)$", 1))
+    """The key of a path below a bucket, behind its shard folder: nested keys as they are, others decoded.
+
+    Null for a path without a shard folder or with nothing behind it.
+    """
+    tail = F.try_element_at(F.split(path, "/", 2), F.lit(2))
+    return F.when(tail.contains("/"), tail).when(tail != "", decode_key(tail))
+
+
+# The HTTP status of each refusal.
+STATUS = {
+    "not_found": 404, "range_not_satisfiable": 416, "payload_too_large": 413, "insufficient_storage": 507, "invalid_bucket": 400,
+    "invalid_key": 400, "precondition_failed": 412, "read_only_replica": 503, "not_assigned": 409, "internal": 500,
+}
+
+
+def status_code(error: Column) -> Column:
+    """The HTTP status of a refusal by name: 200 for null, 500 for an unknown one."""
+    codes = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
+    return F.when(error.isNull(), 200).otherwise(F.coalesce(F.try_element_at(codes, error), F.lit(500)))
 
 
 def _rooted(path: Column) -> Column:

@@ -25,6 +25,15 @@ def apply_deltas(counts: DataFrame, added: DataFrame, removed: DataFrame) -> Dat
     return rows.groupBy("block_hash").agg(F.sum("d").alias("refcount"), F.max("size").alias("size")).where(F.col("refcount") > 0)
 
 
+def finalize(refs: DataFrame, new: DataFrame) -> DataFrame:
+    """block_hash, refcount, size after objects are written: ``new`` (bucket, key, block_idx, block_hash, size) takes the
+    place of all references of the same objects, and blocks that nothing refers to any more are gone. One anti-join and
+    one aggregation."""
+    cols = ["block_hash", "size"]
+    kept = refs.join(new.select("bucket", "key").distinct(), ["bucket", "key"], "left_anti").select(*cols)
+    return refcounts(kept.unionByName(new.select(*cols)))
+
+
 def savings(refs: DataFrame) -> DataFrame:
     c = refcounts(refs).agg(F.sum(F.col("refcount") * F.col("size")).cast("long").alias("logical_bytes"), F.sum("size").cast("long").alias("stored_bytes"), F.count("*").alias("blocks"), F.sum("refcount").cast("long").alias("refs"))
     return c.withColumn("saved_bytes", F.col("logical_bytes") - F.col("stored_bytes"))
@@ -67,13 +76,23 @@ def verify(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("intact", F.md5("body") == F.col("block_hash"))
 
 
-def compress_sizes(blocks: DataFrame, level: int = 3) -> DataFrame:
-    """block_hash, raw, packed, stored: sizes before and after zstd; a block that doesn't shrink is stored raw."""
+def object_etags(blocks: DataFrame) -> DataFrame:
+    """bucket, key, etag, size: the hash of each object's bytes, its blocks (block_idx, body) in order. For objects that fit
+    a row, as ``read_range``; an object without blocks has no row."""
+    got = blocks.groupBy("bucket", "key").agg(F.array_sort(F.collect_list(F.struct("block_idx", F.hex("body").alias("h")))).alias("p"))
+    body = F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), ""))
+    return got.select("bucket", "key", F.md5(body).alias("etag"), F.octet_length(body).cast("long").alias("size"))
+
+
+def compress_sizes(blocks: DataFrame, level: int = 3, dictionary: bytes | None = None) -> DataFrame:
+    """block_hash, raw, packed, stored: sizes before and after zstd; a block that doesn't shrink is stored raw.
+    A dictionary of ``train_dictionary`` goes to every task with the function; it is smaller than its sample's bound."""
 
     def run(batches):
         import zstandard
 
-        z = zstandard.ZstdCompressor(level=max(1, min(22, level)))
+        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        z = zstandard.ZstdCompressor(level=max(1, min(22, level)), dict_data=known)
         for pdf in batches:
             raw = pdf["body"].map(len)
             packed = pdf["body"].map(lambda b: len(z.compress(b)))

@@ -49,6 +49,14 @@ def list_objects(objects: DataFrame, bucket: str, prefix: str = "", delimiter: s
     return page(got if start_after is None else got.where(F.col("entry") > start_after), "entry", limit)
 
 
+def delete_page(objects: DataFrame, bucket: str, prefix: str, limit: int = MAX_PAGE, start_after: str | None = None) -> DataFrame:
+    """The next objects below a prefix to delete, with ``truncated`` and ``next_cursor``. An empty prefix, which would be
+    the whole bucket, is refused."""
+    if not prefix:
+        raise ValueError("deleting by prefix needs a prefix")
+    return list_objects(objects, bucket, prefix, None, limit, start_after)
+
+
 def count_objects(objects: DataFrame, bucket: str | None = None, prefix: str = "", start_after: str | None = None) -> DataFrame:
     return under(active(objects), bucket, prefix, start_after).agg(F.count("*").alias("n"))
 

@@ -45,6 +45,15 @@ def assemble(parts: DataFrame) -> DataFrame:
     return got.select("upload_id", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("body"))
 
 
+def complete(uploads: DataFrame, parts: DataFrame, now: int) -> DataFrame:
+    """upload_id, bucket, key, size, etag, updated_at of the objects that uploads make: the last upload of each part
+    (upload_id, part_number, written_at, body), joined in ascending order and hashed anew. An upload without parts makes none."""
+    by = F.struct("written_at", "body")
+    last = parts.repartition("upload_id").groupBy("upload_id", "part_number").agg(F.max_by("body", by).alias("body"))
+    whole = uploads.select("upload_id", "bucket", "key").join(assemble(last), "upload_id")
+    return whole.select("upload_id", "bucket", "key", F.octet_length("body").cast("long").alias("size"), F.md5("body").alias("etag"), F.lit(now).cast("long").alias("updated_at"))
+
+
 def stale(uploads: DataFrame, now: int, ttl_seconds: int | None = None) -> DataFrame:
     """Sessions begun before now - ttl, or, without a TTL, past their own expiry."""
     return uploads.where(F.col("created_at") < now - ttl_seconds) if ttl_seconds is not None else uploads.where(F.col("expires_at") < now)

@@ -132,3 +132,51 @@ def needs_upgrade(level: int, dict_loaded: bool = False, target_dict: int = 0) -
 def recompress_plan(content: DataFrame, level: int, dict_loaded: bool = False, target_dict: int = 0) -> DataFrame:
     """bucket, key, format, upgrade of rows with a binary ``body``."""
     return headers(content).select(*PK, "format", needs_upgrade(level, dict_loaded, target_dict).alias("upgrade"))
+
+
+def light_check(content: DataFrame, expected: DataFrame) -> DataFrame:
+    """bucket, key, format, intact of rows with a binary ``body`` against expected (bucket, key, size), without decoding:
+    raw content has the size, block containers say so in a whole header, other containers have something behind their magic.
+    Without an expected row ``intact`` is null."""
+    h = headers(content).select(*PK, "format", "logical_size", "block_size")
+    n = content.select(*PK, F.octet_length("body").alias("_n"))
+    j = h.join(n, PK).join(expected.select(*PK, "size"), PK, "left")
+    said = F.col("block_size").isNotNull() & (F.col("logical_size") == F.col("size"))
+    fine = F.when(F.col("format") == "raw", F.col("_n") == F.col("size")).when(F.col("format").isin("indexed", "blocks"), said).otherwise(F.col("_n") > 8)
+    return j.select(*PK, "format", F.when(F.col("size").isNotNull(), fine).alias("intact"))
+
+
+def migration_plan(page: DataFrame, files: DataFrame) -> DataFrame:
+    """bucket, key, action, path of the objects of a page against files (bucket, path, readable, format, upgrade).
+
+    The file at the object's encoded place counts before one at its nested place. skipped: no file, or one that is in
+    place and needs nothing; failed: it can't be read; relocate: it only moves; reencode: it is written anew, as are raw
+    files that move. ``path`` is where the object is afterwards, null where it has no file.
+    """
+    key, bucket = F.col("key"), F.col("bucket")
+    flat = keys.blob_path(bucket, key)
+    places = F.array_compact(F.array(F.struct(F.lit(0).alias("turn"), flat.alias("path")), F.when(keys.nested_path(bucket, key) != flat, F.struct(F.lit(1).alias("turn"), keys.nested_path(bucket, key).alias("path")))))
+    at = page.select(*PK, F.explode(places).alias("_p")).select(*PK, "_p.turn", "_p.path")
+    seen = at.join(files.select("path", "readable", "format", "upgrade"), "path", "left").withColumn("found", F.col("readable").isNotNull())
+    first = F.min_by(F.struct("turn", "path", "found", "readable", "format", "upgrade"), F.when(F.col("found"), F.col("turn")).otherwise(2 + F.col("turn")))
+    one = seen.groupBy(*PK).agg(first.alias("f")).select(*PK, "f.*")
+    moves = F.col("turn") == 1
+    anew = F.col("upgrade") | ((F.col("format") == "raw") & moves)
+    action = F.when(~F.col("found"), "skipped").when(~F.col("readable"), "failed").when(anew, "reencode").when(moves, "relocate").otherwise("skipped")
+    return one.select(*PK, action.alias("action"), F.when(F.col("found"), F.when(action == "failed", F.col("path")).otherwise(flat)).alias("path"))
+
+
+def migration_report(plan: DataFrame) -> DataFrame:
+    """One row: scanned, migrated, skipped, failed of a ``migration_plan``."""
+    a = F.col("action")
+    return plan.agg(F.count("*").alias("scanned"), F.count_if(a.isin("relocate", "reencode")).alias("migrated"), F.count_if(a == "skipped").alias("skipped"), F.count_if(a == "failed").alias("failed"))
+
+
+def recompress_report(plan: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row: scanned, recompressed, skipped, bytes_saved of a ``recompress_plan`` whose files are written anew with sizes
+    (bucket, key, old_size, new_size). A container that upgrades is replaced though it grows; a file that can't be written
+    (no new size) is skipped."""
+    j = plan.join(sizes.select(*PK, "old_size", "new_size"), PK, "left")
+    done = F.col("upgrade") & F.col("new_size").isNotNull()
+    saved = F.coalesce(F.sum(F.when(done, F.col("old_size") - F.col("new_size"))), F.lit(0)).cast("long")
+    return j.agg(F.count("*").alias("scanned"), F.count_if(done).alias("recompressed"), (F.count("*") - F.count_if(done)).alias("skipped"), saved.alias("bytes_saved"))

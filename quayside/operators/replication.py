@@ -59,6 +59,21 @@ def fan_out(events: DataFrame, peers: DataFrame, factor: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= factor - 1).select("event_id", "node_id", "rank")
 
 
+def delivered(attempts: DataFrame, factor: int) -> DataFrame:
+    """event_id, node_id, rank, ok of attempts (event_id, node_id, ok) that a drain makes: peers by id until factor - 1 of
+    them took the event; peers behind the last of those aren't asked."""
+    w = Window.partitionBy("event_id").orderBy("node_id")
+    before = F.coalesce(F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return attempts.withColumn("rank", F.row_number().over(w)).withColumn("_taken", before).where(F.col("_taken") < factor - 1).select("event_id", "node_id", "rank", "ok")
+
+
+def drained(events: DataFrame, asked: DataFrame, factor: int) -> DataFrame:
+    """event_id, succeeded, outcome of each event after ``delivered``."""
+    took = asked.groupBy("event_id").agg(F.count_if("ok").alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
+    return events.select("event_id").join(took, "event_id", "left").select("event_id", n.alias("succeeded"), drain_outcome(n, F.lit(factor - 1)).alias("outcome"))
+
+
 def drain_outcome(succeeded: Column, needed: Column) -> Column:
     """sent if enough peers took it; retry_now if some did; failed if none."""
     return F.when(succeeded >= needed, "sent").when(succeeded > 0, "retry_now").otherwise("failed")

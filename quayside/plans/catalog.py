@@ -183,9 +183,55 @@ def batch_delete_status(spark, d):
     return catalog.delete_status(o, named)
 
 
+_NAMED = f"""(SELECT DISTINCT coalesce(b, said_b) AS bucket, CASE WHEN e IS NULL THEN k ELSE said END AS key, e AS error FROM (
+  SELECT *, CASE WHEN b IS NULL THEN 'invalid bucket' WHEN k IS NULL THEN 'invalid key' END AS e FROM (SELECT said_b, said,
+    CASE WHEN contains(said_b, '..') THEN NULL ELSE said_b END AS b, CASE WHEN starts_with(said, '/') OR contains(said, '/../') THEN NULL ELSE replace(said, '\\', '/') END AS k FROM (
+    SELECT CASE WHEN doc_id % 11 = 0 THEN 'x..y' ELSE bucket END AS said_b, CASE doc_id % 5 WHEN 0 THEN '/' || key WHEN 1 THEN 'a/../' || key WHEN 2 THEN replace(key, '/', '\\') WHEN 3 THEN key || '.no' ELSE key END AS said FROM doc_objects))))"""
+
+
+@query(f"""SELECT n.bucket, n.key, CASE WHEN error IS NOT NULL THEN 'failed' WHEN o.key IS NULL THEN 'ignored' ELSE 'deleted' END AS status, error FROM {_NAMED} n LEFT JOIN (SELECT bucket, key FROM doc_objects WHERE deleted_at IS NULL) o USING (bucket, key)""", "doc_objects")
+def delete_batch(spark, d):
+    """All objects named once more: some with keys or buckets that are not allowed, some with the other slash, some unknown."""
+    o, i, k = t.doc_objects(spark, d), F.col("doc_id"), F.col("key")
+    said = F.when(i % 5 == 0, F.concat(F.lit("/"), k)).when(i % 5 == 1, F.concat(F.lit("a/../"), k)).when(i % 5 == 2, F.replace(k, F.lit("/"), F.lit("\\"))).when(i % 5 == 3, F.concat(k, F.lit(".no"))).otherwise(k)
+    return catalog.delete_batch(o, o.select(F.when(i % 11 == 0, "x..y").otherwise(F.col("bucket")).alias("bucket"), said.alias("key")))
+
+
+_WRITES = "(SELECT source AS bucket, CASE doc_id % 5 WHEN 0 THEN 'new/' || doc_id WHEN 1 THEN '../' || doc_id ELSE lang || '/' || doc_id END AS key, text || '+' AS body FROM documents)"
+
+
+def _writes(spark, d):
+    """Every document written again, a byte longer: a fifth under new keys, a fifth under keys that are not allowed."""
+    i = F.col("doc_id")
+    key = F.when(i % 5 == 0, F.concat(F.lit("new/"), i.cast("string"))).when(i % 5 == 1, F.concat(F.lit("../"), i.cast("string"))).otherwise(F.concat_ws("/", "lang", i.cast("string")))
+    return t.table(spark, d, "documents").select(F.col("source").alias("bucket"), key.alias("key"), F.encode(F.concat("text", F.lit("+")), "UTF-8").alias("body"))
+
+
+@query("""SELECT w.bucket, w.key, size, etag, CASE WHEN starts_with(w.key, '..') THEN 'invalid_key' WHEN size > 9000 THEN 'payload_too_large' WHEN total - existing + size > 40000000 THEN 'insufficient_storage' END AS error,
+  CASE WHEN starts_with(w.key, '..') THEN 400 WHEN size > 9000 THEN 413 WHEN total - existing + size > 40000000 THEN 507 ELSE 200 END AS code FROM (
+  SELECT w.bucket, w.key, CAST(octet_length(encode(body)) AS BIGINT) AS size, md5(body) AS etag, coalesce(o.size, 0) AS existing, total
+  FROM """ + _WRITES + """ w CROSS JOIN (SELECT sum(size) AS total FROM doc_objects WHERE deleted_at IS NULL) LEFT JOIN (SELECT bucket, key, size FROM doc_objects WHERE deleted_at IS NULL) o USING (bucket, key)) w""", "doc_objects")
+def write_verdict(spark, d):
+    v = catalog.write_verdict(t.doc_objects(spark, d), _writes(spark, d), 40_000_000, max_size=9000)
+    return v.withColumn("code", keys.status_code(F.col("error")))
+
+
+@query("""SELECT coalesce(w.bucket, o.bucket) AS bucket, coalesce(w.key, o.key) AS key, coalesce(w.size, o.size) AS size, coalesce(w.etag, o.etag) AS etag, coalesce(o.created_at, 1706659200) AS created_at, CASE WHEN w.key IS NULL THEN o.updated_at ELSE 1706659200 END AS updated_at
+  FROM (SELECT bucket, key, CAST(octet_length(encode(body)) AS BIGINT) AS size, md5(body) AS etag FROM """ + _WRITES + """ WHERE NOT starts_with(key, '..')) w FULL JOIN (SELECT * FROM doc_objects WHERE deleted_at IS NULL) o ON o.bucket = w.bucket AND o.key = w.key""", "doc_objects")
+def write_objects(spark, d):
+    o = t.doc_objects(spark, d)
+    return catalog.write_objects(o, _writes(spark, d), 0, NOW)
+
+
+@query("SELECT event_type AS name, CAST(arg_max(event_id, (ts, CAST(event_id AS VARCHAR))) AS VARCHAR) AS value, CAST(max(floor(epoch(ts))) AS BIGINT) AS updated_at FROM (SELECT event_type, event_id, date_trunc('second', ts) AS ts FROM events) GROUP BY event_type")
+def maintenance_state(spark, d):
+    e = t.table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("value"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("updated_at"))
+    return catalog.set_state(e.where("updated_at % 2 = 0"), e.where("updated_at % 2 = 1"))
+
+
 @query("""SELECT key, n > 15 AS truncated FROM (SELECT key, row_number() OVER (ORDER BY key) AS rn, count(*) OVER () AS n FROM doc_objects WHERE bucket = 'src4' AND key LIKE 'en/%' AND deleted_at IS NULL) WHERE rn <= 15""", "doc_objects")
 def prefix_delete_plan(spark, d):
-    return listing.list_objects(t.doc_objects(spark, d), "src4", prefix="en/", limit=15).select("key", "truncated")
+    return listing.delete_page(t.doc_objects(spark, d), "src4", "en/", 15).select("key", "truncated")
 
 
 @query("""SELECT doc_id, CASE WHEN deleted_at IS NOT NULL THEN 'noop' WHEN doc_id % 3 = 0 THEN 'hard' WHEN doc_id % 2 = 0 THEN 'soft_drop_blob' ELSE 'soft' END AS mode FROM doc_objects""", "doc_objects")
@@ -401,6 +447,14 @@ def assemble_order(spark, d):
     return multipart.manifest(t.multipart_parts(spark, d))
 
 
+@query("""SELECT u.upload_id, u.bucket, u.key, CAST(length(body) AS BIGINT) AS size, md5(body) AS etag, CAST(1706659200 AS BIGINT) AS updated_at FROM multipart_uploads u JOIN (
+  SELECT upload_id, string_agg(repeat(CAST(part_number AS VARCHAR), CAST(size AS INTEGER)), '' ORDER BY part_number) AS body FROM (SELECT upload_id, part_number, arg_max(size, (written_at, size)) AS size FROM multipart_parts GROUP BY ALL) GROUP BY 1) USING (upload_id)""", "multipart_uploads", "multipart_parts")
+def multipart_complete(spark, d):
+    """Objects of uploads whose parts are their own numbers, repeated to the part's size."""
+    body = F.encode(F.repeat(F.col("part_number").cast("string"), F.col("size").cast("int")), "UTF-8")
+    return multipart.complete(t.multipart_uploads(spark, d), t.multipart_parts(spark, d).withColumn("body", body), NOW)
+
+
 @query("SELECT upload_id, bucket, key FROM multipart_uploads WHERE created_at < 1706659200 - 200000000", "multipart_uploads")
 def stale_uploads(spark, d):
     return multipart.stale(t.multipart_uploads(spark, d), NOW, 200_000_000).select("upload_id", "bucket", "key")
@@ -444,6 +498,19 @@ def refcount_delta(spark, d):
     return blocks.apply_deltas(blocks.refcounts(b), b.where("block_idx = 0"), b.where("block_idx = 1")).select("block_hash", "refcount")
 
 
+@query("""SELECT block_hash, count(*) AS refcount, max(size) AS size FROM (SELECT md5(array_slice(body, i * 1024 + 1, i * 1024 + 1024)) AS block_hash, CAST(least(1024, n - i * 1024) AS INTEGER) AS size FROM (
+  SELECT body, octet_length(body) AS n, unnest(range(0, CAST(ceil(octet_length(body) / 1024.0) AS BIGINT))) AS i FROM (SELECT encode(text || CASE WHEN doc_id % 4 = 0 THEN '+' ELSE '' END) AS body FROM documents))) GROUP BY block_hash""")
+def finalize_refs(spark, d):
+    """References after a quarter of the documents are written again, a byte longer."""
+    new = t.table(spark, d, "documents").where("doc_id % 4 = 0").select(F.col("source").alias("bucket"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("key"), F.concat("text", F.lit("+")).alias("text"))
+    return blocks.finalize(doc_blocks(spark, d).drop("body"), blocks.chunk(new, F.encode("text", "UTF-8"), BLOCK).drop("body"))
+
+
+@query("SELECT source AS bucket, lang || '/' || doc_id AS key, md5(text) AS etag, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE text <> ''")
+def object_etags(spark, d):
+    return blocks.object_etags(doc_blocks(spark, d))
+
+
 @query("""SELECT bucket, key, block_idx, CAST(e - size AS BIGINT) AS logical_start, CAST(e AS BIGINT) AS logical_end FROM (SELECT *, sum(size) OVER (PARTITION BY bucket, key ORDER BY block_idx) AS e FROM doc_blocks)""", "doc_blocks")
 def block_offsets(spark, d):
     return blocks.offsets(doc_blocks(spark, d).drop("body")).select("bucket", "key", "block_idx", "logical_start", "logical_end")
@@ -485,6 +552,13 @@ def block_compression(spark, d):
     return blocks.compress_sizes(doc_blocks(spark, d, 4096))
 
 
+@query()
+def dictionary_compression(spark, d):
+    """Sizes of small blocks with a dictionary of a sample of them."""
+    b = doc_blocks(spark, d, 4096)
+    return blocks.compress_sizes(b, dictionary=blocks.train_dictionary(b, 16 << 10))
+
+
 @query()
 def xxh3_etag(spark, d):
     return t.table(spark, d, "documents").select("doc_id", keys.xxh3_hex()(F.encode("text", "UTF-8")).alias("etag"))
@@ -612,6 +686,62 @@ def recompress_plan(spark, d):
     return reconcile.recompress_plan(containers(spark, d), 22, True, 2).select(F.col("key").cast("long").alias("page_id"), "format", "upgrade")
 
 
+_LENGTHS = """(SELECT i, format, n AS marked, CASE WHEN n < 1000 THEN least(n, hl) ELSE hl + octet_length(encode(html)) END AS n FROM (SELECT *, CASE WHEN m = 6 THEN 21 ELSE 25 END AS hl FROM """ + _CONTAINERS + """ JOIN pages ON page_id = i))"""
+
+
+@query(f"""SELECT i AS page_id, format, CASE WHEN i % 4 < 3 THEN CASE WHEN format = 'raw' THEN i % 4 = 1 WHEN format IN ('indexed', 'blocks') THEN marked >= 16 AND i % 4 = 0 ELSE n > 8 END END AS intact FROM {_LENGTHS}""")
+def scrub_light(spark, d):
+    """Containers against sizes of which a quarter is the header's, a quarter the content's length, and a quarter unknown."""
+    c = containers(spark, d)
+    i = F.col("key").cast("long")
+    size = F.when(i % 4 == 0, i + 70000).when(i % 4 == 1, F.octet_length("body")).otherwise(-1)
+    checked = reconcile.light_check(c, c.where(i % 4 < 3).select("bucket", "key", size.cast("long").alias("size")))
+    return checked.select(i.alias("page_id"), "format", "intact")
+
+
+_FILES = """(SELECT doc_id, doc_id % 7 <> 0 AS found, doc_id % 3 = 1 AS nested, doc_id % 11 <> 0 AS readable, CASE doc_id % 4 WHEN 0 THEN 'raw' WHEN 1 THEN 'blocks' ELSE 'indexed' END AS format, bucket, key FROM doc_objects WHERE deleted_at IS NULL)"""
+_ACTION = f"""(SELECT *, CASE WHEN NOT found THEN 'skipped' WHEN NOT readable THEN 'failed' WHEN format = 'blocks' OR (format = 'raw' AND nested) THEN 'reencode' WHEN nested THEN 'relocate' ELSE 'skipped' END AS action,
+  bucket || '/' || substr(md5(key), 31, 2) || '/' AS folder FROM {_FILES})"""
+
+
+def _migration(spark, d):
+    """Files of six in seven objects: a third of them nested, some twice, some unreadable, in three formats."""
+    o = listing.active(t.doc_objects(spark, d))
+    i, b, k = F.col("doc_id"), F.col("bucket"), F.col("key")
+    kind = F.when(i % 4 == 0, "raw").when(i % 4 == 1, "blocks").otherwise("indexed")
+    files = o.where(i % 7 != 0).select(F.when(i % 3 == 1, keys.nested_path(b, k)).otherwise(keys.blob_path(b, k)).alias("path"), (i % 11 != 0).alias("readable"), kind.alias("format"), (i % 4 == 1).alias("upgrade"))
+    twice = o.where((i % 7 != 0) & (i % 3 == 2)).select(keys.nested_path(b, k).alias("path"), F.lit(False).alias("readable"), F.lit("raw").alias("format"), F.lit(True).alias("upgrade"))
+    return reconcile.migration_plan(o, files.unionByName(twice))
+
+
+@query(f"""SELECT bucket, key, action, CASE WHEN found THEN folder || CASE WHEN action = 'failed' AND nested THEN key ELSE replace(key, '/', '%2F') END END AS path FROM {_ACTION}""", "doc_objects")
+def migration_plan(spark, d):
+    return _migration(spark, d)
+
+
+@query(f"SELECT count(*) AS scanned, count(*) FILTER (action IN ('relocate', 'reencode')) AS migrated, count(*) FILTER (action = 'skipped') AS skipped, count(*) FILTER (action = 'failed') AS failed FROM {_ACTION}", "doc_objects")
+def migration_report(spark, d):
+    return reconcile.migration_report(_migration(spark, d))
+
+
+@query(f"""SELECT count(*) AS scanned, count(*) FILTER (up AND i % 6 <> 0) AS recompressed, count(*) FILTER (NOT (up AND i % 6 <> 0)) AS skipped, CAST(coalesce(sum(i % 100 - 30) FILTER (up AND i % 6 <> 0), 0) AS BIGINT) AS bytes_saved
+  FROM (SELECT i, format = 'blocks' OR (format = 'indexed' AND (coalesce(zstd_level, 0) < 22 OR dict_id = 0)) AS up FROM {_HEADER})""")
+def recompress_report(spark, d):
+    c = containers(spark, d)
+    i = F.col("key").cast("long")
+    sizes = c.select("bucket", "key", (i % 100).alias("old_size"), F.when(i % 6 != 0, F.lit(30).cast("long")).alias("new_size"))
+    return reconcile.recompress_report(reconcile.recompress_plan(c, 22, True, 2), sizes)
+
+
+@query("""SELECT version, substr(md5(key), 31, 2) || '/' || CASE WHEN version % 2 = 0 AND contains(key, '/') THEN key ELSE replace(replace(key, '%', '%25'), '/', '%2F') END AS rel, key FROM page_objects""", "page_objects")
+def path_keys(spark, d):
+    """Keys from paths below their bucket, of both layouts."""
+    b, k = F.col("bucket"), F.col("key")
+    path = F.when(F.col("version") % 2 == 0, F.coalesce(keys.nested_path(b, k), keys.blob_path(b, k))).otherwise(keys.blob_path(b, k))
+    rel = F.substring(path, F.length(b) + 2, F.length(path))
+    return t.page_objects(spark, d).select("version", rel.alias("rel"), keys.key_of_path(rel).alias("key"))
+
+
 # --- placement
 
 _RULES = """CASE WHEN key LIKE 'de/%' AND size >= 4000 THEN 0 WHEN key LIKE '%0' AND mime_type LIKE 'text/%' THEN 1 WHEN mime_type LIKE 'application/%' THEN 2 ELSE 3 END"""
@@ -710,6 +840,26 @@ def peer_fanout(spark, d):
     return replication.fan_out(t.replication_log(spark, d).where("status = 'pending'"), t.peers(spark, d), 3)
 
 
+_ASKED = """(SELECT event_id, node_id, ok, rank FROM (SELECT *, coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY event_id ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken, row_number() OVER (PARTITION BY event_id ORDER BY node_id) AS rank FROM (
+  SELECT event_id, 'p' || x AS node_id, (event_id + x * x) % 3 = 0 AS ok FROM events, unnest([0, 1, 2, 3]) u(x))) WHERE taken < 2)"""
+
+
+def _asked(spark, d):
+    """Four peers for each event, of which some take it."""
+    e = t.table(spark, d, "events").select("event_id", F.explode(F.array(*map(F.lit, range(4)))).alias("x"))
+    return replication.delivered(e.select("event_id", F.concat(F.lit("p"), F.col("x").cast("string")).alias("node_id"), ((F.col("event_id") + F.col("x") * F.col("x")) % 3 == 0).alias("ok")), 3)
+
+
+@query(f"SELECT event_id, node_id, CAST(rank AS INTEGER) AS rank, ok FROM {_ASKED}")
+def delivered(spark, d):
+    return _asked(spark, d)
+
+
+@query(f"""SELECT event_id, n AS succeeded, CASE WHEN n >= 2 THEN 'sent' WHEN n > 0 THEN 'retry_now' ELSE 'failed' END AS outcome FROM (SELECT event_id, count(*) FILTER (ok) AS n FROM {_ASKED} GROUP BY 1)""")
+def drained(spark, d):
+    return replication.drained(t.table(spark, d, "events"), _asked(spark, d), 3)
+
+
 @query("SELECT event_id, CASE WHEN event_id % 4 >= 2 THEN 'sent' WHEN event_id % 4 > 0 THEN 'retry_now' ELSE 'failed' END AS outcome FROM events")
 def drain_outcome(spark, d):
     return t.table(spark, d, "events").select("event_id", replication.drain_outcome(F.col("event_id") % 4, F.lit(2)).alias("outcome"))

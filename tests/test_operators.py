@@ -211,3 +211,47 @@ def test_read_repair_and_delete_merge(spark):
     assert got(replication.read_repair(w, w.where("key = 'x'"), remote), "key", "source") == [("x", "local"), ("y", "n1"), ("z", "missing")]
     r = spark.createDataFrame([("n1", 2, ["k"], False, None), ("n2", 3, [], True, "c")], "node_id string, deleted long, failed_keys array<string>, truncated boolean, cursor string")
     assert tuple(replication.merge_deletes(r).first()) == (5, 1, True, "c")
+
+
+def test_deleting_by_prefix_needs_one(spark):
+    with pytest.raises(ValueError):
+        listing.delete_page(objects(spark, [("b", "k", 1, None)]), "b", "")
+
+
+def test_writes_are_refused_in_order(spark):
+    o = objects(spark, [("b", "k", 8, None), ("b", "gone", 99, 5)])
+    w = spark.createDataFrame([("b", "k", bytearray(b"123456789")), ("b", "n", bytearray(b"123")), ("b", "/n", bytearray(b"1")), ("", "n", None), ("b", "big", bytearray(20))], "bucket string, key string, body binary")
+    v = catalog.write_verdict(o, w, 10, max_size=19).withColumn("code", keys.status_code(F.col("error")))
+    assert got(v, "bucket", "key", "error", "code") == [("", "n", "invalid_bucket", 400), ("b", "/n", "invalid_key", 400), ("b", "big", "payload_too_large", 413), ("b", "k", None, 200), ("b", "n", "insufficient_storage", 507)]
+    assert {r["error"] for r in catalog.write_verdict(o, w, 0, read_only=True).collect()} == {"read_only_replica"}
+    assert got(catalog.write_objects(o, w.where("key = 'k'"), 10, 7), "key", "size", "updated_at") == [("k", 9, 7)]
+
+
+def test_paths_of_both_layouts(spark):
+    df = spark.createDataFrame([("ab/x%2Fy",), ("ab/x/y%2F",), ("ab/",), ("ab",), ("ab/%252F",)], "p string")
+    assert [r[0] for r in df.select(keys.key_of_path(F.col("p"))).collect()] == ["x/y", "x/y%2F", None, None, "%2F"]
+    assert spark.range(1).select(keys.nested_path(F.lit("b"), F.lit("plain"))).first()[0] is None
+
+
+def test_the_encoded_place_counts_first(spark):
+    page = spark.createDataFrame([("b", "x/y"), ("b", "z")], "bucket string, key string")
+    flat = page.where("key = 'x/y'").select(keys.blob_path(F.col("bucket"), F.col("key"))).first()[0]
+    nested = page.where("key = 'x/y'").select(keys.nested_path(F.col("bucket"), F.col("key"))).first()[0]
+    files = lambda *rows: spark.createDataFrame(list(rows), "path string, readable boolean, format string, upgrade boolean")
+    both = reconcile.migration_plan(page, files((nested, True, "raw", True), (flat, True, "indexed", False)))
+    assert got(both, "key", "action", "path") == [("x/y", "skipped", flat), ("z", "skipped", None)]
+    assert got(reconcile.migration_plan(page, files((nested, True, "indexed", False))), "key", "action", "path") == [("x/y", "relocate", flat), ("z", "skipped", None)]
+    assert got(reconcile.migration_plan(page, files((nested, False, "indexed", False))), "key", "action", "path") == [("x/y", "failed", nested), ("z", "skipped", None)]
+
+
+def test_finalize_releases_and_adds(spark):
+    refs = spark.createDataFrame([("b", "k", 0, "h1", 4), ("b", "k", 1, "h2", 4), ("b", "o", 0, "h1", 4)], "bucket string, key string, block_idx int, block_hash string, size int")
+    new = spark.createDataFrame([("b", "k", 0, "h3", 4)], refs.schema)
+    assert got(blocks.finalize(refs, new), "block_hash", "refcount") == [("h1", 1), ("h3", 1)]
+
+
+def test_peers_behind_the_quota_are_not_asked(spark):
+    a = spark.createDataFrame([(1, "p1", False), (1, "p2", True), (1, "p3", True), (2, "p1", False)], "event_id long, node_id string, ok boolean")
+    asked = replication.delivered(a, 2)
+    assert got(asked, "event_id", "node_id") == [(1, "p1"), (1, "p2"), (2, "p1")]
+    assert got(replication.drained(spark.range(1, 4).withColumnRenamed("id", "event_id"), asked, 2), "event_id", "outcome") == [(1, "sent"), (2, "failed"), (3, "failed")]
