@@ -689,14 +689,14 @@ def recompress_plan(spark, d):
 _LENGTHS = """(SELECT i, format, n AS marked, CASE WHEN n < 1000 THEN least(n, hl) ELSE hl + octet_length(encode(html)) END AS n FROM (SELECT *, CASE WHEN m = 6 THEN 21 ELSE 25 END AS hl FROM """ + _CONTAINERS + """ JOIN pages ON page_id = i))"""
 
 
-@query(f"""SELECT i AS page_id, format, CASE WHEN i % 4 < 3 THEN CASE WHEN format = 'raw' THEN i % 4 = 1 WHEN format IN ('indexed', 'blocks') THEN marked >= 16 AND i % 4 = 0 ELSE n > 8 END END AS intact FROM {_LENGTHS}""")
+@query(f"""SELECT page_id, format, CAST(intact AS VARCHAR) AS intact FROM (SELECT i AS page_id, format, CASE WHEN i % 4 < 3 THEN CASE WHEN format = 'raw' THEN i % 4 = 1 WHEN format IN ('indexed', 'blocks') THEN marked >= 16 AND i % 4 = 0 ELSE n > 8 END END AS intact FROM {_LENGTHS})""")
 def scrub_light(spark, d):
     """Containers against sizes of which a quarter is the header's, a quarter the content's length, and a quarter unknown."""
     c = containers(spark, d)
     i = F.col("key").cast("long")
     size = F.when(i % 4 == 0, i + 70000).when(i % 4 == 1, F.octet_length("body")).otherwise(-1)
     checked = reconcile.light_check(c, c.where(i % 4 < 3).select("bucket", "key", size.cast("long").alias("size")))
-    return checked.select(i.alias("page_id"), "format", "intact")
+    return checked.select(i.alias("page_id"), "format", F.col("intact").cast("string").alias("intact"))
 
 
 _FILES = """(SELECT doc_id, doc_id % 7 <> 0 AS found, doc_id % 3 = 1 AS nested, doc_id % 11 <> 0 AS readable, CASE doc_id % 4 WHEN 0 THEN 'raw' WHEN 1 THEN 'blocks' ELSE 'indexed' END AS format, bucket, key FROM doc_objects WHERE deleted_at IS NULL)"""
