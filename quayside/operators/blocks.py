@@ -34,6 +34,13 @@ def finalize(refs: DataFrame, new: DataFrame) -> DataFrame:
     return refcounts(kept.unionByName(new.select(*cols)))
 
 
+def copy_refs(refs: DataFrame, requests: DataFrame) -> DataFrame:
+    """New references of objects copied by requests (bucket, key, to_bucket, to_key): a copy shares its source's blocks, and
+    takes none of its bytes."""
+    got = refs.select("bucket", "key", "block_idx", "block_hash", "size").join(requests.distinct(), ["bucket", "key"])
+    return got.select(F.col("to_bucket").alias("bucket"), F.col("to_key").alias("key"), "block_idx", "block_hash", "size")
+
+
 def savings(refs: DataFrame) -> DataFrame:
     c = refcounts(refs).agg(F.sum(F.col("refcount") * F.col("size")).cast("long").alias("logical_bytes"), F.sum("size").cast("long").alias("stored_bytes"), F.count("*").alias("blocks"), F.sum("refcount").cast("long").alias("refs"))
     return c.withColumn("saved_bytes", F.col("logical_bytes") - F.col("stored_bytes"))

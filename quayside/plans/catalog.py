@@ -506,6 +506,14 @@ def finalize_refs(spark, d):
     return blocks.finalize(doc_blocks(spark, d).drop("body"), blocks.chunk(new, F.encode("text", "UTF-8"), BLOCK).drop("body"))
 
 
+@query("SELECT block_hash, CAST(count(*) + count(*) FILTER (bucket <> 'src1') AS BIGINT) AS refcount, max(size) AS size FROM doc_blocks GROUP BY block_hash", "doc_blocks")
+def copied_refs(spark, d):
+    """References after all objects of all buckets but one are copied to a new one."""
+    refs = doc_blocks(spark, d).drop("body")
+    req = t.doc_objects(spark, d).where("bucket <> 'src1'").select("bucket", "key", F.lit("copies").alias("to_bucket"), F.concat_ws("/", "bucket", "key").alias("to_key"))
+    return blocks.finalize(refs, blocks.copy_refs(refs, req))
+
+
 @query("SELECT source AS bucket, lang || '/' || doc_id AS key, md5(text) AS etag, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE text <> ''")
 def object_etags(spark, d):
     return blocks.object_etags(doc_blocks(spark, d))
