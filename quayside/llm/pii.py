@@ -211,10 +211,11 @@ _SEEN = (
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of each row.
 
     Counts and digest are of the base spans; ``spans`` holds these, secrets, and what the learnt patterns found, by kind,
-    then start. A null or empty text has none. Repeated rows have equal results, and count once as instances. A place
+    then start, and ``n_spans`` is their number, so that a document with a secret or a learnt span alone is told from a
+    clean one. A null or empty text has none. Repeated rows have equal results, and count once as instances. A place
     that patterns of several kinds mark gets the kind of the pattern that entered first, then of the surest, then the
     first kind. An empty table gives an empty result. Other columns of ``docs`` are not looked at.
     """
@@ -252,7 +253,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     spans = F.sort_array(F.concat(own, F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
     told = lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
     out = scanned.join(more.hint("merge"), "rk", "left")
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(F.transform(spans, told), ",").alias("spans"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(F.transform(spans, told), ",").alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -421,6 +421,7 @@ def test_contexts_find_more(spark):
     assert got[40]["spans"] == f"phone:{start}:{start + 10}" and got[40]["n_phone"] == 0
     assert got[0]["spans"] == f"phone:16:33" and got[0]["n_phone"] == 1 and got[41]["spans"] == got[42]["spans"] == got[43]["spans"] == ""
     assert got[0]["base_sha256"] == hashlib.sha256(b"phone:16:33").hexdigest()
+    assert [got[i]["n_spans"] for i in (0, 40, 41, 42, 43)] == [1, 1, 0, 0, 0]
     assert pii.find_pii(awkward(spark)).count() == 9 and pii.find_pii(docs(spark, [])).count() == 0
 
 
