@@ -255,3 +255,16 @@ def test_peers_behind_the_quota_are_not_asked(spark):
     asked = replication.delivered(a, 2)
     assert got(asked, "event_id", "node_id") == [(1, "p1"), (1, "p2"), (2, "p1")]
     assert got(replication.drained(spark.range(1, 4).withColumnRenamed("id", "event_id"), asked, 2), "event_id", "outcome") == [(1, "sent"), (2, "failed"), (3, "failed")]
+
+
+def test_dictionary_compression_equals_the_library(spark):
+    import zstandard
+
+    bodies = [f'{{"user": {i}, "name": "name {i}", "state": "active", "kind": "customer of the store"}}'.encode() for i in range(300)]
+    df = spark.createDataFrame([(bytearray(b),) for b in bodies], "body binary").withColumn("block_hash", F.md5("body"))
+    known = blocks.train_dictionary(df, 4096)
+    z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(known))
+    want = sorted((len(b), len(z.compress(b)), min(len(b), len(z.compress(b)))) for b in bodies)
+    assert got(blocks.compress_sizes(df, 3, known), "raw", "packed", "stored") == want
+    assert sum(w[1] for w in want) < sum(r["packed"] for r in blocks.compress_sizes(df, 3).collect())
+    assert blocks.train_dictionary(df.limit(1), 4096) is None
