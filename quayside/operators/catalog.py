@@ -71,7 +71,8 @@ def write_objects(objects: DataFrame, content: DataFrame, cap: int, now: int) ->
     old = objects.where(F.col("deleted_at").isNull()).select(*PK, "size", "etag", "created_at", "updated_at", F.lit(0).alias("_new"))
     both = old.unionByName(new).groupBy(*PK)
     latest = lambda c: F.max_by(c, "_new").alias(c)
-    return both.agg(latest("size"), latest("etag"), F.min("created_at").alias("created_at"), latest("updated_at"))
+    first = F.min_by("created_at", F.when(F.col("created_at").isNotNull(), F.col("_new"))).alias("created_at")  # also one later than now
+    return both.agg(latest("size"), latest("etag"), first, latest("updated_at"))
 
 
 def set_state(state: DataFrame, updates: DataFrame) -> DataFrame:

@@ -227,6 +227,12 @@ def test_writes_are_refused_in_order(spark):
     assert got(catalog.write_objects(o, w.where("key = 'k'"), 10, 7), "key", "size", "updated_at") == [("k", 9, 7)]
 
 
+def test_an_object_written_again_keeps_a_later_creation_time(spark):
+    o = objects(spark, [("b", "early", 1, None), ("b", "late", 1, None), ("b", "rest", 1, None)]).withColumn("created_at", F.when(F.col("key") == "early", 3).otherwise(9).cast("long"))
+    w = spark.createDataFrame([("b", k, bytearray(b"12")) for k in ("early", "late", "new")], "bucket string, key string, body binary")
+    assert got(catalog.write_objects(o, w, 0, 7), "key", "size", "created_at", "updated_at") == [("early", 2, 3, 7), ("late", 2, 9, 7), ("new", 2, 7, 7), ("rest", 1, 9, 12)]
+
+
 def test_paths_of_both_layouts(spark):
     df = spark.createDataFrame([("ab/x%2Fy",), ("ab/x/y%2F",), ("ab/",), ("ab",), ("ab/%252F",)], "p string")
     assert [r[0] for r in df.select(keys.key_of_path(F.col("p"))).collect()] == ["x/y", "x/y%2F", None, None, "%2F"]
