@@ -78,11 +78,22 @@ def token_bucket(events: DataFrame, capacity: float, per_second: float) -> DataF
     return events.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, allowed boolean", "tokens double, last long", "append", "NoTimeout")
 
 
-def _log_source(spark: SparkSession, sf_dir: str, path: str, files: int = 3) -> DataFrame:
-    """The log as a file source of several small batches, every event sent twice."""
+def _sent(log: DataFrame, path: str, batches: int = 3) -> DataFrame:
+    """``log`` written to ``path`` and read as a stream of some ``batches``.
+
+    Each task writes the part of the log that it reads, so the files grow in number with the log and a batch takes a share of
+    them. Only a log of fewer parts than batches, one of a few MB, is dealt out.
+    """
+    spark, few = log.sparkSession, log.rdd.getNumPartitions() < batches
+    (log.repartition(batches) if few else log).write.parquet(path)
+    files = len(spark.read.schema(log.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
+
+
+def _log_source(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The log as a file source of several batches, every event sent twice."""
     log = tables.replication_log(spark, sf_dir)
-    log.unionByName(log).repartition(files).write.parquet(path)
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _sent(log.unionByName(log), path)
 
 
 def run_apply(spark: SparkSession, sf_dir: str) -> DataFrame:

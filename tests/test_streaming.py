@@ -36,3 +36,26 @@ def test_token_bucket(spark, tmp_path, per_second, want):
     q = log.token_bucket(stream, 2, per_second).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where(F.col("allowed")).count() == want
+
+
+@pytest.fixture
+def wide_log(spark, tmp_path, monkeypatch):
+    """A folder with an events table of 12 files, each read in a part of its own; streams keep their folders in tmp_path."""
+    e = F.col("id")
+    types = F.element_at(F.array(*map(F.lit, ["view", "signup", "error", "click", "purchase"])), (e % 5 + 1).cast("int"))
+    spark.range(0, 1200, 1, 12).select(e.alias("event_id"), F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id)").alias("ts"), (e % 100).alias("user_id"), types.alias("event_type"), (e / 7).alias("value"), F.lit('{"k": 1}').alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(log, "folder", lambda spark, label: str(tmp_path / label))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    yield str(tmp_path)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def parts(path):
+    return [p for p in path.iterdir() if p.name.startswith("part-")]
+
+
+def test_the_applied_log_is_dealt_by_the_parts_it_is_read_in(spark, wide_log, tmp_path):
+    got = [int(r["event_id"]) for r in log.run_apply(spark, wide_log).collect()]
+    assert sorted(got) == [i for i in range(1200) if i % 10]
+    assert len(parts(tmp_path / "stream-apply" / "in")) == 24  # each event twice
+    assert 2 <= len([p for p in (tmp_path / "stream-apply" / "out").iterdir() if p.name.startswith("epoch=")]) <= 3
