@@ -105,9 +105,7 @@ def run_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = folder(spark, "stream-status")
-    log = tables.replication_log(spark, sf_dir)
-    log.repartition(3).write.parquet(f"{root}/in")
-    events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    events = _sent(tables.replication_log(spark, sf_dir), f"{root}/in")
 
     def put(batch, epoch):
         batch.write.mode("overwrite").parquet(f"{root}/out")

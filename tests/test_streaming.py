@@ -59,3 +59,9 @@ def test_the_applied_log_is_dealt_by_the_parts_it_is_read_in(spark, wide_log, tm
     assert sorted(got) == [i for i in range(1200) if i % 10]
     assert len(parts(tmp_path / "stream-apply" / "in")) == 24  # each event twice
     assert 2 <= len([p for p in (tmp_path / "stream-apply" / "out").iterdir() if p.name.startswith("epoch=")]) <= 3
+
+
+def test_the_counted_log_is_dealt_by_the_parts_it_is_read_in(spark, wide_log, tmp_path):
+    got = {r["status"]: r["n"] for r in log.run_status(spark, wide_log).collect()}
+    assert got == dict.fromkeys(replication.STATUSES, 240)
+    assert len(parts(tmp_path / "stream-status" / "in")) == 12
